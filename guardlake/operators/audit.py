@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
@@ -71,25 +71,21 @@ def blocked_by_level(logs: DataFrame) -> DataFrame:
 def violations(logs: DataFrame, limit: int = 50, threat_level: str | None = None) -> DataFrame:
     """Newest blocked requests with a violation id by position.
 
-    The top rows are found by a distributed top-k; only those are numbered.
+    The top rows come from a distributed top-k; only those few are numbered.
     """
     df = logs.filter("status = 'blocked'")
     if threat_level is not None:
         df = df.filter(F.col("threat_level") == threat_level)
-    key = F.struct(F.col("created_at"), F.col("id"))
-    top = df.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
-    rows = top.agg(F.sort_array(F.collect_list(F.struct(
-        key.alias("k"), F.struct(*[F.col(c) for c in df.columns]).alias("r"))), asc=False)
-        .alias("all")).select(F.posexplode("all").alias("i", "x"))
-    day = F.date_format(F.col("x.r.created_at"), "yyyyMMdd")
-    names = F.transform(F.from_json(F.col("x.r.threats_json"), LOGGED_THREATS),
-                        lambda t: F.coalesce(t["type"], t["category"]))
-    return rows.select(
-        F.format_string("VIO-%s-%04d", day, F.col("i")).alias("violation_id"),
-        F.col("x.r.id").alias("request_log_id"),
-        F.coalesce("x.r.threat_level", F.lit("unknown")).alias("threat_level"),
-        names.alias("threats"), F.col("x.r.client_ip").alias("client_ip"),
-        F.col("x.r.created_at").alias("created_at"))
+    newest = [F.desc("created_at"), F.desc("id")]
+    top = df.orderBy(*newest).limit(limit)
+    at = F.row_number().over(Window.orderBy(*newest)) - 1
+    day = F.date_format("created_at", "yyyyMMdd")
+    names = F.transform(logged_threats(logs), lambda t: F.coalesce(t["type"], t["category"]))
+    return top.select(
+        F.format_string("VIO-%s-%04d", day, at).alias("violation_id"),
+        F.col("id").alias("request_log_id"),
+        F.coalesce("threat_level", F.lit("unknown")).alias("threat_level"),
+        names.alias("threats"), "client_ip", "created_at")
 
 
 def audit_rows(verdicts: DataFrame) -> DataFrame:

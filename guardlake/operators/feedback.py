@@ -68,10 +68,13 @@ def tune_thresholds(stats: DataFrame, adjustments: DataFrame, as_of: Column, *,
             "%.1f%%", "accuracy_percentage")))
     df = (df.filter(noisy | sharp).withColumn("__next", F.when(noisy, down).otherwise(up))
           .withColumn("__prev", now).withColumn("__base", base))
-    return (df.filter(F.abs(F.col("__next") - F.col("__prev")) >= C.MIN_THRESHOLD_MOVE)
-            .select("pattern_name", "category", F.col("__base").alias("original_threshold"),
-                    F.col("__next").alias("adjusted_threshold"),
-                    reason.alias("adjustment_reason"), as_of.alias("updated_at")))
+    moved = df.filter(F.abs(F.col("__next") - F.col("__prev")) >= C.MIN_THRESHOLD_MOVE)
+    row = F.struct("category", F.col("__base").alias("original_threshold"),
+                   F.col("__next").alias("adjusted_threshold"),
+                   reason.alias("adjustment_reason"), as_of.alias("updated_at"))
+    # A pattern seen under several categories moves once, for the one with most feedback.
+    first = F.min_by(row, F.struct(-F.col("total_feedback"), F.col("category")))
+    return moved.groupBy("pattern_name").agg(first.alias("r")).select("pattern_name", "r.*")
 
 
 def upsert_adjustments(current: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,0 +1,80 @@
+"""Redaction of text that arrives in pieces.
+
+The buffer is only cut at the start of a word, far enough from its end that no rule can
+reach across: every rule matches at most four whitespace-separated words, and the words
+held back leave room for matches on what earlier rules put in.  So the released pieces,
+joined, equal the redaction of the whole text.
+"""
+
+from __future__ import annotations
+
+import functools
+import heapq
+import json
+import re
+
+HELD_WORDS = 16
+
+
+@functools.cache
+def compiled(rules: tuple) -> tuple:
+    return tuple((r, re.compile(r.regex, re.IGNORECASE if r.ignore_case else 0)) for r in rules)
+
+
+def redact(text: str, rules: tuple) -> str:
+    for rule, regex in compiled(rules):
+        text = regex.sub(lambda m, to=rule.replacement: to, text)
+    return text
+
+
+def found(text: str, rules: tuple) -> list[str]:
+    """Category of every match, counted before anything is replaced."""
+    return [rule.category for rule, regex in compiled(rules) for _ in regex.finditer(text)]
+
+
+def release(buffer: str, rules: tuple, window: int) -> tuple[str, str]:
+    """(text that can go out, text to hold back), both unredacted."""
+    starts = [m.start() for m in re.finditer(r"\S+", buffer)]
+    whole = None
+    for at in reversed(starts[:-HELD_WORDS]):
+        if at == 0 or len(buffer) - at < window:
+            continue
+        whole = redact(buffer, rules) if whole is None else whole
+        if redact(buffer[:at], rules) + redact(buffer[at:], rules) == whole:
+            return buffer[:at], buffer[at:]
+    return "", buffer
+
+
+class Pieces:
+    """One stream: puts pieces in order, cuts, redacts.  `state` is what survives batches."""
+
+    def __init__(self, rules: tuple, window: int, state: tuple | None = None):
+        self.rules, self.window = rules, window
+        self.buffer, self.next_seq, waiting = state or ("", 0, "[]")
+        self.waiting = [tuple(x) for x in json.loads(waiting)]
+        heapq.heapify(self.waiting)
+
+    def state(self) -> tuple:
+        return self.buffer, self.next_seq, json.dumps(self.waiting)
+
+    def add(self, seq: int, item) -> list:
+        """Queue an item; return the items whose turn it now is, as (seq, item)."""
+        if seq >= self.next_seq:
+            heapq.heappush(self.waiting, (seq, item))
+        ready = []
+        while self.waiting and self.waiting[0][0] <= self.next_seq:
+            seq, item = heapq.heappop(self.waiting)
+            if seq == self.next_seq:
+                ready.append((seq, item))
+                self.next_seq += 1
+        return ready
+
+    def push(self, text: str) -> tuple[str, list[str]]:
+        """Add text; return (redacted text to emit, categories found in it)."""
+        safe, self.buffer = release(self.buffer + text, self.rules, self.window)
+        return redact(safe, self.rules), found(safe, self.rules)
+
+    def flush(self) -> tuple[str, list[str]]:
+        rest, self.buffer = self.buffer, ""
+        return redact(rest, self.rules), found(rest, self.rules)
+
