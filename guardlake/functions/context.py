@@ -77,26 +77,21 @@ def escalation(now: Column, users: Column) -> Column:
     return let(masks, score)
 
 
-_STEPS = tuple(1 << k for k in range(23, -1, -1))
-
-
 def _occurrences(words: Column) -> Column:
     """Multiset as a set: each word tagged with its running number.
 
-    In the sorted array the running number is the distance to the first equal word, found
-    by a binary search unrolled over halving steps.
+    Sorted and joined, equal words form runs, which one back-reference regex cuts out.
     """
-    def tag(ordered: Column) -> Column:
-        steps = F.filter(F.array(*[F.lit(s) for s in _STEPS]), lambda s: s <= F.size(ordered))
-
-        def first(w: Column) -> Column:
-            return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-                (at + step <= F.size(ordered)) & (F.get(ordered, at + step - 1) < w),
-                at + step).otherwise(at))
+    lines = F.concat(F.array_join(F.array_sort(words), "\n"), F.lit("\n"))
+    runs = F.regexp_extract_all(lines, F.lit(r"([^\n]+\n)\1*"), F.lit(0))
 
-        return F.transform(ordered, lambda w, i: F.struct(w.alias("w"), (i - first(w)).alias("k")))
+    def numbered(run: Column) -> Column:
+        word = F.substring_index(run, "\n", 1)
+        times = (F.length(run) / (F.length(word) + 1)).cast("int")
+        return F.transform(F.sequence(F.lit(1), times),
+                           lambda k: F.concat(word, F.lit("\n"), k.cast("string")))
 
-    return let(F.array_sort(words), tag)
+    return F.flatten(F.transform(runs, numbered))
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -105,7 +100,8 @@ def similar(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(_occurrences(a), _occurrences(b)))
     exact = let(common, lambda c: c / (F.size(a) + F.size(b) - c) > 0.7)
     # sizes alone bound the similarity, and decide most pairs
-    return F.when((small > 0) & (small / large > 0.7), exact).otherwise(False)
+    return (F.when(small == 0, False).when(a == b, True)
+            .when(small / large > 0.7, exact).otherwise(False))
 
 
 def retries(now: Column, users: Column) -> Column:

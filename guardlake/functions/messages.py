@@ -96,8 +96,10 @@ def request_stats(messages: Column) -> Column:
         *[v.alias(k) for k, v in message_stats(m).items()]))
 
     def total(stats: Column) -> Column:
-        sums = [F.aggregate(stats, F.lit(0).cast("long"), lambda a, s, k=k: a + s[k]).alias(k)
-                for k in STAT_NAMES]
+        def added(name: str) -> Column:
+            return F.aggregate(stats, F.lit(0).cast("long"), lambda a, s: a + s[name])
+
+        sums = [added(k).alias(k) for k in STAT_NAMES]
         return F.struct(F.size(stats).cast("long").alias("n_messages"), *sums)
 
     return let(per, total)

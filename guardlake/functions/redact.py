@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,11 +76,11 @@ def _gated(rule: C.Rule, text: Column, low: Column, then: Column, otherwise: Col
 def redacted(text: Column, rules: Rules = DEFAULT) -> Column:
     """Text after all rules."""
     def run(original: Column, low: Column) -> Column:
-        out = original
-        for rule in rules.rules:
-            out = let(out, lambda t, r=rule: _gated(
-                r, original, low, F.regexp_replace(t, java_regex(r), _java_replacement(r)), t))
-        return out
+        def apply(rule: C.Rule, before: Column) -> Column:
+            return let(before, lambda t: _gated(rule, original, low, F.regexp_replace(
+                t, java_regex(rule), _java_replacement(rule)), t))
+
+        return reduce(lambda out, rule: apply(rule, out), rules.rules, original)
 
     return let(text, lambda t: let(folded(t), lambda low: run(t, low)))
 
@@ -109,9 +110,10 @@ def filtered(text: Column, rules: Rules = DEFAULT) -> Column:
         return let(found, record)
 
     def run(original: Column, low: Column) -> Column:
-        state = F.struct(original.alias("text"), none.alias("detections"))
-        for rule in rules.rules:
-            state = let(state, lambda s, r=rule: _gated(r, original, low, step(r, s), s))
-        return state
+        def apply(rule: C.Rule, state: Column) -> Column:
+            return let(state, lambda s: _gated(rule, original, low, step(rule, s), s))
+
+        start = F.struct(original.alias("text"), none.alias("detections"))
+        return reduce(lambda state, rule: apply(rule, state), rules.rules, start)
 
     return let(text, lambda t: let(folded(t), lambda low: run(t, low)))

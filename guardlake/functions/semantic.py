@@ -20,14 +20,13 @@ def _level(label: Column) -> Column:
 def classify(text: Column) -> Column:
     """struct<label, score>: strongest keyword group, the first one on ties."""
     def scored(low: Column) -> Column:
-        groups = []
-        for label, base, words in C.SIGNALS:
+        def group(label: str, base: float, words) -> Column:
             hits = sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0))
-            groups.append((label, let(hits, lambda n, b=base: F.when(
-                n > 0, F.lit(b) * F.least(F.lit(1.0), F.lit(0.5) + n * F.lit(0.15)))
-                .otherwise(0.0))))
-        return F.array(*[F.struct(F.lit(lb).alias("label"), sc.alias("score"))
-                         for lb, sc in groups])
+            score = let(hits, lambda n: F.when(n > 0, F.lit(base) * F.least(
+                F.lit(1.0), F.lit(0.5) + n * F.lit(0.15))).otherwise(0.0))
+            return F.struct(F.lit(label).alias("label"), score.alias("score"))
+
+        return F.array(*[group(*signal) for signal in C.SIGNALS])
 
     def best(groups: Column) -> Column:
         top = F.array_max(F.transform(groups, lambda g: g["score"]))

@@ -106,13 +106,15 @@ def mentions(responses: DataFrame, keys: list[str], text: str = "text",
     With `partial`, bare 16-hex runs that are not part of a searched marker count too.
     """
     body = F.col(text)
-    found = []
-    for fmt in formats:
+
+    def marked(fmt: str) -> Column:
         raw = F.regexp_extract_all(body, F.lit(_regex(fmt)), 0)
-        found.append(F.transform(F.array_distinct(raw), lambda m, f=fmt: F.struct(
-            F.array_join(F.regexp_extract_all(
-                m, F.lit("(?<=[-: ])[0-9a-f]{8}(?:[0-9a-f]{8})?(?=[-\\] ])"), F.lit(0)), "")
-            .alias("token"), F.lit(f).alias("format"), m.alias("marker"))))
+        digits = F.lit("(?<=[-: ])[0-9a-f]{8}(?:[0-9a-f]{8})?(?=[-\\] ])")
+        return F.transform(F.array_distinct(raw), lambda m: F.struct(
+            F.array_join(F.regexp_extract_all(m, digits, F.lit(0)), "").alias("token"),
+            F.lit(fmt).alias("format"), m.alias("marker")))
+
+    found = [marked(fmt) for fmt in formats]
     if partial:
         bare = F.array_distinct(F.regexp_extract_all(body, F.lit(_HEX16), F.lit(0)))
         found.append(F.transform(bare, lambda m: F.struct(

@@ -56,6 +56,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     optimizer's statistics, without running anything.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size.toString()) > SMALL_TABLE_BYTES:
+    if int(str(size)) > SMALL_TABLE_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
