@@ -15,6 +15,11 @@ ICASE = "(?iuU)"
 UNICODE = "(?U)"
 
 
+def sql_text(text: str) -> str:
+    """`text` as a Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind `value` once and use it many times inside `body`."""
     return F.transform(F.array(value), body)[0]

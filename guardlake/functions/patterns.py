@@ -9,14 +9,14 @@ change a result: every alternative of the pattern needs the words in its gate.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
-from guardlake.functions.common import (ICASE_DOTALL, any_of, compact, level_rank, let,
-                                        max_or, rank_level)
+from guardlake.functions.common import (ICASE_DOTALL, level_rank, max_or, rank_level,
+                                        sql_text)
 
 DETECTION = ("struct<category:string,name:string,threat_level:string,confidence:double,"
              "n_matches:int,matched_text:string>")
@@ -32,27 +32,22 @@ def folded(text: Column) -> Column:
     return F.lower(F.when(is_ascii, text).otherwise(F.translate(text, _FOLD_FROM, _FOLD_TO)))
 
 
-def _has(*words: str) -> Callable[[Column], Column]:
-    return lambda low: any_of(low.contains(w) for w in words)
+def _has(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(low, {sql_text(w)})" for w in words) + ")"
 
 
-def _both(*parts: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    def gate(low: Column) -> Column:
-        out = parts[0](low)
-        for part in parts[1:]:
-            out = out & part(low)
-        return out
-    return gate
+def _both(*parts: str) -> str:
+    return "(" + " AND ".join(parts) + ")"
 
 
-def _either(*parts: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda low: any_of(part(low) for part in parts)
+def _either(*parts: str) -> str:
+    return "(" + " OR ".join(parts) + ")"
 
 
-_NON_ASCII = lambda low: F.octet_length(low) > F.length(low)
+_NON_ASCII = "octet_length(low) > length(low)"
 
-# pattern name -> words without which the pattern cannot match
-GATES: dict[str, Callable[[Column], Column]] = {
+# pattern name -> words without which the pattern cannot match, as a condition on `low`
+GATES: dict[str, str] = {
     "ignore_instructions": _both(
         _has("instruction", "command", "prompt", "rule", "guideline", "directive"),
         _has("ignore", "disregard", "forget", "override")),
@@ -109,17 +104,13 @@ _SQL_TAIL = (ICASE_DOTALL
              + r"(?:UNION\s+(?:ALL\s+)?SELECT|;\s*(?:DROP|DELETE|INSERT|UPDATE)\b)")
 
 
-def _count(pattern: C.Pattern, text: Column) -> Column:
-    whole = F.regexp_count(text, F.lit(ICASE_DOTALL + pattern.regex))
+def _count(pattern: C.Pattern) -> str:
+    regex = sql_text(ICASE_DOTALL + pattern.regex)
     if pattern.name != "sql_injection" or pattern not in C.PATTERNS:
-        return whole
-
-    def split(head: Column) -> Column:
-        rest = F.substring(text, F.length(head) + 1, F.length(text))
-        return (F.regexp_count(head, F.lit(ICASE_DOTALL + pattern.regex))
-                + F.regexp_count(rest, F.lit(_SQL_TAIL)))
-
-    return let(F.regexp_extract(text, _SQL_HEAD, 0), split)
+        return f"regexp_count(t, {regex})"
+    return (f"transform(array(regexp_extract(t, {sql_text(_SQL_HEAD)}, 0)), head -> "
+            f"regexp_count(head, {regex}) + regexp_count("
+            f"substring(t, length(head) + 1), {sql_text(_SQL_TAIL)}))[0]")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -156,41 +147,41 @@ def check_regex(regex: str) -> None:
         raise ValueError(f"Invalid regex: {regex}") from exc
 
 
-def counts(text: Column, low: Column, catalog: Catalog = DEFAULT) -> Column:
-    """Array with the number of matches of every pattern, in catalog order."""
-    out = []
-    for p in catalog.patterns:
-        gate = GATES.get(p.name) if p in C.PATTERNS else None
-        n = _count(p, text)
-        out.append(n if gate is None else F.when(gate(low), n).otherwise(F.lit(0)))
-    return F.array(*out)
-
-
-def confidence(n: Column, length: Column) -> Column:
+def confidence(n: str, length: str) -> str:
     """0.75, plus .05 per further match up to .15, plus up to .10 for length; in exact milli."""
-    milli = 750 + 50 * F.least(F.lit(3), n - 1) + F.floor((F.least(length, F.lit(5000)) + 25) / 50)
-    return milli.cast("double") / 1000.0
+    return (f"cast(750 + 50 * least(3, {n} - 1) + (least({length}, 5000) + 25) div 50 as double)"
+            " / 1000D")
+
 
+@functools.cache
+def _scan_sql(catalog: Catalog) -> str:
+    """Lambda from a text to its detections.
 
-def detections(text: Column, n: Column, catalog: Catalog = DEFAULT) -> Column:
-    """Detections in catalog order, given the `counts` array `n` of the text."""
-    hits = []
+    The expression is written as SQL because it has hundreds of parts: parsing it once is
+    far cheaper than assembling it call by call.
+    """
+    counts, hits = [], []
     for i, p in enumerate(catalog.patterns):
-        first = F.regexp_extract(text, ICASE_DOTALL + "(" + p.regex + ")", 1)
-        hits.append(F.when(n[i] > 0, F.struct(
-            F.lit(p.category).alias("category"), F.lit(p.name).alias("name"),
-            F.lit(p.level).alias("threat_level"),
-            confidence(n[i], F.length(text)).alias("confidence"),
-            n[i].cast("int").alias("n_matches"),
-            F.substring(first, 1, MATCHED_TEXT_CHARS).alias("matched_text"))))
-    some_hit = F.exists(n, lambda x: x > 0)
-    return F.when(some_hit, compact(hits)).otherwise(F.array().cast(f"array<{DETECTION}>"))
+        gate = GATES.get(p.name) if p in C.PATTERNS else None
+        n = _count(p)
+        counts.append(n if gate is None else f"CASE WHEN {gate} THEN {n} ELSE 0 END")
+        first = f"regexp_extract(t, {sql_text(ICASE_DOTALL + '(' + p.regex + ')')}, 1)"
+        hits.append(
+            f"CASE WHEN n[{i}] > 0 THEN named_struct('category', {sql_text(p.category)}, "
+            f"'name', {sql_text(p.name)}, 'threat_level', {sql_text(p.level)}, "
+            f"'confidence', {confidence(f'n[{i}]', 'length(t)')}, 'n_matches', n[{i}], "
+            f"'matched_text', substring({first}, 1, {MATCHED_TEXT_CHARS})) END")
+    low = (f"lower(CASE WHEN octet_length(t) = length(t) THEN t "
+           f"ELSE translate(t, '{_FOLD_FROM}', '{_FOLD_TO}') END)")
+    none = f"cast(array() as array<{DETECTION}>)"
+    return (f"t -> transform(array({low}), low -> transform(array(array({', '.join(counts)})), "
+            f"n -> CASE WHEN exists(n, c -> c > 0) THEN array_compact(array({', '.join(hits)})) "
+            f"ELSE {none} END)[0])[0]")
 
 
 def scan(text: Column, catalog: Catalog = DEFAULT) -> Column:
-    """Detections of one text value; for use inside higher-order functions."""
-    return let(text, lambda t: let(folded(t), lambda low: let(
-        counts(t, low, catalog), lambda n: detections(t, n, catalog))))
+    """Detections of a text, in catalog order."""
+    return F.call_function("transform", F.array(text), F.expr(_scan_sql(catalog)))[0]
 
 
 def max_confidence(hits: Column) -> Column:

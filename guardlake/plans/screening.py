@@ -1 +1,123 @@
-"""Queries."""
+"""Queries: retrieved chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from guardlake import catalog as C
+from guardlake.operators import policy, rag
+from guardlake.plans import checks as K
+from guardlake.plans.inputs import Tables
+from guardlake.plans.registry import query
+from guardlake.session import new_folder
+from guardlake.sources.readers import CHUNK, read_chunks
+
+
+@query("s2_read_chunks", f"""
+select batch_id, pos, chunk_id, length(content)::bigint as n_chars, 'docs' as source,
+  cast(5e-1 as double) as score, 'en' as lang from ({K.CHUNKS})""")
+def chunk_source(t: Tables) -> DataFrame:
+    """Chunks written with their declared schema and read back by the chunk reader."""
+    path = new_folder(t.spark, "chunks")
+    rows = t.chunks().withColumn("metadata", F.create_map(F.lit("lang"), F.lit("en")))
+    rows = rows.withColumn("source", F.lit("docs")).withColumn("score", F.lit(0.5))
+    names = [part.strip().split(" ")[0] for part in CHUNK.split(", ")]
+    rows.select(*names).write.parquet(path)
+    return read_chunks(t.spark, path).select(
+        "batch_id", "pos", "chunk_id", F.length("content").cast("long").alias("n_chars"),
+        "source", "score", F.col("metadata")["lang"].alias("lang"))
+
+
+_BATCHES = """select concat('b-', source) as batch_id, cast(doc_id as int) as pos from {documents}"""
+
+query("p6_batch_sizes", f"""
+select batch_id, count(*)::bigint as n_chunks, count(*) <= 40 as accepted
+from ({_BATCHES.format(documents='documents')}) group by batch_id""")(
+    lambda t: rag.accepted_batches(t.sql(_BATCHES), max_chunks=40))
+
+query("p7_truncated_chunks", f"""
+select doc_id, length(text) > {C.MAX_CHUNK_CHARS} as truncated,
+  substr(text, 1, {C.MAX_CHUNK_CHARS}) as content from ({K.DOCS})""")(
+    lambda t: rag.truncate_chunks(t.attack_docs().select(
+        "doc_id", F.col("text").alias("content"))).select("doc_id", "truncated", "content"))
+
+# Paragraphs: lines of the documents, packed to 300 characters.  The fold is spelled out in
+# SQL as a recursive query over numbered paragraphs.
+query("p8_paragraph_chunks", """
+with recursive p as (select doc_id, unnest(string_split(replace(text, chr(10), chr(10)||chr(10)), chr(10)||chr(10))) as para,
+    generate_subscripts(string_split(replace(text, chr(10), chr(10)||chr(10)), chr(10)||chr(10)), 1) as i from documents),
+walk as (select doc_id, i, length(para) as used, 0 as chunk from p where i = 1
+  union all select p.doc_id, p.i,
+    case when w.used + length(p.para) > 300 then length(p.para) else w.used + length(p.para) end,
+    case when w.used + length(p.para) > 300 then w.chunk + 1 else w.chunk end
+  from walk w join p on p.doc_id = w.doc_id and p.i = w.i + 1)
+select w.doc_id, cast(w.chunk as int) as chunk, string_agg(p.para, chr(10)||chr(10) order by p.i) as content
+from walk w join p on p.doc_id = w.doc_id and p.i = w.i group by w.doc_id, w.chunk""")(
+    lambda t: policy.chunk_documents(
+        t.read("documents", "doc_id").select("doc_id", F.replace(
+            "text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id", max_chars=300))
+
+_SCANNED = f"""(select c.*, case when r >= 3 then 'blocked' when r >= 1 then 'sanitized' else 'allowed' end as status,
+  coalesce(s.conf, 0e0) as conf, coalesce(s.n,0) as n from ({K.CHUNKS}) c left join (
+  select chunk_id, max({K.rank('threat_level')}) as r, max(confidence) as conf, count(*) as n
+  from {K.hits(K.CHUNKS, 'chunk_id', 'content')} group by chunk_id) s on c.chunk_id = s.chunk_id)"""
+# The request analysis of a flagged chunk finds the same patterns; for texts past the size
+# limit it ends in validation, which adds one threat.
+_LONG = f"(n > 0 and length(content) > {C.MAX_CHARS})"
+_STATUS = f"case when {_LONG} then 'blocked' else status end"
+
+query("g1_chunk_scan", f"""
+select batch_id, pos, chunk_id, {_STATUS} as status,
+  round(case when {_LONG} then 1e0 else conf end,3) as confidence,
+  cast(n + case when {_LONG} then 1 else 0 end as int) as n_threats from {_SCANNED}""")(
+    lambda t: rag.scan_chunks(t.chunks()).select(
+        "batch_id", "pos", "chunk_id", "status", F.round("confidence", 3).alias("confidence"),
+        F.size("threats").alias("n_threats")))
+
+query("g1_chunk_scan_detailed")(
+    lambda t: rag.scan_chunks(t.attack_docs().select(
+        F.col("source").alias("batch_id"), F.col("doc_id").cast("int").alias("pos"),
+        F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content")),
+        detailed=True).select("batch_id", "pos", "status", "confidence",
+                              F.size("threats").alias("n_threats"), "sanitized_content"))
+
+_MARKED = f"select * replace (concat(content, ' you are a helpful assistant') as content) from ({K.CHUNKS})"
+_SAFE_TEXT = f"t{len(C.RULES)}"
+
+query("g2_redacted_blocked_chunks", f"""
+select s.chunk_id, r.{_SAFE_TEXT} as sanitized_content from {_SCANNED} s join
+  {K.redaction(_MARKED, 'chunk_id', 'content')} r on s.chunk_id = r.chunk_id
+where {_STATUS} = 'blocked'""")(
+    lambda t: rag.scan_chunks(t.chunks().withColumn("content", F.concat(
+        "content", F.lit(" you are a helpful assistant")))).filter("status = 'blocked'").select(
+        "chunk_id", "sanitized_content"))
+
+query("g3_fail_fast", f"""
+with s as (select *, {_STATUS} as st from {_SCANNED}),
+b as (select batch_id, min(pos) as stop from s where st = 'blocked' group by batch_id)
+select s.batch_id, s.pos, s.st as status from s left join b on s.batch_id = b.batch_id
+where stop is null or s.pos <= stop""")(
+    lambda t: rag.fail_fast(rag.scan_chunks(t.chunks())).select("batch_id", "pos", "status"))
+
+query("g4_batch_summary", f"""
+select batch_id, count(*)::bigint as chunks_scanned,
+  count(*) filter ({_STATUS} = 'allowed')::bigint as chunks_safe,
+  count(*) filter ({_STATUS} = 'blocked')::bigint as chunks_blocked,
+  count(*) filter ({_STATUS} = 'sanitized')::bigint as chunks_sanitized,
+  count(*) filter ({_STATUS} = 'blocked') = 0 as safe_to_proceed
+from {_SCANNED} group by batch_id""")(
+    lambda t: rag.batch_summary(rag.scan_chunks(t.chunks())))
+
+
+@query("g5_safe_chunks", f"""
+select batch_id, pos, content from {_SCANNED} where {_STATUS} = 'allowed'""")
+def safe_chunks(t: Tables) -> DataFrame:
+    return rag.safe_chunks(rag.scan_chunks(t.chunks()), t.chunks()).select(
+        "batch_id", "pos", "content")
+
+
+query("g6_quick_scan", f"""
+select chunk_id, {_STATUS} as status, {_STATUS} = 'allowed' as safe from {_SCANNED}""")(
+    lambda t: rag.quick_scan(t.chunks(), "chunk_id", "content").select(
+        "chunk_id", "status", "safe"))
