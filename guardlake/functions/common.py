@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
@@ -25,6 +25,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fenced(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns exactly once.
+
+    They pass through a generator of one row.  The optimizer neither merges projections
+    across it nor moves a filter on these columns below it, where the filter would repeat
+    the whole expression for every use; filters on other columns still move down.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def compact(items: Iterable[Column]) -> Column:
     """Array of the non-null items, in order."""
     return F.array_compact(F.array(*items))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
-from guardlake.functions.common import UNICODE, any_of
+from guardlake.functions.common import UNICODE, any_of, fenced
 
 DECODED = "struct<decoded:string,layers:int,encodings:array<string>>"
 
@@ -232,13 +232,12 @@ def with_decoded(df: DataFrame, text: Column | str, out: str = "deob",
                  max_depth: int = C.MAX_DECODE_DEPTH, leet: str = "parity") -> DataFrame:
     """Add `out`: struct<decoded, layers, encodings> of one text column.
 
-    The UDF result is a column that is read several times, so the optimizer leaves it in a
-    step of its own and it is evaluated once per row.
+    The result is fenced, so the UDF runs once per row whatever is done with it later.
     """
     text = F.col(text) if isinstance(text, str) else text
     peeled = f"__peeled_{out}"
-    return (df.withColumn(peeled, _peel_udf(max_depth, False)(text))
-            .withColumn(out, _whole(F.col(peeled), text, leet)).drop(peeled))
+    df = df.withColumn(peeled, _peel_udf(max_depth, False)(text))
+    return fenced(df.withColumn(out, _whole(F.col(peeled), text, leet)).drop(peeled), out)
 
 
 def with_decoded_all(df: DataFrame, texts: Column | str, out: str,
@@ -252,6 +251,6 @@ def with_decoded_all(df: DataFrame, texts: Column | str, out: str,
     sent = F.when(F.size(texts) > 0, texts)
     none = F.array().cast(f"array<{DECODED}>")
     both = F.zip_with(texts, F.col(peeled), lambda t, p: _whole(p, t, leet))
-    return (df.withColumn(peeled, _peel_udf(max_depth, True)(sent))
-            .withColumn(out, F.when(F.col(peeled).isNull(), none).otherwise(both))
-            .drop(peeled))
+    df = df.withColumn(peeled, _peel_udf(max_depth, True)(sent))
+    return fenced(df.withColumn(out, F.when(F.col(peeled).isNull(), none).otherwise(both))
+                  .drop(peeled), out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
-from guardlake.functions.common import let, pct
+from guardlake.functions.common import let, pct, sql_text
 
 
 
@@ -17,23 +17,22 @@ def _level(label: Column) -> Column:
     return out
 
 
-def classify(text: Column) -> Column:
-    """struct<label, score>: strongest keyword group, the first one on ties."""
-    def scored(low: Column) -> Column:
-        def group(label: str, base: float, words) -> Column:
-            hits = sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0))
-            score = let(hits, lambda n: F.when(n > 0, F.lit(base) * F.least(
-                F.lit(1.0), F.lit(0.5) + n * F.lit(0.15))).otherwise(0.0))
-            return F.struct(F.lit(label).alias("label"), score.alias("score"))
-
-        return F.array(*[group(*signal) for signal in C.SIGNALS])
+def _classify_sql() -> str:
+    groups = []
+    for label, base, words in C.SIGNALS:
+        n = " + ".join(f"int(contains(low, {sql_text(w)}))" for w in words)
+        groups.append(
+            f"transform(array({n}), n -> named_struct('label', '{label}', 'score', "
+            f"CASE WHEN n > 0 THEN {base}D * least(1D, 0.5D + n * 0.15D) ELSE 0D END))[0]")
+    return (f"t -> transform(array(lower(t)), low -> transform(array(array({', '.join(groups)})), "
+            "g -> CASE WHEN exists(g, x -> x.score > 0) "
+            "THEN filter(g, x -> x.score = array_max(transform(g, y -> y.score)))[0] "
+            "ELSE named_struct('label', 'safe', 'score', 0D) END)[0])[0]")
 
-    def best(groups: Column) -> Column:
-        top = F.array_max(F.transform(groups, lambda g: g["score"]))
-        none = F.struct(F.lit("safe").alias("label"), F.lit(0.0).alias("score"))
-        return F.when(top > 0, F.filter(groups, lambda g: g["score"] == top)[0]).otherwise(none)
 
-    return let(F.lower(text), lambda low: let(scored(low), best))
+def classify(text: Column) -> Column:
+    """struct<label, score>: strongest keyword group, the first one on ties."""
+    return F.call_function("transform", F.array(text), F.expr(_classify_sql()))[0]
 
 
 def _verdict(label: Column, conf: Column, threshold: float, source: str, floor) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
-from guardlake.functions.common import level_rank, let, max_or, rank_level
+from guardlake.functions.common import level_rank, let, max_or, rank_level, sql_text
 
 THREAT = ("struct<category:string,name:string,threat_level:string,confidence:double,"
           "details:string>")
@@ -71,8 +71,8 @@ def primary(threats: Column) -> Column:
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
-    return F.try_element_at(table, key)
+    table = ", ".join(sql_text(x) for x in chain.from_iterable(pairs.items()))
+    return F.try_element_at(F.expr(f"map({table})"), key)
 
 
 def suggestion(category: Column, name: Column, level: Column) -> Column:

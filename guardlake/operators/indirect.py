@@ -23,16 +23,18 @@ def decode_texts(df: DataFrame, texts: Column, out: str, decode: bool = True,
         F.array().cast("array<string>").alias("encodings"))))
 
 
-def request_threats(tools: Column, deobs: Column, contents: Column,
+def request_threats(contents: Column, tools: Column | None = None, deobs: Column | None = None,
                     catalog: P.Catalog = P.DEFAULT) -> Column:
     """All indirect threats of a request, in order: tool output first, then markers.
 
     `deobs` holds the decoded contents of `tools`, in the same order.
     """
-    external = F.flatten(F.zip_with(tools, deobs, lambda t, d: I.external_threats(
-        d, t["source"], catalog)))
     markers = F.flatten(F.transform(contents, lambda c: I.marker_threats(
         c["content"], c["source"], catalog)))
+    if tools is None:
+        return markers
+    external = F.flatten(F.zip_with(tools, deobs, lambda t, d: I.external_threats(
+        d, t["source"], catalog)))
     return F.concat(external, markers)
 
 
@@ -72,7 +74,7 @@ def indirect_threats(requests: DataFrame, pages: DataFrame | None = None, *,
                          M.contents(F.col("messages")).alias("contents"))
     df = decode_texts(df, F.transform("tools", lambda t: t["content"]), "deobs", decode, leet)
     found = df.select("request_id", F.inline(request_threats(
-        F.col("tools"), F.col("deobs"), F.col("contents"), catalog)))
+        F.col("contents"), F.col("tools"), F.col("deobs"), catalog)))
     if pages is None:
         return found
     behind = url_threats(requests, pages, decode=decode, catalog=catalog)

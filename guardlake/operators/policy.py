@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
-from guardlake.functions.common import let
+from guardlake.functions.common import let, max_or
 
 RULE = ("struct<rule_id:string,regulation:string,category:string,description:string,"
         "trigger_condition:string,severity:string>")
@@ -140,6 +140,6 @@ def apply_guardrails(detections: DataFrame, rules=C.GUARDRAILS,
     found = F.array_compact(F.array(*checks)) if checks else empty
     actions = F.array(*[F.lit(a) for a in C.ACTIONS])
     return (detections.withColumn("__m", found)
-            .withColumn("action", F.coalesce(F.element_at(actions, F.array_max(
-                F.transform("__m", lambda m: m["rank"])) + 1), F.lit(C.ACTIONS[0])))
+            .withColumn("action", F.element_at(actions, max_or(
+                F.col("__m"), lambda m: m["rank"], 0) + 1))
             .withColumn("guardrails", F.transform("__m", lambda m: m["name"])).drop("__m"))

@@ -10,6 +10,7 @@ from guardlake.functions import messages as M
 from guardlake.functions import patterns as P
 from guardlake.functions import redact as R
 from guardlake.functions import verdict as V
+from guardlake.functions.common import fenced
 from guardlake.functions.decode import with_decoded
 from guardlake.operators.skew import lookup
 from guardlake.operators.verdict import conclude
@@ -49,7 +50,7 @@ def scan_chunks(chunks: DataFrame, *, detailed: bool = False, max_chars: int | N
                        .otherwise(F.col("__raw")))
     own = F.concat(V.pattern_threats(F.col("__scan")),
                    V.obfuscation_threat(first, "encoded_content_in_chunk", with_names=False))
-    df = df.withColumn("__own", own)
+    df = fenced(df.withColumn("__own", own), "__own", "__scan")
     deep = F.lit(True) if detailed else F.size("__scan") > 0
     df = df.withColumn("__deep", deep)
     # The decoded chunk as a request of one user message.
@@ -64,9 +65,6 @@ def scan_chunks(chunks: DataFrame, *, detailed: bool = False, max_chars: int | N
     df = (df.withColumn("__deob", F.when(F.col("__deep"), F.when(stuck, F.col("__again")).otherwise(
             F.struct(F.col("__body").alias("decoded"), F.lit(0).alias("layers"),
                      F.array().cast("array<string>").alias("encodings")))))
-          .withColumn("__tools", F.array().cast(pair))
-          .withColumn("__deobs", F.array().cast(
-              "array<struct<decoded:string,layers:int,encodings:array<string>>>"))
           .withColumn("__contents", F.when(
               F.col("__deep") & ~M.is_blank(F.col("__body")), F.array(F.struct(
                   F.lit("msg[0]:user").alias("source"), F.col("__body").alias("content"))))
@@ -92,9 +90,10 @@ def scan_chunks(chunks: DataFrame, *, detailed: bool = False, max_chars: int | N
         wanted = wanted | (F.col("status") == "sanitized")
     df = df.withColumn("__clean", F.when(wanted, R.redacted(F.col("__body"), rules)))
     keep = [c for c in CHUNK_COLUMNS if c in chunks.columns]
-    return df.select(*keep, "status", "confidence", F.col("__all").alias("threats"),
+    done = df.select(*keep, "status", "confidence", F.col("__all").alias("threats"),
                      F.when(F.col("__clean") != F.col("__body"), F.col("__clean"))
                      .alias("sanitized_content"))
+    return fenced(done, "status", "confidence", "threats", "sanitized_content")
 
 
 def quick_scan(texts: DataFrame, key: str, text: str = "text", **options) -> DataFrame:

@@ -11,6 +11,7 @@ from guardlake.functions import messages as M
 from guardlake.functions import patterns as P
 from guardlake.functions import semantic as S
 from guardlake.functions import verdict as V
+from guardlake.functions.common import fenced
 from guardlake.operators import requests as Q
 from guardlake.operators.indirect import decode_texts, request_threats
 
@@ -18,13 +19,17 @@ _TEMP = ("__text", "__tools", "__contents", "__deobs", "__deob", "__hits", "__fo
          "__sem", "__threats", "__conf")
 
 
+VERDICT = ("status", "confidence", "threat_level", "input_valid", "suggestion", "threats")
+
+
 def conclude(df: DataFrame, *, valid: Column, errors: Column, catalog: P.Catalog = P.DEFAULT,
              indirect: bool = True, context: Column | None = None, semantic: Column | None = None,
              raw: Column | None = None, semantic_threshold: float = C.SEMANTIC_THRESHOLD,
              threshold: float = C.MEDIUM_THRESHOLD, block: bool = True) -> DataFrame:
     """Add status, confidence, threats, input_valid and suggestion.
 
-    Expects __deob (decoded text), __tools, __contents and __deobs (decoded tool contents).
+    Expects __deob (decoded text), __contents and, if there can be tool output, __tools with
+    __deobs (decoded tool contents).
     `context` is a context struct; `semantic` a verdict struct to use instead of the keyword
     classifier (None: no semantic layer; the string column 'keywords': the classifier).
     """
@@ -39,8 +44,8 @@ def conclude(df: DataFrame, *, valid: Column, errors: Column, catalog: P.Catalog
     df = df.withColumn("__hits", hits)
     base = [V.obfuscation_threat(deob, "multi_layer_encoding")]
     if indirect:
-        base.append(request_threats(F.col("__tools"), F.col("__deobs"), F.col("__contents"),
-                                    catalog))
+        tools = (F.col("__tools"), F.col("__deobs")) if "__tools" in df.columns else ()
+        base.append(request_threats(F.col("__contents"), *tools, catalog=catalog))
     base.append(V.pattern_threats(F.col("__hits")))
     df = df.withColumn("__found", F.concat(*base))
     conf, threats = V.top_confidence(F.col("__found")), [F.col("__found")]
@@ -67,7 +72,7 @@ def conclude(df: DataFrame, *, valid: Column, errors: Column, catalog: P.Catalog
           .withColumn("__conf", F.when(valid, conf).otherwise(1.0)))
     found = F.col("__threats")
     lead = V.primary(found)
-    return (df.withColumn("status", F.when(valid, V.decide(
+    done = (df.withColumn("status", F.when(valid, V.decide(
                 F.col("__conf"), V.top_rank(found), F.size(found), threshold=threshold,
                 block=block)).otherwise("blocked"))
             .withColumn("confidence", F.round("__conf", 3))
@@ -77,6 +82,7 @@ def conclude(df: DataFrame, *, valid: Column, errors: Column, catalog: P.Catalog
                 lead["category"], lead["name"], lead["threat_level"])))
             .withColumn("threats", V.with_suggestions(found))
             .drop(*_TEMP))
+    return fenced(done, *VERDICT)
 
 
 def analyze_requests(requests: DataFrame, *, decode: bool = True, leet: str = "parity",

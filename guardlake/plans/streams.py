@@ -1 +1,212 @@
-"""Queries."""
+"""Queries: streaming operators, run over files until everything available is processed.
+
+Sources and sinks lie below the shared folder, so a restarted query finds its checkpoint.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from guardlake import catalog as C
+from guardlake.operators import requests as Q
+from guardlake.plans import checks as K
+from guardlake.plans import inputs as I
+from guardlake.plans.inputs import Tables
+from guardlake.plans.limits import DAY
+from guardlake.plans.multiturn import context_sql
+from guardlake.plans.redaction import _LAST
+from guardlake.plans.registry import query
+from guardlake.session import new_folder
+from guardlake.sources.readers import parse_sse, stream_responses
+from guardlake.streaming import live
+from guardlake.streaming import redaction as R
+
+PIECE = 40
+
+
+def _source(t: Tables, rows: DataFrame, name: str, files: int = 4) -> str:
+    path = new_folder(t.spark, name)
+    rows.repartition(files).write.parquet(path)
+    return path
+
+
+def _read_stream(t: Tables, path: str, per_trigger: int = 2) -> DataFrame:
+    schema = t.spark.read.parquet(path).schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+def _finish(t: Tables, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream to the end of its input into a table and read the table."""
+    folder = new_folder(t.spark, name)
+    # State is partitioned once and for all by this setting; small inputs need few.
+    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
+         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """Documents cut into pieces of 40 characters: (stream_id, seq, delta, done, ts)."""
+    n = F.ceil(F.length("text") / PIECE).cast("long")
+    last = F.greatest(n, F.lit(1)) - 1
+    rows = docs.select(F.col("doc_id").cast("string").alias("stream_id"), "text",
+                       F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("seq"),
+                       last.alias("last"))
+    return rows.select(
+        "stream_id", "seq", F.substring("text", (F.col("seq") * PIECE + 1).cast("int"),
+                                        F.lit(PIECE)).alias("delta"),
+        (F.col("seq") == F.col("last")).alias("done"),
+        F.lit("2024-01-01").cast("timestamp").alias("ts"))
+
+
+@query("s3_response_stream", f"""
+select cast(doc_id as varchar) as stream_id, length(text)::bigint as n_chars,
+  greatest(1, ceil(length(text) / {PIECE}))::bigint as n_chunks from ({K.DOCS})""")
+def response_stream(t: Tables) -> DataFrame:
+    path = _source(t, _pieces(t.attack_docs()), "pieces")
+    rows = _finish(t, stream_responses(t.spark, path, 2), "responses")
+    return rows.groupBy("stream_id").agg(F.sum(F.length("delta")).alias("n_chars"),
+                                         F.count(F.lit(1)).alias("n_chunks"))
+
+
+def _redacted(t: Tables) -> DataFrame:
+    path = _source(t, _pieces(t.attack_docs()), "pieces")
+    return _finish(t, R.redact_stream(stream_responses(t.spark, path, 2)), "redacted")
+
+
+_WHOLE = f"select cast(doc_id as varchar) as stream_id, {_LAST} as redacted from {K.redaction(K.DOCS, 'doc_id')}"
+
+
+@query("w1_streaming_redaction", _WHOLE)
+def streaming_redaction(t: Tables) -> DataFrame:
+    """Pieces released by the stream, joined: the same as redacting the whole text."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "safe"))),
+                          lambda x: x["safe"])
+    return _redacted(t).groupBy("stream_id").agg(F.array_join(ordered, "").alias("redacted"))
+
+
+query("w2_flushed_streams", f"""
+select cast(doc_id as varchar) as stream_id, 1::bigint as n_done from ({K.DOCS})""")(
+    lambda t: _redacted(t).groupBy("stream_id").agg(
+        F.count_if("done").alias("n_done")))
+
+# Matches counted before anything is replaced, rule by rule.
+_RAW_HITS = "+".join(
+    f"len(regexp_extract_all(text,{K.re2(r.regex)},0,'{'i' if r.ignore_case else 'c'}'))"
+    for r in C.RULES)
+
+query("w3_stream_summary", f"""
+select cast(doc_id as varchar) as stream_id, ({_RAW_HITS})::bigint as total_detections
+from ({K.DOCS})""")(
+    lambda t: R.stream_summary(_redacted(t)).select("stream_id", "total_detections"))
+
+
+def _sse(docs: DataFrame) -> DataFrame:
+    """SSE lines of the pieces: a comment, the data lines, [DONE]."""
+    rows = _pieces(docs)
+    body = F.to_json(F.struct(F.lit("c1").alias("id"), F.array(F.struct(
+        F.lit(0).alias("index"), F.struct(F.col("delta").alias("content")).alias("delta")))
+        .alias("choices")))
+    lines = rows.select("stream_id", (F.col("seq") + 1).alias("seq"),
+                        F.concat(F.lit("data: "), body).alias("line"))
+    ends = rows.filter("done").select("stream_id", (F.col("seq") + 2).alias("seq"),
+                                      F.lit("data: [DONE]").alias("line"))
+    starts = rows.filter("seq = 0").select("stream_id", "seq", F.lit(": open").alias("line"))
+    return lines.unionByName(ends).unionByName(starts)
+
+
+query("s4_sse_transcript", f"""
+select cast(doc_id as varchar) as stream_id, 2::bigint as n_other,
+  greatest(1, ceil(length(text) / {PIECE}))::bigint as n_data, length(text)::bigint as n_chars
+from ({K.DOCS})""")(
+    lambda t: parse_sse(_sse(t.attack_docs())).groupBy("stream_id").agg(
+        F.count_if(F.col("kind") != "data").alias("n_other"),
+        F.count_if(F.col("kind") == "data").alias("n_data"),
+        F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("n_chars")))
+
+
+@query("w4_streaming_sse", _WHOLE)
+def streaming_sse(t: Tables) -> DataFrame:
+    """Contents of the filtered lines, joined."""
+    path = _source(t, _sse(t.attack_docs()), "sse")
+    lines = _finish(t, R.redact_sse(_read_stream(t, path)), "sse-out")
+    # A flushed remainder shares its row with the [DONE] line.
+    each = lines.select("stream_id", "seq", F.posexplode(F.split("line", "\n\n(?=data: )"))
+                        .alias("part", "line"))
+    parsed = parse_sse(each).filter("kind = 'data'")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "content"))),
+                          lambda x: x["content"])
+    return parsed.groupBy("stream_id").agg(F.array_join(ordered, "").alias("redacted"))
+
+
+@query("w5_finished_streams", _WHOLE)
+def finished_streams(t: Tables) -> DataFrame:
+    """Short streams redacted as one value, long ones (past 3000 characters here) piecewise."""
+    parts = R.redact_finished(_pieces(t.attack_docs()), max_chars=3000)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "redacted"))),
+                          lambda x: x["redacted"])
+    return parts.groupBy("stream_id").agg(F.array_join(ordered, "").alias("redacted"))
+
+
+@query("w6_live_request_scan")
+def live_scan(t: Tables) -> DataFrame:
+    """Requests scanned as a stream into log and event tables; log rows per status."""
+    rows = Q.from_messages(t.messages()).withColumn(
+        "created_at", F.lit("2024-01-01").cast("timestamp"))
+    path = _source(t, rows, "requests")
+    folder = new_folder(t.spark, "live")
+    live.scan_requests(_read_stream(t, path), f"{folder}/logs", f"{folder}/events",
+                       f"{folder}/checkpoint").awaitTermination()
+    return (t.spark.read.parquet(f"{folder}/logs").groupBy("status", "threat_level")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("w7_live_window_counts", f"""
+select api_key_id, strftime(to_timestamp((epoch_us(ts) // {DAY * 1000000}) * {DAY}),'%Y-%m-%d') as day,
+  count(*)::bigint as n_events, greatest(0, count(*) - 25)::bigint as n_rejected
+from ({K.LOGS}) group by 1, 2
+having (epoch_us(min(ts)) // {DAY * 1000000} + 1) * {DAY} <= (select epoch(max(ts)) from ({K.LOGS})) - 120""")
+def live_window_counts(t: Tables) -> DataFrame:
+    """Windows closed by the watermark (the open one at the end of the input is not)."""
+    path = _source(t, t.logs().orderBy("ts"), "events", 1)
+    counts = live.window_counts(_read_stream(t, path), "api_key_id", window=DAY, limit=20,
+                                burst=5)
+    return _finish(t, counts, "window-counts").select(
+        "api_key_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n_events",
+        "n_rejected")
+
+
+@query("w7_live_decisions", f"""
+select api_key_id as key, count(*)::bigint as n_events, count(*) filter (current <= 25)::bigint as n_allowed
+from (select api_key_id, row_number() over (partition by api_key_id, epoch_us(ts) // {DAY * 1000000}
+  order by ts, event_id) as current from ({K.LOGS})) group by 1""")
+def live_decisions(t: Tables) -> DataFrame:
+    path = _source(t, t.logs(), "events", 1)
+    rows = live.limit_events(_read_stream(t, path), "api_key_id", window=DAY, limit=20, burst=5,
+                             lateness="60 days")
+    return _finish(t, rows, "decisions").groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_if("allowed").alias("n_allowed"))
+
+
+@query("w8_live_context", f"select conv_id, turn, confidence, issues from {context_sql(K.TALKS)}")
+def live_context(t: Tables) -> DataFrame:
+    path = _source(t, t.talks(), "talks", 1)
+    return _finish(t, live.live_context(_read_stream(t, path)), "contexts").select(
+        "conv_id", "turn", "context.confidence",
+        F.array_join("context.issues", "; ").alias("issues"))
+
+
+@query("w9_live_canaries", f"""
+select conv_id, turn, token, request_id from (
+  select s.conv_id, s.turn, s.token, r.request_id from (
+    select conv_id, turn, ts, unnest(regexp_extract_all(text,'{C.CANARY_PRIMARY.replace("[", chr(92) + "[").replace("]", chr(92) + "]").replace("{h}", "([0-9a-f]{16})")}',1)) as token from ({I.for_check(I.CANARY_RESPONSES)})
+    union all select conv_id, turn, ts, replace(unnest(regexp_extract_all(text,'\\[REF-ID: ([0-9a-f]{{8}}-[0-9a-f]{{8}})\\]',1)),'-','') from ({I.for_check(I.CANARY_RESPONSES)})
+  ) s join ({I.for_check(I.CANARY_REGISTRY)}) r on s.token = r.token
+  and s.ts >= r.injected_at and s.ts <= r.injected_at + interval '300' second)""")
+def live_canaries(t: Tables) -> DataFrame:
+    said = _source(t, t.sql(I.CANARY_RESPONSES), "responses", 1)
+    tokens = _source(t, t.sql(I.CANARY_REGISTRY), "tokens", 1)
+    rows = live.match_canaries(_read_stream(t, said), _read_stream(t, tokens),
+                               ["conv_id", "turn"])
+    return _finish(t, rows, "leaks").select("conv_id", "turn", "token", "request_id")

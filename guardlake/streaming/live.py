@@ -70,17 +70,18 @@ def limit_events(events: DataFrame, key: str, *, ts: str = "ts", event: str = "e
         if state.hasTimedOut:
             state.remove()
             return
-        seen = state.get[0] if state.exists else 0
+        seen = int(state.get[0]) if state.exists else 0
+        window_id = int(group[1])
         for batch in batches:
             batch = batch.sort_values(["ts", "event_id"], ignore_index=True)
             current = seen + 1 + batch.index.to_numpy()
             seen += len(batch)
-            yield pd.DataFrame({"key": group[0], "window_id": group[1],
+            yield pd.DataFrame({"key": group[0], "window_id": window_id,
                                 "event_id": batch["event_id"], "current": current,
                                 "allowed": current <= cap})
-        state.update((seen,))
-        end = (group[1] + 1) * window * 1000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        state.update((int(seen),))
+        end = (window_id + 1) * window * 1000
+        state.setTimeoutTimestamp(max(end, int(state.getCurrentWatermarkMs()) + 1))
 
     return rows.groupBy("key", "window_id").applyInPandasWithState(
         run, "key string, window_id long, event_id long, current long, allowed boolean",
@@ -88,10 +89,11 @@ def limit_events(events: DataFrame, key: str, *, ts: str = "ts", event: str = "e
 
 
 def conversation_history(messages: DataFrame, size: int = C.MAX_HISTORY,
-                         idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+                         idle_ms: int | None = None) -> DataFrame:
     """Each message of a stream (conv_id, turn, role, text) with the messages before it.
 
-    State per conversation: its last `size` messages; forgotten after `idle_ms` of silence.
+    State per conversation: its last `size` messages; with `idle_ms`, forgotten after that
+    much silence (such a stream never runs out of batches, so give it a running trigger).
     Turns of one conversation must arrive in order from batch to batch.
     """
     entry = "array<struct<role:string,content:string>>"
@@ -109,14 +111,16 @@ def conversation_history(messages: DataFrame, size: int = C.MAX_HISTORY,
                         [{"role": r, "content": t} for r, t in past]))
             past = [*past, (role, text)][-size:]
         state.update(([r for r, _ in past], [t for _, t in past]))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text", "history"])
 
+    timeout = (GroupStateTimeout.ProcessingTimeTimeout if idle_ms
+               else GroupStateTimeout.NoTimeout)
     return (messages.select("conv_id", "turn", "role", "text").groupBy("conv_id")
             .applyInPandasWithState(
                 run, f"conv_id long, turn long, role string, text string, history {entry}",
-                "roles array<string>, texts array<string>", "append",
-                GroupStateTimeout.ProcessingTimeTimeout))
+                "roles array<string>, texts array<string>", "append", timeout))
 
 
 def live_context(messages: DataFrame, max_history: int = C.MAX_HISTORY) -> DataFrame:
