@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardlake.functions import redact as R
+from guardlake.functions.common import fenced
 
 
 def redact(df: DataFrame, text: str = "text", out: str = "redacted",
@@ -17,8 +18,8 @@ def redact(df: DataFrame, text: str = "text", out: str = "redacted",
 def filter_text(df: DataFrame, text: str = "text", rules: R.Rules = R.DEFAULT) -> DataFrame:
     """Add `redacted` and `redactions` (one struct per rule that fired)."""
     both = "__filtered"
-    return (df.withColumn(both, R.filtered(F.col(text), rules))
-            .withColumn("redacted", F.col(both)["text"])
+    df = fenced(df.withColumn(both, R.filtered(F.col(text), rules)), both)
+    return (df.withColumn("redacted", F.col(both)["text"])
             .withColumn("redactions", F.col(both)["detections"]).drop(both))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from guardlake.functions import context as X
 from guardlake.functions import patterns as P
 from guardlake.functions import redact as R
+from guardlake.functions.common import fenced
 
 
 def _col(c: Column | str) -> Column:
@@ -17,7 +18,7 @@ def _col(c: Column | str) -> Column:
 def with_detections(df: DataFrame, text: Column | str = "text", out: str = "detections",
                     catalog: P.Catalog = P.DEFAULT) -> DataFrame:
     """Add the array of detections of a text column."""
-    return df.withColumn(out, P.scan(_col(text), catalog))
+    return fenced(df.withColumn(out, P.scan(_col(text), catalog)), out)
 
 
 def pattern_hits(df: DataFrame, keys: list[str], text: Column | str = "text",
