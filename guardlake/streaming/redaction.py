@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardlake import catalog as C
 from guardlake.functions import redact as R
-from guardlake.streaming.redactor import Pieces
+from guardlake.streaming.redactor import Pieces, Redactor
 
 OUT = "stream_id string, seq long, safe string, categories array<string>, done boolean"
 STATE = "buffer string, next_seq long, waiting string"
@@ -28,11 +28,11 @@ def redact_stream(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
     State per stream: the text held back, the next sequence number and early arrivals.  The
     row with `done` flushes and forgets the stream; with `idle_ms` so does silence.
     """
-    plain = rules.rules
+    redactor = Redactor(rules.rules)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
             ) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(plain, window, state.get if state.exists else None)
+        pieces = Pieces(redactor, window, state.get if state.exists else None)
         out, ended = [], False
         if state.hasTimedOut:
             text, cats = pieces.flush()
@@ -68,7 +68,7 @@ def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
     Lines that carry no content pass through unchanged.  What is held back is sent as one
     more data line before the [DONE] line.
     """
-    plain = rules.rules
+    redactor = Redactor(rules.rules)
 
     def delta_of(line: str):
         if not line.startswith("data: "):
@@ -82,7 +82,7 @@ def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
             ) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(plain, window, state.get if state.exists else None)
+        pieces = Pieces(redactor, window, state.get if state.exists else None)
         out, ended = [], False
         for batch in batches:
             for seq, raw in zip(batch["seq"], batch["line"]):
@@ -135,7 +135,7 @@ def redact_finished(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
              .agg(F.array_join(ordered, "").alias("text"))
              .select("stream_id", F.lit(0).cast("long").alias("part"),
                      R.redacted(F.col("text"), rules).alias("redacted")))
-    plain = rules.rules
+    redactor = Redactor(rules.rules)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, pieces, part = None, None, 0
@@ -146,7 +146,7 @@ def redact_finished(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
                 if stream != current:
                     if pieces is not None:
                         out.append((current, part, pieces.flush()[0]))
-                    current, pieces, part = stream, Pieces(plain, window), 0
+                    current, pieces, part = stream, Pieces(redactor, window), 0
                 text, _ = pieces.push(delta or "")
                 if text:
                     out.append((stream, part, text))

@@ -8,7 +8,6 @@ joined, equal the redaction of the whole text.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -17,65 +16,65 @@ from guardlake.catalog import RULES
 
 HELD_WORDS = 16
 
-
-@functools.cache
-def compiled(rules: tuple) -> tuple:
-    return tuple((r, re.compile(r.regex, re.IGNORECASE if r.ignore_case else 0)) for r in rules)
-
-
 # What a text must contain for any of the catalog rules to match: one search instead of
 # thirteen on most text.
 _TRIGGER = re.compile(
     r"@|[0-9]{4}|sk-|ghp_|AKIA|api|API|Bearer|-----BEGIN"
     r"|(?i:passw|pwd|you\s+are|system\s+prompt|my\s+(?:initial|original|system))")
+_WORD = re.compile(r"\S+")
+
 
+class Redactor:
+    """The rules, compiled."""
 
-@functools.cache
-def _all_known(rules: tuple) -> bool:
-    return set(rules) <= set(RULES)
+    def __init__(self, rules: tuple):
+        self.rules = [(r, re.compile(r.regex, re.IGNORECASE if r.ignore_case else 0))
+                      for r in rules]
+        self.gated = set(rules) <= set(RULES)
 
+    def quiet(self, text: str) -> bool:
+        """True if none of the rules can match."""
+        return self.gated and not _TRIGGER.search(text)
 
-def quiet(text: str, rules: tuple) -> bool:
-    """True if none of the rules can match."""
-    return _all_known(rules) and not _TRIGGER.search(text)
+    def redact(self, text: str) -> str:
+        if self.quiet(text):
+            return text
+        for rule, regex in self.rules:
+            text = regex.sub(lambda m, to=rule.replacement: to, text)
+        return text
+
+    def found(self, text: str) -> list[str]:
+        """Category of every match, counted before anything is replaced."""
+        if self.quiet(text):
+            return []
+        return [rule.category for rule, regex in self.rules for _ in regex.finditer(text)]
+
+    def release(self, buffer: str, window: int) -> tuple[str, str]:
+        """(text that can go out, text to hold back), both unredacted."""
+        if len(buffer) <= window:
+            return "", buffer
+        starts = [m.start() for m in _WORD.finditer(buffer)][:-HELD_WORDS]
+        cuts = [at for at in reversed(starts) if 0 < at <= len(buffer) - window]
+        if not cuts:
+            return "", buffer
+        if self.quiet(buffer):
+            return buffer[:cuts[0]], buffer[cuts[0]:]
+        whole = self.redact(buffer)
+        for at in cuts:
+            if self.redact(buffer[:at]) + self.redact(buffer[at:]) == whole:
+                return buffer[:at], buffer[at:]
+        return "", buffer
 
 
 def redact(text: str, rules: tuple) -> str:
-    if quiet(text, rules):
-        return text
-    for rule, regex in compiled(rules):
-        text = regex.sub(lambda m, to=rule.replacement: to, text)
-    return text
-
-
-def found(text: str, rules: tuple) -> list[str]:
-    """Category of every match, counted before anything is replaced."""
-    if quiet(text, rules):
-        return []
-    return [rule.category for rule, regex in compiled(rules) for _ in regex.finditer(text)]
-
-
-def release(buffer: str, rules: tuple, window: int) -> tuple[str, str]:
-    """(text that can go out, text to hold back), both unredacted."""
-    starts = [m.start() for m in re.finditer(r"\S+", buffer)]
-    whole = None
-    still = quiet(buffer, rules)
-    for at in reversed(starts[:-HELD_WORDS]):
-        if at == 0 or len(buffer) - at < window:
-            continue
-        if still:
-            return buffer[:at], buffer[at:]
-        whole = redact(buffer, rules) if whole is None else whole
-        if redact(buffer[:at], rules) + redact(buffer[at:], rules) == whole:
-            return buffer[:at], buffer[at:]
-    return "", buffer
+    return Redactor(rules).redact(text)
 
 
 class Pieces:
     """One stream: puts pieces in order, cuts, redacts.  `state` is what survives batches."""
 
-    def __init__(self, rules: tuple, window: int, state: tuple | None = None):
-        self.rules, self.window = rules, window
+    def __init__(self, redactor: Redactor, window: int, state: tuple | None = None):
+        self.redactor, self.window = redactor, window
         self.buffer, self.next_seq, waiting = state or ("", 0, "[]")
         self.waiting = [tuple(x) for x in json.loads(waiting)]
         heapq.heapify(self.waiting)
@@ -97,10 +96,9 @@ class Pieces:
 
     def push(self, text: str) -> tuple[str, list[str]]:
         """Add text; return (redacted text to emit, categories found in it)."""
-        safe, self.buffer = release(self.buffer + text, self.rules, self.window)
-        return redact(safe, self.rules), found(safe, self.rules)
+        safe, self.buffer = self.redactor.release(self.buffer + text, self.window)
+        return (self.redactor.redact(safe), self.redactor.found(safe)) if safe else ("", [])
 
     def flush(self) -> tuple[str, list[str]]:
         rest, self.buffer = self.buffer, ""
-        return redact(rest, self.rules), found(rest, self.rules)
-
+        return self.redactor.redact(rest), self.redactor.found(rest)
