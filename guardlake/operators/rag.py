@@ -107,6 +107,7 @@ def fail_fast(scanned: DataFrame) -> DataFrame:
     """Keep each batch up to and including its first blocked chunk.
 
     The position comes from a map-side combined minimum, so a large batch is not gathered.
+    `scanned` is read twice: pass a stored table (`session.stored`), not a pending scan.
     """
     stops = (scanned.filter("status = 'blocked'").groupBy("batch_id")
              .agg(F.min("pos").alias("__stop")))

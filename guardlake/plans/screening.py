@@ -10,7 +10,7 @@ from guardlake.operators import policy, rag
 from guardlake.plans import checks as K
 from guardlake.plans.inputs import Tables
 from guardlake.plans.registry import query
-from guardlake.session import new_folder
+from guardlake.session import new_folder, stored
 from guardlake.sources.readers import CHUNK, read_chunks
 
 
@@ -98,7 +98,8 @@ with s as (select *, {_STATUS} as st from {_SCANNED}),
 b as (select batch_id, min(pos) as stop from s where st = 'blocked' group by batch_id)
 select s.batch_id, s.pos, s.st as status from s left join b on s.batch_id = b.batch_id
 where stop is null or s.pos <= stop""")(
-    lambda t: rag.fail_fast(rag.scan_chunks(t.chunks())).select("batch_id", "pos", "status"))
+    lambda t: rag.fail_fast(stored(rag.scan_chunks(t.chunks()), "scanned")).select(
+        "batch_id", "pos", "status"))
 
 query("g4_batch_summary", f"""
 select batch_id, count(*)::bigint as chunks_scanned,
