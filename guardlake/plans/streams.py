@@ -48,16 +48,12 @@ def _finish(t: Tables, stream: DataFrame, name: str, mode: str = "append") -> Da
 
 def _pieces(docs: DataFrame) -> DataFrame:
     """Documents cut into pieces of 40 characters: (stream_id, seq, delta, done, ts)."""
-    n = F.ceil(F.length("text") / PIECE).cast("long")
-    last = F.greatest(n, F.lit(1)) - 1
-    rows = docs.select(F.col("doc_id").cast("string").alias("stream_id"), "text",
-                       F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("seq"),
-                       last.alias("last"))
-    return rows.select(
-        "stream_id", "seq", F.substring("text", (F.col("seq") * PIECE + 1).cast("int"),
-                                        F.lit(PIECE)).alias("delta"),
-        (F.col("seq") == F.col("last")).alias("done"),
-        F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    last = F.greatest(F.ceil(F.length("text") / PIECE).cast("long"), F.lit(1)) - 1
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(
+        i.alias("seq"), F.substring(F.col("text"), (i * PIECE + 1).cast("int"), F.lit(PIECE))
+        .alias("delta"), (i == last).alias("done")))
+    return docs.select(F.col("doc_id").cast("string").alias("stream_id"), F.inline(cut)).select(
+        "*", F.lit("2024-01-01").cast("timestamp").alias("ts"))
 
 
 @query("s3_response_stream", f"""
