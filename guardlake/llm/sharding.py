@@ -30,12 +30,15 @@ def propagate(linked: DataFrame, quota: float, shards: int = SHARDS,
     """
     state = stored(linked, "shard-start")
     bucket = F.pmod(F.xxhash64("group", "spread"), F.lit(REQUEST_BUCKETS)).cast("int")
+    closed: set[int] = set()  # shards whose room holds none of the buckets that asked for it
     for _ in range(max_rounds):
         held = {r[0]: r[1] for r in state.groupBy("shard").agg(F.sum("size")).collect()}
         room = {s: quota - held.get(s, 0) for s in range(shards)}
-        open_shards = F.array(*(F.lit(s) for s in range(shards) if room[s] > 0))
+        open_shards = [s for s in range(shards) if room[s] > 0 and s not in closed]
+        if not open_shards:
+            break
         weight = state.groupBy("group", "shard").agg(F.sum("size").alias("inside"))
-        best = (weight.where(F.array_contains(open_shards, F.col("shard")))
+        best = (weight.where(F.col("shard").isin(open_shards))
                 .groupBy("group").agg(F.max(F.struct(
                     "inside", (-F.col("shard")).alias("minus"))).alias("best")))
         # the group's weight where it would go and where it is
@@ -43,25 +46,34 @@ def propagate(linked: DataFrame, quota: float, shards: int = SHARDS,
                  .where(F.struct("inside", (-F.col("shard")).alias("minus")) < F.col("best"))
                  .select("group", "shard", (-F.col("best.minus")).cast("int").alias("to")))
         wishes = state.join(asked, ["group", "shard"]).withColumn("bucket", bucket)
-        admitted, moves = {}, 0
         sums = wishes.groupBy("to", "bucket").agg(F.sum("size").alias("size")).collect()
-        for to in range(shards):
-            used, upto = 0, 0
-            for b, size in sorted((r["bucket"], r["size"]) for r in sums if r["to"] == to):
-                if used + size > room[to]:
-                    break
-                used, upto, moves = used + size, b + 1, moves + 1
-            admitted[to] = upto
-        if not moves:
-            break
-        limits = F.array(*(F.lit(admitted[s]) for s in range(shards)))
-        limit = F.element_at(limits, F.coalesce("to", F.lit(0)) + 1)
+        admitted = _admitted(sums, room, shards)
+        refused = {r["to"] for r in sums} - {s for s in range(shards) if "1" in admitted[s]}
+        closed |= refused
+        if not any("1" in x for x in admitted):
+            if not refused:
+                break
+            continue
+        marks = F.element_at(F.array(*map(F.lit, admitted)), F.coalesce("to", F.lit(0)) + 1)
         moved = state.join(asked, ["group", "shard"], "left").withColumn("shard", F.when(
-            F.col("to").isNotNull() & (bucket < limit), F.col("to")).otherwise(F.col("shard")))
+            F.col("to").isNotNull() & (F.substring(marks, bucket + 1, F.lit(1)) == "1"),
+            F.col("to")).otherwise(F.col("shard")))
         state = stored(moved.drop("to"), "shard-round")
     return state
 
 
+def _admitted(sums, room: dict[int, float], shards: int) -> list[str]:
+    """Per shard a string of 1 for every bucket of requests that its room holds, in turn."""
+    out = []
+    for to in range(shards):
+        marks, left = ["0"] * REQUEST_BUCKETS, room[to]
+        for b, size in sorted((r["bucket"], r["size"]) for r in sums if r["to"] == to):
+            if size <= left:
+                marks[b], left = "1", left - size
+        out.append("".join(marks))
+    return out
+
+
 def filled(single: DataFrame, room: list[float], rows: int) -> DataFrame:
     """Rows (size, spread) with `shard` given so that the sizes in the shards stand as `room`."""
     buckets = max(1, rows // BUCKET_ROWS)
