@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,9 @@ class WordTokens:
         self.other = re.compile(f"[^{of(c for c in low if c not in odd)}]|<\\|")
         self.space = re.compile(f"[{of(spaces)}]")
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def __call__(self, text: str) -> bytes:
         if self.other.search(text):
@@ -69,10 +73,24 @@ class WordTokens:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known = self.known
-        for word in set(words).difference(known):
-            known[word] = self.ids(word)
+        self._learn(list(set(words).difference(known)))
         return b"".join(map(known.__getitem__, words))
 
+    def _learn(self, words: list[str]) -> None:
+        """Ask for the ids of words in one text; each word's last id says that a word ends."""
+        if not words:
+            return
+        found = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids,
+                         "<u4")
+        ends = np.flatnonzero(self.ends[found]) + 1
+        if len(ends) == len(words):
+            data, start = found.tobytes(), 0
+            for word, end in zip(words, ends.tolist()):
+                self.known[word] = data[4 * start:4 * end]
+                start = end
+        else:
+            self.known.update((word, self.ids(word)) for word in words)
+
     def ids(self, text: str) -> bytes:
         found = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in found)
