@@ -242,7 +242,7 @@ def identified(docs: DataFrame) -> DataFrame:
     return with_language(rows, net, ["doc_id", "held_out"])
 
 
-def in_known_language(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+def in_known_language(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The documents whose language is recognised: neither `und` nor below `min_score`."""
     net = fit(docs, held_out_rows())
     found = with_language(docs, net, docs.columns, "__lang", "__score")
