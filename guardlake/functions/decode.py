@@ -1,10 +1,8 @@
 """De-obfuscation: single-layer decoders as SQL expressions, and the fixed point.
 
-`deobfuscate` peels layers until the text stops changing.  Most rows need at most the
-character map, which is a `translate` in the JVM.  Only rows holding something that the
-expressions cannot undo exactly (compatibility characters, entities, percent or hex
-escapes, base64-like runs, rotated words, split letters) are sent to Python, in Arrow
-batches; the others are passed as nulls.
+The fixed point peels layers until the text stops changing.  Every text goes to Python for that,
+in Arrow batches, and unchanged ones come back as nulls; the single-layer expressions are for
+columns that are known to hold one encoding.
 """
 
 from __future__ import annotations
@@ -42,40 +40,45 @@ def _replace_each(text: Column, matches: Column, decoded) -> Column:
     return F.aggregate(ordered, text, lambda acc, m: F.replace(acc, m, decoded(m)))
 
 
+def _each_part(text: Column, encoded: str, plain: str, decoded) -> Column:
+    """Cut a text into encoded and plain parts in one pass and decode each encoded part once.
+
+    `plain` matches whatever is not `encoded`; no output is read again.
+    """
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)(?:{encoded})|{plain}"), 0)
+    return F.array_join(F.transform(parts, lambda m: F.when(
+        m.rlike(f"\\A(?:{encoded})\\z"), decoded(m)).otherwise(m)), "")
+
+
 def _bytes_to_text(hex_digits: Column) -> Column:
     return F.make_valid_utf8(F.unhex(hex_digits).cast("string"))
 
 
 def percent_decode(text: Column) -> Column:
     """%XX runs decoded as UTF-8; invalid escapes and '+' are kept."""
-    runs = F.regexp_extract_all(text, F.lit("(?:%[0-9a-fA-F]{2})+"), 0)
-    return _replace_each(text, runs, lambda m: _bytes_to_text(F.replace(m, F.lit("%"))))
+    return _each_part(text, "(?:%[0-9a-fA-F]{2})+", "[^%]+|%",
+                      lambda m: _bytes_to_text(F.replace(m, F.lit("%"))))
 
 
 def numeric_entities(text: Column) -> Column:
     """Decimal character references of the Basic Multilingual Plane."""
-    refs = F.regexp_extract_all(text, F.lit("&#[0-9]{1,5};"), 0)
-
     def char(m: Column) -> Column:
         code = F.regexp_extract(m, "[0-9]+", 0).cast("int")
         utf16 = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
         ordinary = code.between(32, 126) | code.between(160, 0xD7FF)
         return F.when(ordinary, utf16).otherwise(m)
 
-    return _replace_each(text, refs, char)
+    return _each_part(text, "&#[0-9]{1,5};", "[^&]+|&", char)
 
 
 def hex_decode(text: Column) -> Column:
     r"""\xHH escapes to the character with that code."""
-    escapes = F.regexp_extract_all(text, F.lit(C.HEX_ESCAPE), 0)
-    return _replace_each(text, escapes, lambda m: F.decode(
+    return _each_part(text, C.HEX_ESCAPE, r"[^\\]+|\\", lambda m: F.decode(
         F.unhex(F.concat(F.lit("00"), F.substring(m, 3, 2))), "UTF-16BE"))
 
 
 def base64_decode(text: Column) -> Column:
     """Base64 runs of 16 or more characters that hold printable UTF-8."""
-    runs = F.regexp_extract_all(text, F.lit(C.BASE64_RUN), 0)
-
     def plain(m: Column) -> Column:
         raw = F.try_to_binary(F.when(F.length(m) % 4 == 0, m), F.lit("base64")).cast("string")
         odd = F.regexp_count(raw, F.lit(r"(?U)[\p{C}\p{Z}&&[^ \n\r\t]]"))
@@ -83,7 +86,7 @@ def base64_decode(text: Column) -> Column:
                 & (F.length(raw) - odd > C.PRINTABLE_SHARE * F.length(raw)))
         return F.when(good, raw).otherwise(m)
 
-    return _replace_each(text, runs, plain)
+    return _each_part(text, C.BASE64_RUN, "[A-Za-z0-9+/]{1,15}|[^A-Za-z0-9+/]+", plain)
 
 
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"

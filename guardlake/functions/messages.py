@@ -36,20 +36,25 @@ def flat_text(messages: Column) -> Column:
     return F.array_join(F.flatten(F.transform(messages, pieces)), "\n")
 
 
-def contents(messages: Column) -> Column:
-    """array<struct<source, content>> of the non-blank messages, as 'msg[i]:role'."""
+def contents(messages: Column, first: Column | None = None) -> Column:
+    """array<struct<source, content>> of the non-blank messages, as 'msg[i]:role'.
+
+    `first` is the position of the first message, 0 by default.
+    """
+    first = F.lit(0) if first is None else first
     labelled = F.transform(messages, lambda m, i: F.struct(
-        F.format_string("msg[%d]:%s", i, m["role"]).alias("source"),
+        F.format_string("msg[%d]:%s", i + first, m["role"]).alias("source"),
         content(m).alias("content")))
     return F.filter(labelled, lambda x: ~is_blank(x["content"]))
 
 
-def tool_contents(messages: Column) -> Column:
+def tool_contents(messages: Column, first: Column | None = None) -> Column:
     """array<struct<source, content>> of non-blank tool output, as 'tool:name' or
     'tool_msg[i]'."""
+    first = F.lit(0) if first is None else first
     labelled = F.transform(messages, lambda m, i: F.struct(
         F.when(F.coalesce(m["name"], F.lit("")) != "", F.concat(F.lit("tool:"), m["name"]))
-        .otherwise(F.format_string("tool_msg[%d]", i)).alias("source"),
+        .otherwise(F.format_string("tool_msg[%d]", i + first)).alias("source"),
         F.when(m["role"].isin(*C.TOOL_ROLES), content(m)).alias("content")))
     return F.filter(labelled, lambda x: x["content"].isNotNull() & ~is_blank(x["content"]))
 

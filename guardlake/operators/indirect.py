@@ -69,9 +69,10 @@ def url_threats(requests: DataFrame, pages: DataFrame, **options) -> DataFrame:
 def indirect_threats(requests: DataFrame, pages: DataFrame | None = None, *,
                      decode: bool = True, leet: str = "parity",
                      catalog: P.Catalog = P.DEFAULT) -> DataFrame:
-    """One row per (request, indirect threat)."""
-    df = requests.select("request_id", M.tool_contents(F.col("messages")).alias("tools"),
-                         M.contents(F.col("messages")).alias("contents"))
+    """One row per (request, indirect threat), from whole requests or single messages."""
+    first = Q.first_position(requests)
+    df = requests.select("request_id", M.tool_contents(F.col("messages"), first).alias("tools"),
+                         M.contents(F.col("messages"), first).alias("contents"))
     df = decode_texts(df, F.transform("tools", lambda t: t["content"]), "deobs", decode, leet)
     found = df.select("request_id", F.inline(request_threats(
         F.col("contents"), F.col("tools"), F.col("deobs"), catalog)))

@@ -58,14 +58,17 @@ def check_tiers(events: DataFrame, *, ip: str = "client_ip", api_key: str = "api
     tiers.append(F.when(F.coalesce(F.col(api_key), F.lit("")) != "", F.struct(
         F.lit(2).alias("tier"), F.concat(F.lit("user:"), F.col(api_key)).alias("id"),
         F.lit(key_limit).alias("cap"))))
-    rows = events.select(order, ts, F.inline(compact(tiers)))
+    row = "__row"  # events may repeat their id and time
+    rows = events.select(F.monotonically_increasing_id().alias(row), order, ts,
+                         compact(tiers).alias("tiers"))
+    rows = rows.select(row, order, ts, F.inline("tiers"))
     rows = counted(rows, ["tier", "id"], ts, order, window)
     allowed, _, reset = decision(F.col("current"), F.unix_seconds(ts), F.col("cap"), window,
                                  burst)
-    rows = rows.select(order, ts, "tier", allowed, reset)
+    rows = rows.select(row, order, ts, "tier", allowed, reset)
     over = F.array_sort(F.collect_list(F.when(~F.col("allowed"), F.col("tier"))))
     names = F.array(F.lit("global"), F.lit("ip"), F.lit("user"))
-    return (rows.groupBy(order, ts).agg(
+    return (rows.groupBy(row, order, ts).agg(
                 F.bool_and("allowed").alias("allowed"), over.alias("over"),
                 F.max(F.when(F.col("tier") == 1, F.col("reset_after_seconds")))
                 .alias("ip_reset"))

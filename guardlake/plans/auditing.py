@@ -91,8 +91,10 @@ def _histogram(value: str, buckets, label: str | None) -> str:
     return f"select {keys}le, n, total, round(sum,3) as sum from ({rows})"
 
 
-query("a9_request_histogram", _histogram("total_ms", C.REQUEST_SECONDS_BUCKETS, "endpoint"))(
-    lambda t: A.histogram(t.logs(), "total_ms", C.REQUEST_SECONDS_BUCKETS, ("endpoint",))
+query("a9_request_histogram", _histogram("(total_ms / 1e3)", C.REQUEST_SECONDS_BUCKETS,
+                                         "endpoint"))(
+    lambda t: A.histogram(t.logs().withColumn("seconds", F.col("total_ms") / F.lit(1e3)),
+                          "seconds", C.REQUEST_SECONDS_BUCKETS, ("endpoint",))
     .withColumn("sum", F.round("sum", 3)))
 
 query("a9_analysis_histogram", _histogram("processing_ms", C.ANALYSIS_MS_BUCKETS, None))(

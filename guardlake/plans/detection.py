@@ -11,7 +11,7 @@ from guardlake.functions import indirect as I
 from guardlake.functions import patterns as P
 from guardlake.functions import semantic as S
 from guardlake.operators import indirect, scan
-from guardlake.operators.requests import from_messages
+from guardlake.operators.requests import single_messages
 from guardlake.plans import checks as K
 from guardlake.plans.inputs import LETTERS_SQL, Tables, letters_only
 from guardlake.plans.registry import query
@@ -219,7 +219,7 @@ def _tools(t: Tables) -> DataFrame:
     """(request_id, source, words) of tool output."""
     from guardlake.operators.requests import tool_contents
 
-    return tool_contents(from_messages(t.messages(), max_chars=10 ** 9)).select(
+    return tool_contents(single_messages(t.messages())).select(
         "request_id", "source", letters_only(F.col("content")).alias("words"))
 
 
@@ -317,7 +317,7 @@ _WORD_PAGES_SQL = _WORD_PAGES.format(words=LETTERS_SQL.format(x="html"))
 
 
 def _url_requests(t: Tables) -> DataFrame:
-    return from_messages(t.sql(_URL_MESSAGES), max_chars=10 ** 9)
+    return single_messages(t.sql(_URL_MESSAGES))
 
 
 @query("i7_pages_behind_urls", f"""
@@ -352,7 +352,7 @@ select request_id, name, count(*)::bigint as n, round(max(confidence),6) as conf
 group by request_id, name""")
 def all_indirect(t: Tables) -> DataFrame:
     """Every kind together, decoding off so that SQL can tell the same."""
-    found = indirect.indirect_threats(from_messages(t.messages(), max_chars=10 ** 9),
+    found = indirect.indirect_threats(single_messages(t.messages()),
                                       decode=False)
     return found.groupBy("request_id", "name").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.max("confidence"), 6).alias("confidence"))
@@ -360,5 +360,5 @@ def all_indirect(t: Tables) -> DataFrame:
 
 @query("i8_all_indirect_threats_decoded")
 def all_indirect_decoded(t: Tables) -> DataFrame:
-    found = indirect.indirect_threats(from_messages(t.messages(), max_chars=10 ** 9))
+    found = indirect.indirect_threats(single_messages(t.messages()))
     return found.select("request_id", "name", "threat_level", "confidence", "details")

@@ -13,8 +13,8 @@ from guardlake.plans.registry import query
 from guardlake.session import new_folder
 from guardlake.sources import sinks
 
-_PROMPTS = ("select cast(conv_id as varchar(20)) as request_id, text as prompt "
-            "from {conversations} where turn = 0")
+_PROMPTS = ("select concat(cast(conv_id as varchar(20)), '-', cast(turn as varchar(20))) as "
+            "request_id, text as prompt from {conversations}")
 _AT = "2024-01-01 00:05:00"
 
 
@@ -100,8 +100,13 @@ def active_tokens(t: Tables) -> DataFrame:
     return canary.active(canary.remove(registry, gone), _at()).select("token", "request_id")
 
 
-query("c7_expired", f"select token from ({_REG}) where not ({_LIVE})")(
-    lambda t: canary.expired(t.sql(I.CANARY_REGISTRY), _at()).select("token"))
+# late enough for the older tokens to be past their time
+_LATER = "2024-01-01 00:05:50"
+
+query("c7_expired", f"""
+select token from ({_REG}) where not ({_LIVE.replace(_AT, _LATER)})""")(
+    lambda t: canary.expired(t.sql(I.CANARY_REGISTRY), F.lit(_LATER).cast("timestamp"))
+    .select("token"))
 
 
 def _recorded(t: Tables) -> DataFrame:
@@ -128,14 +133,13 @@ select (select count(*) from ({_REG}) where {_LIVE})::bigint as active_tokens,
 
 @query("s10_registry", f"""
 select token, request_id, {_STAMP.format(x="injected_at + interval '300' second")} as expires_at
-from ({_REG}) where cast(request_id as int) % 2 = 0""")
+from ({_REG})""")
 def stored_registry(t: Tables) -> DataFrame:
     """Registry written, read back, and looked up by request and by token."""
     path = new_folder(t.spark, "registry")
     sinks.store_registry(t.sql(I.CANARY_REGISTRY), path)
     stored = sinks.read_table(t.spark, path)
-    wanted = stored.filter(F.col("request_id").cast("int") % 2 == 0)
-    found = canary.find_token(canary.find_request(stored, wanted), wanted)
+    found = canary.find_token(canary.find_request(stored, stored), stored)
     return found.select("token", "request_id", _stamp("expires_at"))
 
 

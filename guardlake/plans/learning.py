@@ -117,7 +117,8 @@ select count(*)::bigint as n_reset, 0::bigint as n_left from {_TUNED}""")
 def reset(t: Tables) -> DataFrame:
     counted, empty = B.reset_adjustments(_tuned(t))
     left = empty.agg(F.count(F.lit(1)).alias("n_left"))
-    return counted.join(left, F.lit(True))
+    return counted.unionByName(left, allowMissingColumns=True).agg(
+        F.max("n_reset").alias("n_reset"), F.max("n_left").alias("n_left"))
 
 
 _OVERRIDES = """select id as request_log_id,

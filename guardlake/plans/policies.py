@@ -42,16 +42,16 @@ select rule_id as name, coalesce(regulation,'UNKNOWN') as regulation, coalesce(c
   case when lower(coalesce(severity,'MEDIUM')) in ('critical','high') then 'block' else 'log' end as action,
   case lower(coalesce(severity,'MEDIUM')) when 'critical' then 95e-2 when 'high' then 85e-2
     when 'medium' then 7e-1 when 'low' then 55e-2 else 7e-1 end as confidence,
-  length(concat_ws(chr(10), concat('  - name: ', rule_id), concat('    description: "', description, '"'),
+  concat_ws(chr(10), concat('  - name: ', rule_id), concat('    description: "', description, '"'),
     concat('    regulation: ', coalesce(regulation,'UNKNOWN')), concat('    category: "', coalesce(category,'General'), '"'),
     concat('    action: ', case when lower(coalesce(severity,'MEDIUM')) in ('critical','high') then 'block' else 'log' end),
     concat('    confidence: ', case lower(coalesce(severity,'MEDIUM')) when 'critical' then '0.95' when 'high' then '0.85'
     when 'medium' then '0.7' when 'low' then '0.55' else '0.7' end),
-    concat('    severity: ', lower(coalesce(severity,'MEDIUM'))))) ::int as yaml_chars
+    concat('    severity: ', lower(coalesce(severity,'MEDIUM')))) as yaml
 from {_FIRST}""")(
     lambda t: P.rule_guardrails(P.first_rules(_rules(t))).select(
         "name", "regulation", "category", "action", "confidence",
-        F.length("yaml").alias("yaml_chars")))
+        "yaml"))
 
 _ACTION = """case when category in ('direct_injection','jailbreak') and confidence >= 0.8 then 'block'
   when category = 'data_exfiltration' and confidence >= 0.7 then 'block'
@@ -94,11 +94,11 @@ def applicable_rules(t: Tables) -> DataFrame:
 
 @query("s12_stored_guardrails", f"""
 select rule_id as name, case when lower(coalesce(severity,'MEDIUM')) in ('critical','high') then 'block' else 'log' end as action,
-  true as enabled from {_FIRST} where source_document = 'policy-7'""")
+  true as enabled from {_FIRST}""")
 def stored_guardrails(t: Tables) -> DataFrame:
-    """Rules of one policy written as a rule file and loaded as guardrails."""
+    """The rules of all policies written as a rule file and loaded as guardrails."""
     path = new_folder(t.spark, "guardrails")
-    rules = P.rule_guardrails(P.first_rules(_rules(t).filter("source_document = 'policy-7'")))
+    rules = P.rule_guardrails(P.first_rules(_rules(t)))
     rules.select("name", "action", "confidence",
                  F.array("category").alias("categories")).write.json(path)
     return read_guardrails(t.spark, path).select("name", "action", "enabled")

@@ -16,6 +16,8 @@ from guardlake.plans.detection import _URL_SQL, _url_requests
 from guardlake.plans.inputs import Tables
 from guardlake.plans.multiturn import context_sql
 from guardlake.plans.registry import query
+from guardlake.session import new_folder
+from guardlake.sources.readers import read_wire_requests
 
 # ---------------------------------------------------------------- messages
 
@@ -32,6 +34,40 @@ select request_id, max(model) as model, count(*)::bigint as n_messages,
         F.size(F.filter("messages", lambda m: m["role"] == "user")).cast("long")
         .alias("n_user")))
 
+# Requests as JSON lines: a third of the contents are strings, a third lists of parts, and a third
+# strings that look like lists of parts.
+_LISTED = """concat('[{{"type":"text","text":"', {x}, '"}}]')"""
+_CLEAN = "regexp_replace({x}, '[^a-zA-Z0-9 .]', ' '{g})"
+
+
+@query("s1_wire_requests", f"""
+select request_id, pos, case pos % 3 when 0 then t when 2 then {_LISTED.format(x='t')} end as text,
+  case when pos % 3 = 1 then t else '' end as parts from (select request_id, pos,
+  {_CLEAN.format(x='text', g=", 'g'")} as t from ({K.MESSAGES}))""")
+def wire_requests(t: Tables) -> DataFrame:
+    """Requests written as JSON lines and read by the JSON type of their contents."""
+    folder = new_folder(t.spark, "wire")
+    clean = F.expr(_CLEAN.format(x="text", g=""))
+    listed = F.to_json(F.array(F.struct(F.lit("text").alias("type"), clean.alias("text"))))
+
+    def quoted(x):
+        return F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+
+    kind = F.col("pos") % 3
+    content = F.when(kind == 0, quoted(clean)).when(kind == 1, listed).otherwise(quoted(listed))
+    message = F.concat(F.lit('{"role":'), quoted(F.col("role")), F.lit(',"content":'), content,
+                       F.lit("}"))
+    rows = t.messages().select("request_id", "pos", message.alias("m")).groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("ms"))
+    rows.select(F.concat(
+        F.lit('{"request_id":"'), "request_id", F.lit('","model":"gpt-4","messages":['),
+        F.array_join(F.transform("ms", lambda x: x["m"]), ","), F.lit("]}"))).write.text(folder)
+    return read_wire_requests(t.spark, folder).select(
+        "request_id", F.posexplode("messages").alias("pos", "m")).select(
+        "request_id", "pos", "m.text", F.coalesce(F.array_join(F.transform(
+            "m.parts", lambda p: p["text"]), ""), F.lit("")).alias("parts"))
+
+
 _STATS = f"""(select request_id, max(model) as model, count(*) as n,
   sum(length(text)) + count(*) - 1 as chars,
   sum(len(regexp_extract_all(text,'[^\\p{{L}}\\p{{N}}\\s]'))) as special,
@@ -72,12 +108,12 @@ where request_id in {_VALID} group by request_id""")(
 query("p2_tool_contents", f"""
 select request_id, coalesce('tool:' || nullif(name,''), concat('tool_msg[',pos,']')) as source, text as content
 from ({K.MESSAGES}) where role = 'tool' and regexp_matches(text,'\\S')""")(
-    lambda t: Q.tool_contents(_requests(t, max_chars=10 ** 9)))
+    lambda t: Q.tool_contents(Q.single_messages(t.messages())))
 
 query("p3_labelled_contents", f"""
 select request_id, concat('msg[',pos,']:',role) as source, text as content
 from ({K.MESSAGES}) where regexp_matches(text,'\\S')""")(
-    lambda t: Q.labelled_contents(_requests(t, max_chars=10 ** 9)))
+    lambda t: Q.labelled_contents(Q.single_messages(t.messages())))
 
 query("p4_urls", _URL_SQL)(lambda t: Q.urls(_url_requests(t)))
 

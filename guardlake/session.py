@@ -34,11 +34,15 @@ def build_session(app: str = "guardlake", master: str | None = None, **extra) ->
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only where that is unset, as in local tests, a temporary folder is created and recorded
-    in the session.
+    Only where that is unset on a local master, as in tests, a temporary folder is created and
+    recorded in the session; on a cluster each machine would see a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} "
+                             "share")
         folder = tempfile.mkdtemp(prefix="guardlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -16,7 +16,7 @@ GUARDRAIL = ("name string, action string, confidence double, categories array<st
              "channels array<string>, mode string, enabled boolean")
 # Requests as they come over the wire: `content` is a string or an array of parts.
 _WIRE = ("request_id string, model string, "
-         "messages array<struct<role:string,content:string,name:string,tool_call_id:string>>")
+         "messages array<struct<role:string,content:variant,name:string,tool_call_id:string>>")
 _PROVIDER = ("struct<choices:array<struct<index:int,message:struct<content:string>>>,"
              "usage:struct<prompt_tokens:int,completion_tokens:int>>")
 
@@ -28,19 +28,23 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 def read_wire_requests(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines requests whose `content` is a string or a list of typed parts."""
-    raw = spark.read.schema(_WIRE).json(path)
-    return parse_wire(raw)
+    return parse_wire(wire_lines(spark.read.text(path), "value"))
 
 
-def parse_wire(raw: DataFrame) -> DataFrame:
-    """Split wire `content` into text or parts.
+def wire_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Requests of JSON lines, each `content` as the JSON value that it is."""
+    return lines.select(F.from_json(line, _WIRE).alias("r")).select("r.*")
 
-    The JSON reader hands a list over as its JSON text, which is parsed as parts.
-    """
+
+def parse_wire(raw: DataFrame) -> DataFrame:
+    """Split wire `content` into text or parts by its JSON type: a string stays text whatever it
+    holds."""
     def message(m):
-        parts = F.from_json(m["content"], f"array<{PART}>")
-        listed = m["content"].startswith("[{") & parts.isNotNull()
-        return F.struct(m["role"].alias("role"), F.when(~listed, m["content"]).alias("text"),
+        value = m["content"]
+        listed = F.schema_of_variant(value).startswith("ARRAY")
+        text = F.try_variant_get(value, "$", "string")
+        parts = F.try_variant_get(value, "$", f"array<{PART}>")
+        return F.struct(m["role"].alias("role"), F.when(~listed, text).alias("text"),
                         F.when(listed, parts).alias("parts"), m["name"].alias("name"),
                         m["tool_call_id"].alias("tool_call_id"))
 

@@ -73,3 +73,12 @@ def test_strict_leet_ignores_ordinary_punctuation(texts):
     rows = [r.d for r in df.orderBy("i").collect()]
     assert (rows[0].decoded, rows[0].layers) == ("Hello!", 0)
     assert (rows[1].decoded, rows[1].layers) == ("ignore the system", 1)
+
+
+def test_decoded_output_is_not_decoded_again(spark):
+    df = spark.createDataFrame([("%2541 %41", r"\x5cx41 \x41", "&#38;#65; &#65;",
+                                 "QUJDREVGR0hJSktMTU5P x QUJDREVGR0hJSktMTU5P")],
+                               "p string, h string, e string, b string")
+    row = df.select(D.percent_decode(F.col("p")), D.hex_decode(F.col("h")),
+                    D.numeric_entities(F.col("e")), D.base64_decode(F.col("b"))).first()
+    assert tuple(row) == ("%41 A", r"\x41 A", "&#65; A", "ABCDEFGHIJKLMNO x ABCDEFGHIJKLMNO")
