@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardlake.operators.skew import ranked
+from guardlake.operators.skew import lookup, ranked
 from guardlake.session import stored
 
 SHARDS, REQUEST_BUCKETS, BUCKET_ROWS, MAX_ROUNDS = 8, 1024, 4096, 50
@@ -45,7 +45,7 @@ def propagate(linked: DataFrame, quota: float, shards: int = SHARDS,
         asked = (weight.join(best, "group")
                  .where(F.struct("inside", (-F.col("shard")).alias("minus")) < F.col("best"))
                  .select("group", "shard", (-F.col("best.minus")).cast("int").alias("to")))
-        wishes = state.join(asked, ["group", "shard"]).withColumn("bucket", bucket)
+        wishes = lookup(state, asked, ["group", "shard"], ["spread"]).withColumn("bucket", bucket)
         sums = wishes.groupBy("to", "bucket").agg(F.sum("size").alias("size")).collect()
         admitted = _admitted(sums, room, shards)
         refused = {r["to"] for r in sums} - {s for s in range(shards) if "1" in admitted[s]}
@@ -55,7 +55,7 @@ def propagate(linked: DataFrame, quota: float, shards: int = SHARDS,
                 break
             continue
         marks = F.element_at(F.array(*map(F.lit, admitted)), F.coalesce("to", F.lit(0)) + 1)
-        moved = state.join(asked, ["group", "shard"], "left").withColumn("shard", F.when(
+        moved = lookup(state, asked, ["group", "shard"], ["spread"], "left").withColumn("shard", F.when(
             F.col("to").isNotNull() & (F.substring(marks, bucket + 1, F.lit(1)) == "1"),
             F.col("to")).otherwise(F.col("shard")))
         state = stored(moved.drop("to"), "shard-round")
@@ -106,7 +106,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     base = base.withColumn("spread", F.xxhash64("doc_id", "row"))
     groups = base.groupBy("group").agg(F.count("*").alias("copies"))
     first = F.pmod(F.xxhash64("group", "spread"), F.lit(shards)).cast("int")
-    marked = stored(base.join(groups, "group").withColumn("shard", first), "shard-marked")
+    marked = stored(lookup(base, groups, ["group"], ["spread"]).withColumn("shard", first),
+                    "shard-marked")
     totals = marked.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     rows, quota = totals[0], totals[1] / shards
     linked = propagate(marked.where("copies > 1").drop("copies"), quota, shards)
