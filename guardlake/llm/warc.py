@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from guardlake.llm.common import bounded_batches
 from guardlake.session import new_folder, stored
 
-SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES, MIN_REVISIT_BYTES = 16384, 4096, 16 << 20, 1000
+SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES, MIN_REVISIT_BYTES = 16384, 4096, 8 << 20, 1000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORD = ("record_id string, type string, page_id long, uri string, digest string, "
           "refers_to_id string, origin_id string, segment int, total_bytes long, block binary")
@@ -30,6 +30,9 @@ def planned(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """(page_id, url, payload, digest, record_id, type, refers_to_id) per page.
 
     Of equal payloads of at least `min_bytes`, the largest page_id (null first) is the response.
+    The pages are read twice, so that payloads are never shuffled: once for the digests that
+    come more than once, once for the records.  Rows have to come in the same order both times, as
+    tables do; if they don't, reading finds a revisit without its response and says so.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     # the number makes identifiers differ where rows repeat a page_id
@@ -40,9 +43,10 @@ def planned(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
                                              F.col("number").cast("string"), "digest"))))
     large = F.octet_length("payload") >= min_bytes
     order = F.struct(F.col("page_id").isNotNull(), "page_id", "number")
-    first = (rows.where(large).groupBy("digest")
-             .agg(F.max_by("record_id", order).alias("first_id"), F.max("page_id").alias("top"),
-                  F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    first = stored(rows.where(large).groupBy("digest")
+                   .agg(F.max_by("record_id", order).alias("first_id"),
+                        F.max("page_id").alias("top"), F.count("*").alias("copies"))
+                   .where("copies > 1").drop("copies"), "warc-first")
     revisit = F.col("first_id").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("top"))
     return rows.join(first, "digest", "left").select(
         "page_id", "url", "digest", "record_id",
@@ -109,7 +113,7 @@ def records_of(page: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[byt
 
 def write_archives(plan: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES,
                    chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write the planned pages as archives of about `archive_bytes` each below `folder`."""
+    """Write the planned pages as archives of at most about `archive_bytes` each below `folder`."""
     bounded_batches(plan.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +128,9 @@ def write_archives(plan: DataFrame, folder: str, segment_bytes: int = SEGMENT_BY
                     made, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
-    size = F.coalesce(F.octet_length("payload"), F.lit(0)) + 600
-    total = plan.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     records = plan.mapInArrow(build, "record binary").select(F.col("record").cast("string"))
-    (records.repartition(max(1, -(-total // archive_bytes)), F.xxhash64("record"))
-     .write.option("lineSep", "\r\n\r\n").text(folder))
+    (records.write.option("lineSep", "\r\n\r\n")
+     .option("maxRecordsPerFile", max(1, archive_bytes // segment_bytes)).text(folder))
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -176,10 +178,9 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("content")
-    records = files.mapInArrow(run, RECORD)
-    return records
+    return files.mapInArrow(run, RECORD)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -226,14 +227,16 @@ def payload_of(block: Column) -> Column:
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(record_id, page_id, uri, type, digest, refers_to_id, payload) of all archived pages."""
-    records = stored(read_records(spark, folder), "warc-records")
-    bounded_batches(spark)
-    own = records.where("type <> 'continuation'")
+    """(record_id, page_id, uri, type, digest, refers_to_id, payload) of all archived pages.
+
+    Whole blocks are decoded where they are read; the segments of cut blocks are a table.
+    """
     names = ["record_id", "page_id", "uri", "type", "digest", "refers_to_id"]
-    whole = own.where("segment is null").select(*names, "block")
-    joined = own.where("segment is not null").select(names).join(
-        reassembled(records), "record_id").select(*names, "block")
+    records = read_records(spark, folder)
+    whole = records.where("type <> 'continuation' and segment is null").select(*names, "block")
+    cut = stored(records.where("segment is not null"), "warc-segments")
+    joined = cut.where("type <> 'continuation'").select(names).join(
+        reassembled(cut), "record_id").select(*names, "block")
     blocks = whole.unionByName(joined)
     responses = blocks.where("type = 'response'").select(*names, payload_of(
         F.col("block")).alias("payload"))
@@ -250,7 +253,7 @@ def archived(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
-    write_archives(stored(planned(pages), "warc-plan"), folder)
+    write_archives(planned(pages), folder)
     found = stored(read_pages(spark, folder).select(
         "record_id", "page_id", "type", "refers_to_id", F.octet_length("payload").alias("size"),
         F.sha1("payload").alias("found"), "digest"), "warc-pages")
@@ -263,7 +266,9 @@ def archived(pages: DataFrame) -> DataFrame:
     # only pages that are referred to take part in the join
     used = found.where("type = 'revisit'").select(
         F.col("refers_to_id").alias("first_id")).distinct()
-    first = first.join(used, "first_id")
+    first = stored(first.join(used, "first_id"), "warc-referred")
+    if used.join(first, "first_id", "left_anti").limit(1).count():
+        raise ValueError("a revisit refers to a record that isn't there")
     return found.join(first, found.refers_to_id == first.first_id, "left").select(
         "page_id", F.coalesce("size", "first_size").cast("long").alias("payload_bytes"),
         F.coalesce("found", "first_found").alias("payload_digest"),
