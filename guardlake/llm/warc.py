@@ -191,23 +191,26 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def reassembled(records: DataFrame) -> DataFrame:
-    """(record_id, block) of the blocks that were cut.
+    """The records whose blocks were cut, each with its whole block, in the columns of `RECORD`.
 
     Raises if a number is missing or comes twice, or if the length is not the total.
     """
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("segment")
+        table = table.sort_by("segment").drop_columns("origin")
         numbers = table.column("segment").to_pylist()
         block = b"".join(table.column("block").to_pylist())
         total = table.column("total_bytes").to_pylist()[-1]
         if numbers != list(range(1, len(numbers) + 1)) or total != len(block):
             raise ValueError(f"record {key[0].as_py()}: segments {numbers[:20]}, "
                              f"{len(block)} of {total} bytes")
-        return pa.table({"record_id": [key[0].as_py()], "block": [block]})
+        first = table.slice(0, 1).drop_columns(["segment", "total_bytes", "block"])
+        return (first.append_column("segment", pa.array([None], pa.int32()))
+                .append_column("total_bytes", pa.array([total], pa.int64()))
+                .append_column("block", pa.array([block], pa.binary())))
 
-    cut = records.where("segment is not null").select(
-        F.coalesce("origin_id", "record_id").alias("origin"), "segment", "total_bytes", "block")
-    return cut.groupBy("origin").applyInArrow(join, "record_id string, block binary")
+    cut = records.where("segment is not null").withColumn(
+        "origin", F.coalesce("origin_id", "record_id"))
+    return cut.groupBy("origin").applyInArrow(join, RECORD)
 
 
 def payload_of(block: Column) -> Column:
@@ -229,14 +232,12 @@ def payload_of(block: Column) -> Column:
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(record_id, page_id, uri, type, digest, refers_to_id, payload) of all archived pages.
 
-    Whole blocks are decoded where they are read; the segments of cut blocks are a table.
+    Whole blocks are decoded where they are read; only the segments of cut blocks are shuffled.
     """
     names = ["record_id", "page_id", "uri", "type", "digest", "refers_to_id"]
     records = read_records(spark, folder)
     whole = records.where("type <> 'continuation' and segment is null").select(*names, "block")
-    cut = stored(records.where("segment is not null"), "warc-segments")
-    joined = cut.where("type <> 'continuation'").select(names).join(
-        reassembled(cut), "record_id").select(*names, "block")
+    joined = reassembled(records).select(*names, "block")
     blocks = whole.unionByName(joined)
     responses = blocks.where("type = 'response'").select(*names, payload_of(
         F.col("block")).alias("payload"))
