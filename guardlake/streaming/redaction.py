@@ -14,7 +14,8 @@ from guardlake import catalog as C
 from guardlake.functions import redact as R
 from guardlake.streaming.redactor import Pieces, Redactor
 
-OUT = "stream_id string, seq long, safe string, categories array<string>, done boolean"
+OUT = ("stream_id string, seq long, safe string, categories array<string>, done boolean, "
+       "gap boolean")
 STATE = "buffer string, next_seq long, waiting string"
 SSE_OUT = "stream_id string, seq long, line string"
 # A finished response longer than this is redacted piecewise instead of in one value.
@@ -23,10 +24,12 @@ MAX_WHOLE_CHARS = 1_000_000
 
 def redact_stream(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
                   window: int = C.STREAM_WINDOW_CHARS, idle_ms: int | None = None) -> DataFrame:
-    """Redacted pieces of a stream of (stream_id, seq, delta, done).
+    """Redacted text of a stream of (stream_id, seq, delta, done), a row per stream and batch.
 
+    The pieces whose turn it is are joined and looked at as one text; `seq` is the last of them.
     State per stream: the text held back, the next sequence number and early arrivals.  The
-    row with `done` flushes and forgets the stream; with `idle_ms` so does silence.
+    row with `done` flushes and forgets the stream; with `idle_ms` so does silence, which also
+    lets out the pieces that waited for a missing one (`gap`).
     """
     redactor = Redactor(rules.rules)
 
@@ -34,26 +37,36 @@ def redact_stream(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
             ) -> Iterator[pd.DataFrame]:
         pieces = Pieces(redactor, window, state.get if state.exists else None)
         out, ended = [], False
+
+        def release(ready: list, last: bool, gap: bool) -> None:
+            safe, cats = pieces.push("".join(text for _, (text, _) in ready))
+            if last:
+                rest, more = pieces.flush()
+                safe, cats = safe + rest, cats + more
+            if safe or last:
+                at = ready[-1][0] if ready else pieces.next_seq
+                out.append((key[0], at, safe, cats, last, gap))
+
         if state.hasTimedOut:
-            text, cats = pieces.flush()
-            out.append((key[0], pieces.next_seq, text, cats, True))
+            missed = pieces.drain()
+            release(missed, True, bool(missed))
             ended = True
         for batch in batches:
+            ready = []
             for seq, delta, done in zip(batch["seq"], batch["delta"], batch["done"]):
-                for at, (text, last) in pieces.add(int(seq), (delta or "", bool(done))):
-                    safe, cats = pieces.push(text)
-                    if last:
-                        rest, more = pieces.flush()
-                        safe, cats, ended = safe + rest, cats + more, True
-                    if safe or last:
-                        out.append((key[0], at, safe, cats, last))
+                ready += pieces.add(int(seq), (delta or "", bool(done)))
+            if ready:
+                last = any(done for _, (_, done) in ready)
+                release(ready, last, False)
+                ended = ended or last
         if ended:
             state.remove()
         else:
             state.update(pieces.state())
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "safe", "categories", "done"])
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "safe", "categories", "done",
+                                         "gap"])
 
     timeout = (GroupStateTimeout.ProcessingTimeTimeout if idle_ms
                else GroupStateTimeout.NoTimeout)
@@ -62,11 +75,12 @@ def redact_stream(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
 
 
 def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
-               window: int = C.STREAM_WINDOW_CHARS) -> DataFrame:
+               window: int = C.STREAM_WINDOW_CHARS, idle_ms: int | None = None) -> DataFrame:
     """SSE lines (stream_id, seq, line) with their delta contents redacted.
 
     Lines that carry no content pass through unchanged.  What is held back is sent as one
-    more data line before the [DONE] line.
+    more data line before the [DONE] line; with `idle_ms` also where a stream falls silent without
+    one, after the lines that waited for a missing one.
     """
     redactor = Redactor(rules.rules)
 
@@ -84,28 +98,45 @@ def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
             ) -> Iterator[pd.DataFrame]:
         pieces = Pieces(redactor, window, state.get if state.exists else None)
         out, ended = [], False
+
+        def held() -> str:
+            rest, _ = pieces.flush()
+            tail = {"choices": [{"index": 0, "delta": {"content": rest}}]}
+            return f"data: {json.dumps(tail)}\n\n" if rest else ""
+
+        def send(at: int, line: str) -> bool:
+            done = line[6:].strip() == "[DONE]" and line.startswith("data: ")
+            if done:
+                line = held() + line
+            elif delta := delta_of(line):
+                body, text = delta
+                body["choices"][0]["delta"]["content"], _ = pieces.push(text)
+                line = f"data: {json.dumps(body)}\n\n"
+            out.append((key[0], at, line))
+            return done
+
+        if state.hasTimedOut:
+            for at, line in pieces.drain():
+                send(at, line)
+            if rest := held():
+                out.append((key[0], pieces.next_seq, rest))
+            ended = True
         for batch in batches:
             for seq, raw in zip(batch["seq"], batch["line"]):
                 for at, line in pieces.add(int(seq), raw):
-                    if line[6:].strip() == "[DONE]" and line.startswith("data: "):
-                        rest, _ = pieces.flush()
-                        if rest:
-                            tail = {"choices": [{"index": 0, "delta": {"content": rest}}]}
-                            line = f"data: {json.dumps(tail)}\n\n{line}"
-                        ended = True
-                    elif delta := delta_of(line):
-                        body, text = delta
-                        body["choices"][0]["delta"]["content"], _ = pieces.push(text)
-                        line = f"data: {json.dumps(body)}\n\n"
-                    out.append((key[0], at, line))
+                    ended = send(at, line) or ended
         if ended:
             state.remove()
         else:
             state.update(pieces.state())
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "line"])
 
+    timeout = (GroupStateTimeout.ProcessingTimeTimeout if idle_ms
+               else GroupStateTimeout.NoTimeout)
     return (lines.select("stream_id", "seq", "line").groupBy("stream_id")
-            .applyInPandasWithState(run, SSE_OUT, STATE, "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(run, SSE_OUT, STATE, "append", timeout))
 
 
 def stream_summary(pieces: DataFrame) -> DataFrame:

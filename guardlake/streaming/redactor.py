@@ -94,6 +94,13 @@ class Pieces:
                 self.next_seq += 1
         return ready
 
+    def drain(self) -> list:
+        """The items that still wait for a missing one, in order, as (seq, item)."""
+        rest, self.waiting = sorted(self.waiting), []
+        if rest:
+            self.next_seq = rest[-1][0] + 1
+        return rest
+
     def push(self, text: str) -> tuple[str, list[str]]:
         """Add text; return (redacted text to emit, categories found in it)."""
         safe, self.buffer = self.redactor.release(self.buffer + text, self.window)

@@ -97,3 +97,15 @@ def test_finished_streams_long_and_short(spark):
     for key, text in texts.items():
         mine = parts[parts.stream_id == key].sort_values("part")
         assert "".join(mine.redacted) == redact(text, C.RULES)
+
+
+def test_pieces_behind_a_gap_are_drained_in_order():
+    pieces = Pieces(Redactor(C.RULES), 200)
+    assert [at for at, _ in pieces.add(0, ("a", False))] == [0]
+    for seq in (5, 2, 3):
+        assert not pieces.add(seq, (f"text {seq} ", False))
+    again = Pieces(Redactor(C.RULES), 200, pieces.state())
+    rest = again.drain()
+    assert [at for at, _ in rest] == [2, 3, 5] and again.next_seq == 6 and not again.drain()
+    again.push("".join(text for _, (text, _) in rest))
+    assert again.flush()[0] == "text 2 text 3 text 5 "
