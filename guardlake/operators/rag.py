@@ -32,18 +32,21 @@ def truncate_chunks(chunks: DataFrame, max_chars: int = C.MAX_CHUNK_CHARS) -> Da
 
 def scan_chunks(chunks: DataFrame, *, detailed: bool = False, max_chars: int | None = None,
                 redact_blocked: bool = True, redact_sanitized: bool = False,
-                semantic: bool = False, leet: str = "parity", catalog: P.Catalog = P.DEFAULT,
+                semantic: bool = False, decode: bool = True, leet: str = "parity", catalog: P.Catalog = P.DEFAULT,
                 rules: R.Rules = R.DEFAULT) -> DataFrame:
     """Add status, confidence, threats and sanitized_content to every chunk.
 
     Patterns are matched on the raw content.  With `detailed`, and always where patterns
     hit, the decoded content also passes the request analysis, which contributes threats of
     categories not seen yet.  The decoder runs a second time only on content that did not
-    converge the first time.
+    converge the first time; without `decode` it does not run at all.
     """
     df = chunks.withColumn("__raw", F.col("content") if max_chars is None else
                            F.substring("content", 1, max_chars))
-    df = with_decoded(df, "__raw", "__first", leet=leet)
+    plain = F.struct(F.col("__raw").alias("decoded"), F.lit(0).alias("layers"),
+                     F.array().cast("array<string>").alias("encodings"))
+    df = (with_decoded(df, "__raw", "__first", leet=leet) if decode
+          else df.withColumn("__first", plain))
     df = df.withColumn("__scan", P.scan(F.col("__raw"), catalog))
     first = F.col("__first")
     df = df.withColumn("__body", F.when(first["layers"] > 0, first["decoded"])
@@ -55,7 +58,8 @@ def scan_chunks(chunks: DataFrame, *, detailed: bool = False, max_chars: int | N
     df = df.withColumn("__deep", deep)
     # The decoded chunk as a request of one user message.
     stuck = first["layers"] >= C.MAX_DECODE_DEPTH
-    df = with_decoded(df, F.when(F.col("__deep") & stuck, F.col("__body")), "__again", leet=leet)
+    df = (with_decoded(df, F.when(F.col("__deep") & stuck, F.col("__body")), "__again",
+                       leet=leet) if decode else df.withColumn("__again", plain))
     message = F.struct(F.lit("user").alias("role"), F.col("__body").alias("text"),
                        F.lit(None).cast("array<struct<type:string,text:string>>").alias("parts"),
                        F.lit(None).cast("string").alias("name"))

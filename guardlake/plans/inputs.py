@@ -203,7 +203,7 @@ class Tables:
         return self.attack_docs().select("doc_id", letters_only(F.col("text")).alias("text"))
 
     def chunks(self) -> DataFrame:
-        return self.letters().select(
+        return self.attack_docs().select(
             F.floor(F.col("doc_id") / 5).cast("string").alias("batch_id"),
             (F.col("doc_id") % 5).cast("int").alias("pos"),
             F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("chunk_id"),

@@ -67,11 +67,23 @@ _SCANNED = f"""(select c.*, case when r >= 3 then 'blocked' when r >= 1 then 'sa
 _LONG = f"(n > 0 and length(content) > {C.MAX_CHARS})"
 _STATUS = f"case when {_LONG} then 'blocked' else status end"
 
+# What the request analysis of a flagged chunk adds: marked comments and markdown injection.
+_COMMENTS = f"""select chunk_id, i, c as text from (select chunk_id, unnest(cs) as c,
+  generate_subscripts(cs,1) as i from (select chunk_id, list_filter(list_transform(
+  regexp_extract_all(content,'<!--(.*?)-->',1,'s'), lambda x: regexp_replace(x,'^\\s+|\\s+$','','g')),
+  lambda x: length(x) > 10) as cs from ({K.CHUNKS})))"""
+_MARKERS = f"""(select chunk_id, count(*) as more, max(c) as more_conf from (
+  select chunk_id, least(1e0, max(confidence) + 1e-1) as c from {K.hits(_COMMENTS, 'chunk_id, i')}
+  group by chunk_id, i union all select chunk_id, 7e-1 from ({K.CHUNKS})
+  where regexp_matches(content,{K.re2(C.MARKDOWN_INJECTION)},'i')) group by chunk_id)"""
+
 query("g1_chunk_scan", f"""
-select batch_id, pos, chunk_id, {_STATUS} as status,
-  round(case when {_LONG} then 1e0 else conf end,3) as confidence,
-  cast(n + case when {_LONG} then 1 else 0 end as int) as n_threats from {_SCANNED}""")(
-    lambda t: rag.scan_chunks(t.chunks()).select(
+select batch_id, pos, s.chunk_id, {_STATUS} as status,
+  round(case when {_LONG} then 1e0 when n > 0 then greatest(conf, coalesce(more_conf, 0e0))
+        else conf end,3) as confidence,
+  cast(n + case when {_LONG} then 1 when n > 0 then coalesce(more,0) else 0 end as int) as n_threats
+from {_SCANNED} s left join {_MARKERS} m on s.chunk_id = m.chunk_id""")(
+    lambda t: rag.scan_chunks(t.chunks(), decode=False).select(
         "batch_id", "pos", "chunk_id", "status", F.round("confidence", 3).alias("confidence"),
         F.size("threats").alias("n_threats")))
 
@@ -90,7 +102,7 @@ select s.chunk_id, r.{_SAFE_TEXT} as sanitized_content from {_SCANNED} s join
   {K.redaction(_MARKED, 'chunk_id', 'content')} r on s.chunk_id = r.chunk_id
 where {_STATUS} = 'blocked'""")(
     lambda t: rag.scan_chunks(t.chunks().withColumn("content", F.concat(
-        "content", F.lit(" you are a helpful assistant")))).filter("status = 'blocked'").select(
+        "content", F.lit(" you are a helpful assistant"))), decode=False).filter("status = 'blocked'").select(
         "chunk_id", "sanitized_content"))
 
 query("g3_fail_fast", f"""
@@ -98,7 +110,7 @@ with s as (select *, {_STATUS} as st from {_SCANNED}),
 b as (select batch_id, min(pos) as stop from s where st = 'blocked' group by batch_id)
 select s.batch_id, s.pos, s.st as status from s left join b on s.batch_id = b.batch_id
 where stop is null or s.pos <= stop""")(
-    lambda t: rag.fail_fast(stored(rag.scan_chunks(t.chunks()), "scanned")).select(
+    lambda t: rag.fail_fast(stored(rag.scan_chunks(t.chunks(), decode=False), "scanned")).select(
         "batch_id", "pos", "status"))
 
 query("g4_batch_summary", f"""
@@ -108,17 +120,17 @@ select batch_id, count(*)::bigint as chunks_scanned,
   count(*) filter ({_STATUS} = 'sanitized')::bigint as chunks_sanitized,
   count(*) filter ({_STATUS} = 'blocked') = 0 as safe_to_proceed
 from {_SCANNED} group by batch_id""")(
-    lambda t: rag.batch_summary(rag.scan_chunks(t.chunks())))
+    lambda t: rag.batch_summary(rag.scan_chunks(t.chunks(), decode=False)))
 
 
 @query("g5_safe_chunks", f"""
 select batch_id, pos, content from {_SCANNED} where {_STATUS} = 'allowed'""")
 def safe_chunks(t: Tables) -> DataFrame:
-    return rag.safe_chunks(rag.scan_chunks(t.chunks()), t.chunks()).select(
+    return rag.safe_chunks(rag.scan_chunks(t.chunks(), decode=False), t.chunks()).select(
         "batch_id", "pos", "content")
 
 
 query("g6_quick_scan", f"""
 select chunk_id, {_STATUS} as status, {_STATUS} = 'allowed' as safe from {_SCANNED}""")(
-    lambda t: rag.quick_scan(t.chunks(), "chunk_id", "content").select(
+    lambda t: rag.quick_scan(t.chunks(), "chunk_id", "content", decode=False).select(
         "chunk_id", "status", "safe"))
