@@ -107,10 +107,14 @@ def targets_are_few(targets: DataFrame, limit: int = 100_000) -> bool:
 
 
 def emitted(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, in the columns of `docs`."""
+    """The mix itself: every document as often as it is taken, in the columns of `docs`.
+
+    The columns travel as one value, so those named like the mix's own come back as they were.
+    """
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("__doc"))
     times = F.sequence(F.lit(1), F.col("copies"))
-    return (mixed(docs).where("copies > 0").withColumn("__copy", F.explode(times))
-            .select(docs.columns))
+    return (mixed(rows, size_in_words(F.col("__doc")["text"])).where("copies > 0")
+            .withColumn("__copy", F.explode(times)).select("__doc.*"))
 
 
 def taken(docs: DataFrame) -> DataFrame:

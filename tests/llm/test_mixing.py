@@ -83,6 +83,8 @@ def test_columns_and_empty_tables(spark):
     extra = docs.selectExpr("*", "1 as size", "2 as target", "3 as copies")
     assert mixing.taken(extra).count() == 2
     assert mixing.emitted(docs).columns == docs.columns
+    through = mixing.emitted(extra).collect()
+    assert through and {(r["size"], r["target"], r["copies"]) for r in through} == {(1, 2, 3)}
     assert not mixing.taken(docs.where("false")).collect()
     assert not mixing.emitted(docs.where("false")).collect()
 
