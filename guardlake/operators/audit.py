@@ -114,23 +114,28 @@ def audit_rows(verdicts: DataFrame) -> DataFrame:
 def _event(df: DataFrame, kind: str, severity: str, details: Column) -> DataFrame:
     log_id = F.col("request_id").cast("string") if "request_id" in df.columns else F.lit(None)
     ip = F.col("client_ip") if "client_ip" in df.columns else F.lit("unknown")
+    at = [F.col("created_at")] if "created_at" in df.columns else []
     return df.select(log_id.cast("string").alias("request_log_id"),
                      F.lit(kind).alias("event_type"), F.lit(severity).alias("severity"),
-                     F.to_json(details).alias("details"), ip.alias("client_ip"))
+                     F.to_json(details).alias("details"), ip.alias("client_ip"), *at)
 
 
 def security_events(verdicts: DataFrame, limited: DataFrame | None = None,
                     filtered: DataFrame | None = None) -> DataFrame:
-    """Events from blocked verdicts, rejected rate checks and redacted responses."""
+    """Events from blocked verdicts, rejected rate checks and redacted responses.
+
+    A `created_at` of the rows goes with them.
+    """
     out = _event(verdicts.filter("status = 'blocked'"), "attack_blocked", "high", F.struct(
         "confidence", F.slice("threats", 1, C.EVENT_THREATS_KEPT).alias("threats")))
     if limited is not None:
         out = out.unionByName(_event(limited.filter(~F.col("allowed")), "rate_limited",
-                                     "medium", F.struct("exceeded")))
+                                     "medium", F.struct("exceeded")), allowMissingColumns=True)
     if filtered is not None:
         out = out.unionByName(_event(filtered.filter(F.size("redactions") > 0), "pii_detected",
                                      "low", F.struct(F.lit("output").alias("direction"),
-                                                     F.col("redactions").alias("detections"))))
+                                                     F.col("redactions").alias("detections"))),
+                              allowMissingColumns=True)
     return out
 
 

@@ -14,7 +14,6 @@ RULE = ("struct<rule_id:string,regulation:string,category:string,description:str
         "trigger_condition:string,severity:string>")
 GUARDRAIL_SCHEMA = ("name string, action string, confidence double, categories array<string>, "
                     "channels array<string>, mode string, enabled boolean")
-MAX_CONFIG_RULES = 1000
 
 
 # ---------------------------------------------------------------- policy documents
@@ -120,15 +119,43 @@ def rule_named(rules: DataFrame, name: str) -> DataFrame:
     return rules.filter(F.col("name") == name)
 
 
+def _apply_rule_table(detections: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules are matched with the distinct (category, confidence) of the detections, of which
+    there are few, and the outcome is looked up by each detection."""
+    rank = F.array_position(F.array(*[F.lit(a) for a in C.ACTIONS]), F.col("action"))
+    none = F.size("categories") == 0
+    listed = rules.select(
+        rank.alias("__rank"), F.col("name").alias("__name"), F.col("confidence").alias("__least"),
+        F.explode(F.when(none, F.array(F.lit(None).cast("string")))
+                  .otherwise(F.array_distinct("categories"))).alias("__of"))
+    kinds = detections.select("category", "confidence").distinct()
+    asked = kinds.select("category", "confidence", F.explode(F.array_distinct(F.array(
+        F.col("category"), F.lit(None).cast("string")))).alias("__as"))
+    found = (asked.join(listed, F.col("__as").eqNullSafe(F.col("__of")))
+             .filter(F.col("confidence") >= F.col("__least"))
+             .groupBy("category", "confidence")
+             .agg(F.max("__rank").alias("__rank"),
+                  F.array_sort(F.collect_list("__name")).alias("__names"))
+             .select(F.col("category").alias("__c"), F.col("confidence").alias("__k"), "__rank",
+                     "__names"))
+    actions = F.array(*[F.lit(a) for a in C.ACTIONS])
+    same = F.col("category").eqNullSafe(F.col("__c")) & (F.col("confidence") == F.col("__k"))
+    return (detections.join(found, same, "left")
+            .withColumn("action", F.element_at(actions, F.coalesce("__rank", F.lit(1)).cast("int")))
+            .withColumn("guardrails", F.coalesce("__names", F.array().cast("array<string>")))
+            .drop("__c", "__k", "__rank", "__names"))
+
+
 def apply_guardrails(detections: DataFrame, rules=C.GUARDRAILS,
                      channel: str | None = None) -> DataFrame:
     """Add `action` (strongest of the matching rules) and `guardrails` (their names).
 
-    Rules are configuration, so they become an array literal and matching is a projection;
-    a rule matches on category (none listed: any) and minimum confidence.
+    A rule matches on category (none listed: any) and minimum confidence.  Rules given as values
+    are configuration: they become an array literal and matching is a projection.  Rules given as
+    a table (`read_guardrails`) are joined, whatever their number; names come sorted then.
     """
-    if len(rules) > MAX_CONFIG_RULES:
-        raise ValueError(f"More than {MAX_CONFIG_RULES} guardrail rules")
+    if isinstance(rules, DataFrame):
+        return _apply_rule_table(detections, applicable(rules, channel))
     active = [r for r in rules if r.enabled
               and (not channel or not r.channels or channel in r.channels)]
     checks = []

@@ -130,14 +130,14 @@ def batch_summary(scanned: DataFrame) -> DataFrame:
         (blocked == 0).alias("safe_to_proceed"))
 
 
-def safe_chunks(scanned: DataFrame, originals: DataFrame) -> DataFrame:
-    """Original chunks that may be used: allowed ones as they are, sanitized ones with their
-    replacement text if they have one."""
-    verdicts = scanned.select("batch_id", "pos", "status", "sanitized_content")
+def safe_chunks(scanned: DataFrame) -> DataFrame:
+    """Chunks that may be used: allowed ones as they are, sanitized ones with their replacement
+    text if they have one.  Scanned chunks carry their content, so nothing is joined."""
     usable = (F.col("status") == "allowed") | (
         (F.col("status") == "sanitized") & (F.coalesce("sanitized_content", F.lit("")) != ""))
-    return (originals.join(verdicts.filter(usable), ["batch_id", "pos"])
+    keep = [c for c in CHUNK_COLUMNS if c in scanned.columns]
+    return (scanned.filter(usable)
             .withColumn("content", F.when(F.col("status") == "sanitized",
                                           F.col("sanitized_content"))
                         .otherwise(F.col("content")))
-            .select(*originals.columns))
+            .select(*keep))

@@ -75,6 +75,31 @@ select doc_id, name, 'log' as action, 'log-everything' as guardrails from {K.hit
     .select("doc_id", "name", "action", F.array_join("guardrails", ",").alias("guardrails")))
 
 
+_LOADED = f"""(select case category when 'retention' then 'jailbreak' end as category,
+  case when lower(coalesce(severity,'MEDIUM')) in ('critical','high') then 'block' else 'log' end as action,
+  case lower(coalesce(severity,'MEDIUM')) when 'critical' then 95e-2 when 'high' then 85e-2
+    when 'low' then 55e-2 else 7e-1 end as least from {_FIRST})"""
+
+
+@query("k4_loaded_guardrails", f"""
+select h.doc_id, h.name, case when count(r.action) = 0 then 'allow' when bool_or(r.action = 'block') then 'block'
+  else 'log' end as action, count(r.action)::int as n_rules
+from {K.hits(K.DOCS, 'doc_id')} h left join {_LOADED} r
+  on coalesce(r.category, h.category) = h.category and h.confidence >= r.least
+group by h.doc_id, h.name""")
+def loaded_guardrails(t: Tables) -> DataFrame:
+    """The rules of all policies, written as a rule file, loaded and applied: retention rules to
+    jailbreaks, others to any category."""
+    path = new_folder(t.spark, "guardrails")
+    none = F.array().cast("array<string>")
+    P.rule_guardrails(P.first_rules(_rules(t))).select("name", "action", "confidence", F.when(
+        F.col("category") == "retention", F.array(F.lit("jailbreak"))).otherwise(none)
+        .alias("categories")).write.json(path)
+    hits = scan.pattern_hits(t.attack_docs(), ["doc_id"])
+    return P.apply_guardrails(hits, read_guardrails(t.spark, path)).select(
+        "doc_id", "name", "action", F.size("guardrails").alias("n_rules"))
+
+
 @query("p10_applicable_rules", f"""
 with r as (select rule_id as name, severity <> 'LOW' as enabled,
   case when chunk % 2 = 0 then '' when chunk % 3 = 0 then 'chat' else 'upload' end as channel from {_RULES})

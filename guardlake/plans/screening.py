@@ -120,17 +120,17 @@ select batch_id, count(*)::bigint as chunks_scanned,
   count(*) filter ({_STATUS} = 'sanitized')::bigint as chunks_sanitized,
   count(*) filter ({_STATUS} = 'blocked') = 0 as safe_to_proceed
 from {_SCANNED} group by batch_id""")(
-    lambda t: rag.batch_summary(rag.scan_chunks(t.chunks(), decode=False)))
+    lambda t: rag.batch_summary(rag.scan_chunks(t.chunks(), decode=False, redact_blocked=False)))
 
 
 @query("g5_safe_chunks", f"""
 select batch_id, pos, content from {_SCANNED} where {_STATUS} = 'allowed'""")
 def safe_chunks(t: Tables) -> DataFrame:
-    return rag.safe_chunks(rag.scan_chunks(t.chunks(), decode=False), t.chunks()).select(
+    return rag.safe_chunks(rag.scan_chunks(t.chunks(), decode=False, redact_blocked=False)).select(
         "batch_id", "pos", "content")
 
 
 query("g6_quick_scan", f"""
 select chunk_id, {_STATUS} as status, {_STATUS} = 'allowed' as safe from {_SCANNED}""")(
-    lambda t: rag.quick_scan(t.chunks(), "chunk_id", "content", decode=False).select(
-        "chunk_id", "status", "safe"))
+    lambda t: rag.quick_scan(t.chunks(), "chunk_id", "content", decode=False,
+                             redact_blocked=False).select("chunk_id", "status", "safe"))

@@ -18,6 +18,7 @@ from guardlake.plans.multiturn import context_sql
 from guardlake.plans.redaction import _LAST
 from guardlake.plans.registry import query
 from guardlake.session import new_folder
+from guardlake.sources import sinks
 from guardlake.sources.readers import parse_sse, stream_responses
 from guardlake.streaming import live
 from guardlake.streaming import redaction as R
@@ -25,13 +26,16 @@ from guardlake.streaming import redaction as R
 PIECE = 40
 
 
-def _source(t: Tables, rows: DataFrame, name: str, files: int = 4) -> str:
+def _source(t: Tables, rows: DataFrame, name: str, files: int | None = None, *keys: str) -> str:
+    """Rows as files, as many as there are cores unless told; those with equal `keys` in one."""
     path = new_folder(t.spark, name)
-    rows.repartition(files).write.parquet(path)
+    rows.repartition(files or t.spark.sparkContext.defaultParallelism, *keys).write.parquet(path)
     return path
 
 
-def _read_stream(t: Tables, path: str, per_trigger: int = 2) -> DataFrame:
+def _read_stream(t: Tables, path: str, per_trigger: int | None = None) -> DataFrame:
+    """The files as a stream; a micro-batch takes half as many as there are cores."""
+    per_trigger = per_trigger or max(1, t.spark.sparkContext.defaultParallelism // 2)
     schema = t.spark.read.parquet(path).schema
     return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
@@ -61,14 +65,14 @@ select cast(doc_id as varchar) as stream_id, length(text)::bigint as n_chars,
   greatest(1, ceil(length(text) / {PIECE}))::bigint as n_chunks from ({K.DOCS})""")
 def response_stream(t: Tables) -> DataFrame:
     path = _source(t, _pieces(t.attack_docs()), "pieces")
-    rows = _finish(t, stream_responses(t.spark, path, 2), "responses")
+    rows = _finish(t, stream_responses(t.spark, path), "responses")
     return rows.groupBy("stream_id").agg(F.sum(F.length("delta")).alias("n_chars"),
                                          F.count(F.lit(1)).alias("n_chunks"))
 
 
 def _redacted(t: Tables) -> DataFrame:
     path = _source(t, _pieces(t.attack_docs()), "pieces")
-    return _finish(t, R.redact_stream(stream_responses(t.spark, path, 2)), "redacted")
+    return _finish(t, R.redact_stream(stream_responses(t.spark, path)), "redacted")
 
 
 _WHOLE = f"select cast(doc_id as varchar) as stream_id, {_LAST} as redacted from {K.redaction(K.DOCS, 'doc_id')}"
@@ -154,23 +158,30 @@ def live_scan(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "live")
     live.scan_requests(_read_stream(t, path), f"{folder}/logs", f"{folder}/events",
                        f"{folder}/checkpoint").awaitTermination()
-    return (t.spark.read.parquet(f"{folder}/logs").groupBy("status", "threat_level")
+    return (sinks.read_table(t.spark, f"{folder}/logs").groupBy("status", "threat_level")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("w7_live_window_counts", f"""
 select api_key_id, strftime(to_timestamp((epoch_us(ts) // {DAY * 1000000}) * {DAY}),'%Y-%m-%d') as day,
   count(*)::bigint as n_events, greatest(0, count(*) - 25)::bigint as n_rejected
-from ({K.LOGS}) group by 1, 2
-having (epoch_us(min(ts)) // {DAY * 1000000} + 1) * {DAY} <= (select epoch(max(ts)) from ({K.LOGS})) - 120""")
+from ({K.LOGS}) group by 1, 2""")
 def live_window_counts(t: Tables) -> DataFrame:
-    """Windows closed by the watermark (the open one at the end of the input is not)."""
-    path = _source(t, t.logs().orderBy("ts"), "events", 1)
+    """Every window, open ones too: each micro-batch writes the windows that it changed, and the
+    last count of a window, its largest, holds."""
+    path = _source(t, t.logs(), "events")
     counts = live.window_counts(_read_stream(t, path), "api_key_id", window=DAY, limit=20,
-                                burst=5)
-    return _finish(t, counts, "window-counts").select(
-        "api_key_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n_events",
-        "n_rejected")
+                                burst=5, lateness="60 days")
+    folder = new_folder(t.spark, "window-counts")
+    q = (counts.writeStream.outputMode("update").foreachBatch(
+            lambda batch, number: batch.write.mode("overwrite").parquet(
+                f"{folder}/out/batch={number}"))
+         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    day = F.date_format("window_start", "yyyy-MM-dd").alias("day")
+    return (t.spark.read.schema(counts.schema).parquet(f"{folder}/out")
+            .groupBy("api_key_id", day).agg(F.max("n_events").alias("n_events"),
+                                            F.max("n_rejected").alias("n_rejected")))
 
 
 @query("w7_live_decisions", f"""
@@ -178,7 +189,7 @@ select api_key_id as key, count(*)::bigint as n_events, count(*) filter (current
 from (select api_key_id, row_number() over (partition by api_key_id, epoch_us(ts) // {DAY * 1000000}
   order by ts, event_id) as current from ({K.LOGS})) group by 1""")
 def live_decisions(t: Tables) -> DataFrame:
-    path = _source(t, t.logs(), "events", 1)
+    path = _source(t, t.logs(), "events")
     rows = live.limit_events(_read_stream(t, path), "api_key_id", window=DAY, limit=20, burst=5,
                              lateness="60 days")
     return _finish(t, rows, "decisions").groupBy("key").agg(
@@ -187,7 +198,7 @@ def live_decisions(t: Tables) -> DataFrame:
 
 @query("w8_live_context", f"select conv_id, turn, confidence, issues from {context_sql(K.TALKS)}")
 def live_context(t: Tables) -> DataFrame:
-    path = _source(t, t.talks(), "talks", 1)
+    path = _source(t, t.talks(), "talks", None, "conv_id")
     return _finish(t, live.live_context(_read_stream(t, path)), "contexts").select(
         "conv_id", "turn", "context.confidence",
         F.array_join("context.issues", "; ").alias("issues"))
@@ -199,10 +210,13 @@ select conv_id, turn, token, request_id from (
     select conv_id, turn, ts, unnest(regexp_extract_all(text,'{C.CANARY_PRIMARY.replace("[", chr(92) + "[").replace("]", chr(92) + "]").replace("{h}", "([0-9a-f]{16})")}',1)) as token from ({I.for_check(I.CANARY_RESPONSES)})
     union all select conv_id, turn, ts, replace(unnest(regexp_extract_all(text,'\\[REF-ID: ([0-9a-f]{{8}}-[0-9a-f]{{8}})\\]',1)),'-','') from ({I.for_check(I.CANARY_RESPONSES)})
   ) s join ({I.for_check(I.CANARY_REGISTRY)}) r on s.token = r.token
-  and s.ts >= r.injected_at and s.ts <= r.injected_at + interval '300' second)""")
+  and s.ts >= r.injected_at and s.ts <= r.injected_at + interval '1' minute * (1 + cast(r.request_id as bigint) % 4))""")
 def live_canaries(t: Tables) -> DataFrame:
-    said = _source(t, t.sql(I.CANARY_RESPONSES), "responses", 1)
-    tokens = _source(t, t.sql(I.CANARY_REGISTRY), "tokens", 1)
+    """Tokens with times to live of their own: one to four minutes."""
+    said = _source(t, t.sql(I.CANARY_RESPONSES), "responses")
+    registry = t.sql(I.CANARY_REGISTRY).withColumn(
+        "ttl_seconds", 60 * (1 + F.col("request_id").cast("long") % 4))
+    tokens = _source(t, registry, "tokens")
     rows = live.match_canaries(_read_stream(t, said), _read_stream(t, tokens),
-                               ["conv_id", "turn"])
+                               ["conv_id", "turn"], lateness="60 days")
     return _finish(t, rows, "leaks").select("conv_id", "turn", "token", "request_id")

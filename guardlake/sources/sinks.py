@@ -11,6 +11,13 @@ def append_by_day(df: DataFrame, path: str, at: str) -> None:
     (df.withColumn("dt", F.to_date(at)).write.mode("append").partitionBy("dt").parquet(path))
 
 
+def replace_batch(df: DataFrame, path: str, at: str, batch: str) -> None:
+    """Rows of one batch of a stream; if the batch runs again, its rows take the place of the
+    earlier ones.  Such a table has the batch as a second partition, so it takes no other rows."""
+    (df.withColumn("dt", F.to_date(at)).withColumn("batch", F.lit(batch)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(path))
+
+
 def append_logs(logs: DataFrame, path: str) -> None:
     append_by_day(logs, path, "created_at")
 
@@ -43,5 +50,5 @@ def append_detections(detections: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table written by this module, without its partition column."""
-    return spark.read.parquet(path).drop("dt")
+    """A table written by this module, without its partition columns."""
+    return spark.read.parquet(path).drop("dt", "batch")

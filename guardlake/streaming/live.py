@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,24 +17,24 @@ from guardlake.operators import audit, canary
 from guardlake.operators.verdict import analyze_requests
 from guardlake.sources import sinks
 
+EMITTED_ROWS, TOKEN_SALTS = 10_000, 8
+
 
 def scan_requests(requests: DataFrame, logs: str, events: str, checkpoint: str,
                   **options) -> StreamingQuery:
-    """Scan a stream of requests (with created_at) and append logs and security events.
+    """Scan a stream of requests (with created_at) into tables of logs and security events.
 
-    A batch is written once to each table; its id in the rows lets a reader drop a batch
-    that was replayed after a failure.
+    A batch is a partition of its own, named by the stream's checkpoint and the number of the
+    batch, so one that runs again after a failure replaces its rows.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     verdicts = analyze_requests(requests, **options)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        rows = audit.audit_rows(batch).withColumn("batch_id", F.lit(batch_id))
-        sinks.append_logs(rows, logs)
-        found = audit.security_events(batch).join(
-            batch.select(F.col("request_id").cast("string").alias("request_log_id"),
-                         "created_at"), "request_log_id")
-        sinks.append_events(found.withColumn("batch_id", F.lit(batch_id)), events)
+        name = f"{stream}-{batch_id}"
+        sinks.replace_batch(audit.audit_rows(batch), logs, "created_at", name)
+        sinks.replace_batch(audit.security_events(batch), events, "created_at", name)
         batch.unpersist()
 
     return (verdicts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -55,9 +56,9 @@ def window_counts(events: DataFrame, key: str, *, ts: str = "ts",
 def limit_events(events: DataFrame, key: str, *, ts: str = "ts", event: str = "event_id",
                  window: int = C.RATE_WINDOW_SECONDS, limit: int = C.RATE_PER_KEY,
                  burst: int = C.RATE_BURST, lateness: str = "2 minutes") -> DataFrame:
-    """Decision per event, counted in arrival order.
+    """Decision per event, counted in order of arrival, and of time within a micro-batch.
 
-    State is one counter per (key, window), dropped when the watermark passes the window.
+    Ids and times of a micro-batch's events of one window are sorted together.  State is one counter per (key, window), dropped when the watermark passes the window.
     """
     cap = limit + burst
     rows = (events.withWatermark(ts, lateness)
@@ -72,13 +73,15 @@ def limit_events(events: DataFrame, key: str, *, ts: str = "ts", event: str = "e
             return
         seen = int(state.get[0]) if state.exists else 0
         window_id = int(group[1])
-        for batch in batches:
-            batch = batch.sort_values(["ts", "event_id"], ignore_index=True)
-            current = seen + 1 + batch.index.to_numpy()
-            seen += len(batch)
+        rows = pd.concat([b[["ts", "event_id"]] for b in batches]).sort_values(
+            ["ts", "event_id"], ignore_index=True)
+        for start in range(0, len(rows), EMITTED_ROWS):
+            part = rows.iloc[start:start + EMITTED_ROWS]
+            current = seen + 1 + part.index.to_numpy()
             yield pd.DataFrame({"key": group[0], "window_id": window_id,
-                                "event_id": batch["event_id"], "current": current,
+                                "event_id": part["event_id"], "current": current,
                                 "allowed": current <= cap})
+        seen += len(rows)
         state.update((int(seen),))
         end = (window_id + 1) * window * 1000
         state.setTimeoutTimestamp(max(end, int(state.getCurrentWatermarkMs()) + 1))
@@ -133,13 +136,22 @@ def live_context(messages: DataFrame, max_history: int = C.MAX_HISTORY) -> DataF
 
 
 def match_canaries(responses: DataFrame, registry: DataFrame, keys: list[str], *,
-                   ts: str = "ts", text: str = "text", ttl_seconds: int = C.CANARY_TTL_SECONDS,
-                   lateness: str = "10 minutes") -> DataFrame:
-    """Stream-stream join of leaked markers with tokens injected within the TTL before."""
-    seen = canary.mentions(responses.withWatermark(ts, lateness), [*keys, ts], text)
-    tokens = registry.select(F.col("token").alias("r_token"), "request_id", "injected_at"
-                             ).withWatermark("injected_at", lateness)
-    near = F.expr(f"token = r_token AND {ts} >= injected_at AND "
-                  f"{ts} <= injected_at + INTERVAL {ttl_seconds} SECONDS")
+                   ts: str = "ts", text: str = "text", max_ttl_seconds: int = C.CANARY_TTL_SECONDS,
+                   lateness: str = "10 minutes", salts: int = TOKEN_SALTS) -> DataFrame:
+    """Stream-stream join of leaked markers with tokens injected within their TTL before.
+
+    A row's own `ttl_seconds` counts, up to `max_ttl_seconds`, for which state is kept.  A token
+    that leaks everywhere is spread over `salts` tasks.
+    """
+    seen = canary.mentions(responses.withWatermark(ts, lateness), [*keys, ts], text).withColumn(
+        "salt", F.pmod(F.xxhash64(*keys, ts), F.lit(salts)).cast("int"))
+    own = F.col("ttl_seconds") if "ttl_seconds" in registry.columns else F.lit(max_ttl_seconds)
+    tokens = registry.select(
+        F.col("token").alias("r_token"), "request_id", "injected_at", own.alias("ttl")
+    ).withWatermark("injected_at", lateness).withColumn(
+        "r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    near = F.expr(f"token = r_token AND salt = r_salt AND {ts} >= injected_at AND "
+                  f"{ts} <= injected_at + INTERVAL {max_ttl_seconds} SECONDS AND "
+                  f"unix_micros({ts}) <= unix_micros(injected_at) + ttl * 1000000L")
     return seen.join(tokens, near).select(*keys, ts, "token", "request_id", "injected_at",
                                           "format")

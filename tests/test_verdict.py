@@ -159,7 +159,7 @@ def test_chunks(spark):
     assert sorted(r.chunk_id for r in stop) == ["c0", "c1", "c2", "c4"]
     summary = {r.batch_id: r for r in rag.batch_summary(rag.scan_chunks(df)).collect()}
     assert summary["b"].chunks_blocked == 1 and not summary["b"].safe_to_proceed
-    safe = rag.safe_chunks(rag.scan_chunks(df), df).collect()
+    safe = rag.safe_chunks(rag.scan_chunks(df)).collect()
     assert sorted(r.chunk_id for r in safe) == ["c0", "c3", "c4"]
 
 
