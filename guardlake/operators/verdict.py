@@ -94,7 +94,8 @@ def analyze_requests(requests: DataFrame, *, decode: bool = True, leet: str = "p
     """Verdict per request; other columns of `requests` pass through.
 
     `history` names an array<struct<role, content>> column with earlier messages, oldest
-    first.  Invalid requests get their verdict from validation alone: their texts are null
+    first, or an array of their features (`functions.context.features`), which is what should
+    travel where a window gathers them.  Invalid requests get their verdict from validation alone: their texts are null
     from there on, so neither the decoder nor the scans see them.  `scan='both'` also
     reports patterns of the text before decoding.
     """
@@ -116,7 +117,9 @@ def analyze_requests(requests: DataFrame, *, decode: bool = True, leet: str = "p
               F.size("__deobs") - 1, F.lit(0)))))
     context = None
     if history is not None:
-        past = F.transform(history, lambda h: X.features(h["role"], h["content"]))
+        ready = "mask" in df.schema[history].dataType.elementType.names
+        past = F.col(history) if ready else F.transform(
+            history, lambda h: X.features(h["role"], h["content"]))
         context = F.when(valid & (F.size(history) > 0), X.context(
             X.features(F.lit("user"), F.col("__text")), past, max_history))
     df = conclude(df, valid=valid, errors=F.col("validation")["errors"], catalog=catalog,

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from guardlake import catalog as C
 from guardlake.functions import verdict as V
+from guardlake.functions.context import features
 from guardlake.operators import audit, scan
 from guardlake.operators import requests as Q
 from guardlake.operators.context import with_history
+from guardlake.operators.ratelimit import check_tiers
 from guardlake.operators.verdict import analyze_requests, requests_from_texts
 from guardlake.plans import checks as K
+from guardlake.plans import limits
 from guardlake.plans.detection import _URL_SQL, _url_requests
 from guardlake.plans.inputs import Tables
 from guardlake.plans.multiturn import context_sql
@@ -276,8 +279,8 @@ select conv_id, turn, round(conf,3) as confidence, cast(n_threats as int) as n_t
        when r = 2 and conf >= 0.7 then 'blocked' when r = 2 then 'sanitized' else 'allowed' end as status
 from m""")
 def context_boost(t: Tables) -> DataFrame:
-    talks = with_history(t.talks(), "conv_id", "turn", F.struct(
-        "role", F.col("text").alias("content"))).filter("role = 'user'")
+    talks = with_history(t.talks(), "conv_id", "turn", features(F.col("role"), F.col("text"))
+                         ).filter("role = 'user'")
     key = F.struct("conv_id", "turn")
     reqs = (talks.withColumn("key", key).select(
         F.col("key").alias("request_id"), F.lit("analyze-only").alias("model"),
@@ -346,3 +349,15 @@ def _events(t: Tables) -> DataFrame:
     return (audit.security_events(verdicts, filtered=filtered).groupBy("event_type", "severity")
             .agg(F.count(F.lit(1)).alias("n")))
 
+
+@query("a7_rate_limited_events", f"""
+select 'rate_limited' as event_type, 'medium' as severity, concat('{{"exceeded":["',
+  array_to_string(list_filter([case when not g_ok then 'global' end, case when not i_ok then 'ip' end,
+  case when not k_ok then 'user' end], lambda x: x is not null), '","'), '"]}}') as details, count(*)::bigint as n
+from {limits._ALL} where not {limits._OK} group by all""")
+def rate_limited_events(t: Tables) -> DataFrame:
+    """Events of the requests that the three tiers reject."""
+    limited = check_tiers(t.logs(), **limits._TIERS)
+    verdicts = analyze_requests(_requests(t), decode=False)
+    return (audit.security_events(verdicts, limited).filter("event_type = 'rate_limited'")
+            .groupBy("event_type", "severity", "details").agg(F.count(F.lit(1)).alias("n")))

@@ -17,6 +17,7 @@ from guardlake.plans.limits import DAY
 from guardlake.plans.multiturn import context_sql
 from guardlake.plans.redaction import _LAST
 from guardlake.plans.registry import query
+from guardlake.plans.requests import _FLAT
 from guardlake.session import new_folder
 from guardlake.sources import sinks
 from guardlake.sources.readers import parse_sse, stream_responses
@@ -152,14 +153,32 @@ def finished_streams(t: Tables) -> DataFrame:
 @query("w6_live_request_scan")
 def live_scan(t: Tables) -> DataFrame:
     """Requests scanned as a stream into log and event tables; log rows per status."""
+    logs, _ = _scanned(t)
+    return logs.groupBy("status", "threat_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w6_live_scan_without_decoding", f"""
+select 'log' as kind, status, threat_level, count(*)::bigint as n from ({_FLAT}) group by all
+union all select 'event', 'attack_blocked', 'high', count(*) from ({_FLAT}) where status = 'blocked'""")
+def live_scan_plain(t: Tables) -> DataFrame:
+    """Rows of both tables per status and level, or per type and severity."""
+    logs, events = _scanned(t, decode=False)
+    return logs.select(F.lit("log").alias("kind"), "status", "threat_level").unionByName(
+        events.select(F.lit("event").alias("kind"), F.col("event_type").alias("status"),
+                      F.col("severity").alias("threat_level"))).groupBy(
+        "kind", "status", "threat_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scanned(t: Tables, **options) -> tuple[DataFrame, DataFrame]:
+    """The log and event tables that a stream of all requests is scanned into."""
     rows = Q.from_messages(t.messages()).withColumn(
         "created_at", F.lit("2024-01-01").cast("timestamp"))
     path = _source(t, rows, "requests")
     folder = new_folder(t.spark, "live")
     live.scan_requests(_read_stream(t, path), f"{folder}/logs", f"{folder}/events",
-                       f"{folder}/checkpoint").awaitTermination()
-    return (sinks.read_table(t.spark, f"{folder}/logs").groupBy("status", "threat_level")
-            .agg(F.count(F.lit(1)).alias("n")))
+                       f"{folder}/checkpoint", **options).awaitTermination()
+    return (sinks.read_table(t.spark, f"{folder}/logs"),
+            sinks.read_table(t.spark, f"{folder}/events"))
 
 
 @query("w7_live_window_counts", f"""
