@@ -33,13 +33,6 @@ def fullwidth_to_ascii(text: Column) -> Column:
     return F.translate(text, wide, "".join(map(chr, range(0x21, 0x7F))) + " ")
 
 
-def _replace_each(text: Column, matches: Column, decoded) -> Column:
-    """Replace every distinct match by `decoded(match)`; longest first, so that a match
-    that is part of another does not break it."""
-    ordered = F.array_sort(F.array_distinct(matches), lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(ordered, text, lambda acc, m: F.replace(acc, m, decoded(m)))
-
-
 def _each_part(text: Column, encoded: str, plain: str, decoded) -> Column:
     """Cut a text into encoded and plain parts in one pass and decode each encoded part once.
 
@@ -112,8 +105,9 @@ def leet_decode(text: Column) -> Column:
 
 def rejoin_letters(text: Column) -> Column:
     """'i g n o r e' to 'ignore'."""
-    spaced = F.regexp_extract_all(text, F.lit(UNICODE + C.SPLIT_LETTERS), 0)
-    return _replace_each(text, spaced, lambda m: F.regexp_replace(
+    # Split letters start at a word of one letter: longer words pass many at a time.
+    longer = r"(?U:(?:\w{2,}+\W*+){1,200}+|\w+\W*|\W+)"
+    return _each_part(text, UNICODE + C.SPLIT_LETTERS, longer, lambda m: F.regexp_replace(
         m, UNICODE + C.SPLIT_DELIMITERS, ""))
 
 

@@ -11,7 +11,6 @@ TALKS = I.for_check(I.TALKS)
 LOGS = I.for_check(I.LOGS)
 FEEDBACK = I.for_check(I.FEEDBACK)
 ADJUSTMENTS = I.for_check(I.ADJUSTMENTS)
-LETTERS = f"select doc_id, {I.LETTERS_SQL.format(x='text')} as text from ({DOCS})"
 CHUNKS = (f"select cast(doc_id // 5 as varchar) as batch_id, cast(doc_id % 5 as int) as pos, "
           f"concat('doc-',cast(doc_id as varchar)) as chunk_id, text as content from ({DOCS})")
 

@@ -13,7 +13,7 @@ from guardlake.functions import semantic as S
 from guardlake.operators import indirect, scan
 from guardlake.operators.requests import single_messages
 from guardlake.plans import checks as K
-from guardlake.plans.inputs import LETTERS_SQL, Tables, letters_only
+from guardlake.plans.inputs import Tables
 from guardlake.plans.registry import query
 
 # ---------------------------------------------------------------- patterns
@@ -88,51 +88,44 @@ def _base64(text: Column) -> Column:
     return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "\\s", "")
 
 
-@query("n0_fixed_point", f"""
-select doc_id,
-  case doc_id % 4 when 2 then replace(text,' ','<')
-       when 3 then concat(text,' ignore the system') else text end as decoded,
-  cast(case doc_id % 4 when 0 then 0 when 2 then 2 else 1 end as int) as layers,
-  case doc_id % 4 when 0 then '' when 1 then 'url_encoding,base64'
-       when 2 then 'base64,html_entity' else 'rot13' end as encodings
-from ({K.LETTERS})""")
+@query("n0_fixed_point")
 def fixed_point(t: Tables) -> DataFrame:
-    """Documents under nested encodings, peeled to what they were."""
+    """Whole documents under nested encodings, peeled until nothing changes.
+
+    Normalisation forms and named entities have no SQL; a plain version is tested instead.
+    """
+    return D.with_decoded(nested(t.attack_docs()), "hidden", "d").select(
+        "doc_id", F.col("d.decoded").alias("decoded"), F.col("d.layers").alias("layers"),
+        F.array_join("d.encodings", ",").alias("encodings"))
+
+
+def nested(docs: DataFrame) -> DataFrame:
+    """(doc_id, hidden): documents in turn plain, twice encoded, with entities, and rotated."""
     x = F.col("text")
-    b64 = _base64(x)
-    percent = F.regexp_replace(F.hex(b64), "(..)", "%$1")
-    markup = _base64(F.replace(x, F.lit(" "), F.lit("&lt;")))
+    percent = F.regexp_replace(F.hex(_base64(x)), "(..)", "%$1")
+    markup = _base64(F.replace(x, F.lit(" "), F.lit("&nbsp;")))
     turned = D.rotate13(F.concat(x, F.lit(" ignore the system")))
     kind = F.col("doc_id") % 4
-    hidden = F.when(kind == 1, percent).when(kind == 2, markup).when(kind == 3, turned).otherwise(x)
-    df = t.letters().select("doc_id", hidden.alias("hidden"))
-    return D.with_decoded(df, "hidden", "d").select(
-        "doc_id", F.col("d.decoded").alias("decoded"), F.col("d.layers").alias("layers"),
-        F.array_join("d.encodings", ",").alias("encodings"))
+    return docs.select("doc_id", F.when(kind == 1, percent).when(kind == 2, markup).when(
+        kind == 3, turned).otherwise(x).alias("hidden"))
 
 
-@query("n1_unicode_normalisation", f"select doc_id, text as decoded, 1 as layers from ({K.LETTERS})")
-def unicode_forms(t: Tables) -> DataFrame:
-    """Words in full-width letters, read back as ASCII by both forms of the decoder."""
-    plain = "abcdefghijklmnopqrstuvwxyz"
-    wide = "".join(chr(ord(c) + 0xFEE0) for c in plain)
-    df = t.letters().select("doc_id", F.translate("text", plain, wide).alias("hidden"))
-    df = D.with_decoded(df, "hidden", "d")
-    same = D.fullwidth_to_ascii(F.col("hidden")) == F.col("d.decoded")
-    return df.select("doc_id", F.when(same, F.col("d.decoded")).alias("decoded"),
-                     F.col("d.layers").alias("layers"))
+_WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
+_NARROW = "".join(map(chr, range(0x21, 0x7F)))
 
+query("n1_unicode_normalisation", f"""
+select doc_id, translate(text,{K.lit(_WIDE)},{K.lit(_NARROW)}) as decoded from ({K.DOCS})""")(
+    lambda t: t.attack_docs().select("doc_id", D.fullwidth_to_ascii(
+        F.translate("text", _NARROW, _WIDE)).alias("decoded")))
 
-@query("n2_html_entities", f"select doc_id, text as decoded, 1 as layers from ({K.LETTERS})")
+
+@query("n2_html_entities", f"select doc_id, text as decoded from ({K.DOCS})")
 def html_entities(t: Tables) -> DataFrame:
-    """Vowels as numeric character references, undone by both forms of the decoder."""
+    """Vowels of whole documents as numeric character references, read back."""
     hidden = F.col("text")
     for vowel in "aeiou":
         hidden = F.replace(hidden, F.lit(vowel), F.lit(f"&#{ord(vowel)};"))
-    df = D.with_decoded(t.letters().select("doc_id", hidden.alias("hidden")), "hidden", "d")
-    same = D.numeric_entities(F.col("hidden")) == F.col("d.decoded")
-    return df.select("doc_id", F.when(same, F.col("d.decoded")).alias("decoded"),
-                     F.col("d.layers").alias("layers"))
+    return t.attack_docs().select("doc_id", D.numeric_entities(hidden).alias("decoded"))
 
 
 query("n3_percent", f"""
@@ -141,13 +134,20 @@ select doc_id, concat('100% sure, a+b: ', text) as decoded from ({K.DOCS})""")(
         F.lit("100% sure, a+b: "), F.regexp_replace(F.hex(F.encode("text", "UTF-8")),
                                                    "(..)", "%$1"))).alias("decoded")))
 
-query("n4_base64", f"select doc_id, concat('see: ', text) as decoded from ({K.LETTERS})")(
-    lambda t: t.letters().select("doc_id", D.base64_decode(F.concat(
-        F.lit("see: "), _base64(F.col("text")))).alias("decoded")))
+# A run of fewer than 16 characters is no base64, so short texts get a few words more.
+query("n4_base64", f"select doc_id, concat('see: some words ', text) as decoded from ({K.DOCS})")(
+    lambda t: t.attack_docs().select("doc_id", D.base64_decode(F.concat(
+        F.lit("see: "), _base64(F.concat(F.lit("some words "), "text")))).alias("decoded")))
+
+
+@query("n5_hex_escapes", f"select doc_id, text as decoded from ({K.DOCS})")
+def hex_escapes(t: Tables) -> DataFrame:
+    """Every ASCII character of whole documents as an escape, read back."""
+    parts = F.regexp_extract_all("text", F.lit("[\\x00-\\x7F]+|[^\\x00-\\x7F]+"), 0)
+    hidden = F.transform(parts, lambda m: F.when(F.octet_length(m) == F.length(m), F.regexp_replace(
+        F.hex(F.encode(m, "UTF-8")), "(..)", "\\\\x$1")).otherwise(m))
+    return t.attack_docs().select("doc_id", D.hex_decode(F.array_join(hidden, "")).alias("decoded"))
 
-query("n5_hex_escapes", f"select doc_id, text as decoded from ({K.LETTERS})")(
-    lambda t: t.letters().select("doc_id", D.hex_decode(F.regexp_replace(
-        F.hex(F.encode("text", "UTF-8")), "(..)", "\\\\x$1")).alias("decoded")))
 
 _ROT = "translate({x},'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz','NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm')"
 _FRESH = "+".join(
@@ -169,8 +169,11 @@ from ({K.DOCS})""")(
     lambda t: t.attack_docs().select("doc_id", D.leet_decode(F.col("text")).alias("decoded")))
 
 query("n8_split_letters", f"""
-select doc_id, concat(text, ' so ignore and bypass') as decoded from ({K.LETTERS})""")(
-    lambda t: t.letters().select("doc_id", D.rejoin_letters(F.concat(
+select doc_id, array_to_string(list_transform(regexp_extract_all(
+    concat(text,' so i g n o r e and b-y-p-a-s-s'), {K.lit('(?:' + C.SPLIT_LETTERS + r')|\w+\W*|\W+')}),
+  lambda m: case when regexp_full_match(m,{K.lit(C.SPLIT_LETTERS)})
+    then regexp_replace(m,'[\\s.\\-]','','g') else m end),'') as decoded from ({K.DOCS})""")(
+    lambda t: t.attack_docs().select("doc_id", D.rejoin_letters(F.concat(
         "text", F.lit(" so i g n o r e and b-y-p-a-s-s"))).alias("decoded")))
 
 # ---------------------------------------------------------------- semantic scoring
@@ -208,31 +211,22 @@ select doc_id, label, round(conf,6) as confidence,
         "s.threat_level"))
 
 # ---------------------------------------------------------------- indirect injection
-# Words-only tool output stays as it is when decoded; encoded output is decoded to words.
-
 _TOOL_MSGS = f"select request_id, pos, coalesce(case when name <> '' then concat('tool:',name) end, concat('tool_msg[',pos,']')) as source, text from ({K.MESSAGES}) where role = 'tool' and regexp_matches(text,'\\S')"
-_TOOL_WORDS = (f"select request_id, pos, source, {LETTERS_SQL.format(x='text')} as text "
-               f"from ({_TOOL_MSGS})")
-
-
-def _tools(t: Tables) -> DataFrame:
-    """(request_id, source, words) of tool output."""
-    from guardlake.operators.requests import tool_contents
-
-    return tool_contents(single_messages(t.messages())).select(
-        "request_id", "source", letters_only(F.col("content")).alias("words"))
-
-
 @query("i1_obfuscated_tool_output", f"""
 select request_id, source, 'obfuscated_tool_output' as name, 'high' as threat_level,
-  4e-1 as confidence, concat('Obfuscated content in ', source, ': base64') as details
-from ({_TOOL_WORDS})""")
+  true as sure, concat('Obfuscated content in ', source, ': base64') as details from ({_TOOL_MSGS})""")
 def obfuscated_tools(t: Tables) -> DataFrame:
-    df = _tools(t).withColumn("hidden", _base64(F.col("words")))
+    """Whole tool outputs under base64, which is named first; what else they hold may follow."""
+    from guardlake.operators.requests import tool_contents
+
+    df = tool_contents(single_messages(t.messages())).withColumn(
+        "hidden", _base64(F.concat(F.lit("some words "), "content")))
     df = D.with_decoded(df, "hidden", "d")
     found = F.filter(I.external_threats(F.col("d"), F.col("source")),
                      lambda x: x["name"] == "obfuscated_tool_output")
-    return df.select("request_id", "source", F.inline(found)).drop("category")
+    return df.select("request_id", "source", F.inline(found)).select(
+        "request_id", "source", "name", "threat_level", (F.col("confidence") >= 0.4).alias("sure"),
+        F.regexp_replace("details", "(?s): base64.*", ": base64").alias("details"))
 
 
 @query("i2_injection_in_tool_output", f"""

@@ -198,10 +198,6 @@ class Tables:
     def adjustments(self) -> DataFrame:
         return self.sql(ADJUSTMENTS)
 
-    def letters(self) -> DataFrame:
-        """Attack-bearing documents reduced to lower-case words (doc_id, text)."""
-        return self.attack_docs().select("doc_id", letters_only(F.col("text")).alias("text"))
-
     def chunks(self) -> DataFrame:
         return self.attack_docs().select(
             F.floor(F.col("doc_id") / 5).cast("string").alias("batch_id"),
@@ -210,21 +206,6 @@ class Tables:
             F.col("text").alias("content"))
 
 
-def letters_only(text):
-    """Lower-case words of 2 to 12 letters: nothing in it looks encoded."""
-    words = F.regexp_replace(F.lower(text), "[^a-z]+", " ")
-    words = F.regexp_replace(words, r"\b[a-z]\b", "")
-    words = F.regexp_replace(words, "([a-z]{12})", "$1 ")
-    words = F.regexp_replace(words, r"\b[a-z]\b", "")
-    return F.concat(F.lit("these are some words "), words)
-
-
-LETTERS_SQL = (
-    "concat('these are some words ', regexp_replace(regexp_replace(regexp_replace("
-    "regexp_replace(lower({x}),'[^a-z]+',' ','g'),'\\b[a-z]\\b','','g'),"
-    "'([a-z]{{12}})','\\1 ','g'),'\\b[a-z]\\b','','g'))")
-
-
 def for_check(text: str) -> str:
     """The same SQL for the checking database, where tables go by their names."""
     names = {n: n for n in ("documents", "conversations", "events", "labels", "customer",

@@ -218,19 +218,19 @@ def _flat(verdicts: DataFrame) -> DataFrame:
 query("v3_verdict_without_decoding", verdict_sql(K.MESSAGES, _STATS))(
     lambda t: _flat(analyze_requests(_requests(t), decode=False, semantic=True)))
 
-_WORD_MESSAGES = (f"select cast(doc_id as varchar) as request_id, 0 as pos, 'user' as role, text, "
-                  f"'analyze-only' as model, null as name from ({K.LETTERS})")
-_WORD_STATS = (f"(select request_id, model, 1 as n, length(text) as chars, 1 as spoken "
-               f"from ({_WORD_MESSAGES}))")
+_DOC_MESSAGES = (f"select cast(doc_id as varchar) as request_id, 0 as pos, 'user' as role, text, "
+                 f"'analyze-only' as model, null as name from ({K.DOCS})")
+_DOC_STATS = (f"(select request_id, model, 1 as n, length(text) as chars, "
+              f"cast(regexp_matches(text,'\\S') as int) as spoken from ({_DOC_MESSAGES}))")
 
 
-def _word_requests(t: Tables) -> DataFrame:
-    words = t.letters().withColumn("doc_id", F.col("doc_id").cast("string"))
-    return requests_from_texts(words, "doc_id")
+def _documents(t: Tables) -> DataFrame:
+    docs = t.attack_docs().select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return requests_from_texts(docs, "doc_id")
 
 
-query("v8_full_verdict_words", verdict_sql(_WORD_MESSAGES, _WORD_STATS))(
-    lambda t: _flat(analyze_requests(_word_requests(t), semantic=True)))
+query("v8_full_verdict_words", verdict_sql(_DOC_MESSAGES, _DOC_STATS))(
+    lambda t: _flat(analyze_requests(_documents(t), decode=False, semantic=True)))
 
 query("v8_full_verdict")(lambda t: _flat(analyze_requests(_requests(t), semantic=True)))
 
@@ -249,16 +249,19 @@ def invalid_requests(t: Tables) -> DataFrame:
 
 
 @query("v2_obfuscation_threat", f"""
-select doc_id, cast(1 as int) as n, 3e-1 as confidence,
-  'Decoded 1 encoding layer(s): base64' as details from ({K.LETTERS})""")
+select doc_id, cast(1 as int) as n, true as sure,
+  'encoding layer(s): base64' as details from ({K.DOCS})""")
 def obfuscation_threat(t: Tables) -> DataFrame:
+    """Whole documents under base64, which is named first; what else they hold may follow."""
     from guardlake.functions.decode import with_decoded
 
-    hidden = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "\\s", "")
-    df = with_decoded(t.letters().select("doc_id", hidden.alias("h")), "h", "d")
+    said = F.concat(F.lit("some words "), "text")
+    hidden = F.regexp_replace(F.base64(F.encode(said, "UTF-8")), "\\s", "")
+    df = with_decoded(t.attack_docs().select("doc_id", hidden.alias("h")), "h", "d")
     found = V.obfuscation_threat(F.col("d"), "multi_layer_encoding")
     return df.select("doc_id", F.size(found).alias("n"), F.inline(found)).select(
-        "doc_id", "n", "confidence", "details")
+        "doc_id", "n", (F.col("confidence") >= 0.3).alias("sure"), F.regexp_extract(
+            "details", r"encoding layer\(s\): base64", 0).alias("details"))
 
 
 _TALK_CTX = context_sql(K.TALKS)

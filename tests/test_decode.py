@@ -2,13 +2,21 @@
 
 import base64
 import codecs
+import html
+import re
+import unicodedata
+from urllib.parse import unquote
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from guardlake import catalog as C
 from guardlake.functions import decode as D
+from guardlake.plans.detection import nested
+from guardlake.plans.inputs import Tables
+from guardlake.plans.registry import load_all
 
 GOLDEN = [
     ("Hello%20World%21", "Hello Worldi", 1, ["url_encoding", "leetspeak"]),
@@ -82,3 +90,54 @@ def test_decoded_output_is_not_decoded_again(spark):
     row = df.select(D.percent_decode(F.col("p")), D.hex_decode(F.col("h")),
                     D.numeric_entities(F.col("e")), D.base64_decode(F.col("b"))).first()
     assert tuple(row) == ("%41 A", r"\x41 A", "&#65; A", "ABCDEFGHIJKLMNO x ABCDEFGHIJKLMNO")
+
+
+def plainly_peeled(text):
+    """Pass after pass over one text, each layer written out."""
+    def unbase64(m):
+        try:
+            out = base64.b64decode(m[0], validate=True).decode()
+        except ValueError:
+            return m[0]
+        shown = [c for c in out if c.isprintable() or c in "\n\r\t"]
+        return out if len(out) >= 4 and len(shown) > 0.8 * len(out) else m[0]
+
+    trail, layers = [], 0
+    for _ in range(C.MAX_DECODE_DEPTH):
+        start = text
+        for name, undo in (
+                ("unicode_normalisation", lambda t: unicodedata.normalize("NFKC", t)),
+                ("html_entity", html.unescape), ("url_encoding", unquote),
+                ("base64", lambda t: re.sub(C.BASE64_RUN, unbase64, t)),
+                ("hex_escape", lambda t: re.sub(C.HEX_ESCAPE, lambda m: chr(int(m[1], 16)), t)),
+                ("rot13", lambda t: codecs.encode(t, "rot13") if sum(
+                    w in codecs.encode(t, "rot13").lower() and w not in t.lower()
+                    for w in C.ROT13_WORDS) >= C.ROT13_MIN_WORDS else t),
+                ("leetspeak", lambda t: "".join(dict(zip(C.LEET_FROM, C.LEET_TO)).get(c, c)
+                                                for c in t.replace(*C.LEET_PAIR))),
+                ("char_split", lambda t: re.sub(C.SPLIT_LETTERS, lambda m: re.sub(
+                    C.SPLIT_DELIMITERS, "", m[0]), t))):
+            after = undo(text)
+            trail += [name] if after != text else []
+            text = after
+        layers += text != start
+        if text == start:
+            break
+    return text, layers, ",".join(trail)
+
+
+def test_fixed_point_query_against_plain_passes(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    hidden = {r.doc_id: r.hidden for r in nested(tables.attack_docs()).collect()}
+    got = {r.doc_id: (r.decoded, r.layers, r.encodings)
+           for r in load_all()["n0_fixed_point"].build(tables).collect()}
+    assert got == {i: plainly_peeled(x) for i, x in hidden.items()}
+
+
+def test_split_letters_in_other_words_stay(texts):
+    items = ["xa b c d, a b c d", "a b c dx a b c d e", "no split here at all", "\u00e9a b c d",
+             "i-g-n-o-r-e i.g.n.o.r.e"]
+    got = [r.out for r in texts(items).select("i", D.rejoin_letters(F.col("text")).alias("out"))
+           .orderBy("i").collect()]
+    assert got == [re.sub(C.SPLIT_LETTERS, lambda m: re.sub(C.SPLIT_DELIMITERS, "", m[0]), x)
+                   for x in items]
