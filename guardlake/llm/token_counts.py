@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from guardlake.llm.common import bounded_batches
 
-SPACE_MARK, UNKNOWN_PENALTY, KEPT_WORDS, BLOCK_CHARS = "▁", 10.0, 500_000, 1 << 20
+SPACE_MARK, UNKNOWN_PENALTY, BLOCK_CHARS = "▁", 10.0, 1 << 20
+KEPT_WORDS, KEPT_CHARS = 500_000, 64
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -45,28 +46,31 @@ class PieceCounter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = {p for p, _ in pieces if len(p) == 1}
+        self.longest = max(len(p) for p, _ in pieces)
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
 
     def count(self, word: str) -> int:
-        n = len(word)
-        score, tokens = [0.0] + [None] * n, [0] * (n + 1)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ending[end].append(match)
-        for end in range(n):
-            best = None
-            for length, own in sorted(ending[end], reverse=True):
-                start = end + 1 - length
+        """Tokens of a word; only as many places as the longest piece spans are held."""
+        span = self.longest + 1
+        score, tokens = [0.0] * span, [0] * span
+        matches = self.automaton.iter(word)  # by their end, the longest first
+        match = next(matches, None)
+        for end, char in enumerate(word):
+            best, steps = None, 0
+            while match is not None and match[0] == end:
+                length, own = match[1]
+                start = (end + 1 - length) % span
                 total = own + score[start]
                 if best is None or total > best:
                     best, steps = total, tokens[start] + 1
-            if word[end] not in self.single:
-                total = self.unknown + score[end]
+                match = next(matches, None)
+            if char not in self.single:
+                total = self.unknown + score[end % span]
                 if best is None or total > best:
                     best = total
-                    steps = tokens[end] + len(word[end].encode("utf-8", "surrogatepass"))
-            score[end + 1], tokens[end + 1] = best, steps
-        return tokens[n]
+                    steps = tokens[end % span] + len(char.encode("utf-8", "surrogatepass"))
+            score[(end + 1) % span], tokens[(end + 1) % span] = best, steps
+        return tokens[len(word) % span]
 
 
 def text_blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
@@ -108,7 +112,9 @@ def with_token_count(df: DataFrame, text: str, model_path: str, out: str = "n_to
                     if n is None:
                         if len(known) >= KEPT_WORDS:
                             known.clear()
-                        n = known[word] = counter.count(word)
+                        n = counter.count(word)
+                        if len(word) <= KEPT_CHARS:
+                            known[word] = n
                     sum_ += n * times
             return sum_
 
