@@ -143,8 +143,8 @@ def streaming_sse(t: Tables) -> DataFrame:
 
 @query("w5_finished_streams", _WHOLE)
 def finished_streams(t: Tables) -> DataFrame:
-    """Short streams redacted as one value, long ones (past 3000 characters here) piecewise."""
-    parts = R.redact_finished(_pieces(t.attack_docs()), max_chars=3000)
+    """Streams that have ended, redacted in order of their pieces."""
+    parts = R.redact_finished(_pieces(t.attack_docs()))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "redacted"))),
                           lambda x: x["redacted"])
     return parts.groupBy("stream_id").agg(F.array_join(ordered, "").alias("redacted"))

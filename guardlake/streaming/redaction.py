@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,26 +13,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardlake import catalog as C
 from guardlake.functions import redact as R
-from guardlake.streaming.redactor import Pieces, Redactor
+from guardlake.streaming.redactor import Pieces, for_streams
 
 OUT = ("stream_id string, seq long, safe string, categories array<string>, done boolean, "
        "gap boolean")
 STATE = "buffer string, next_seq long, waiting string"
 SSE_OUT = "stream_id string, seq long, line string"
-# A finished response longer than this is redacted piecewise instead of in one value.
-MAX_WHOLE_CHARS = 1_000_000
 
 
 def redact_stream(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
-                  window: int = C.STREAM_WINDOW_CHARS, idle_ms: int | None = None) -> DataFrame:
+                  window: int = C.STREAM_WINDOW_CHARS, idle_ms: int | None = None,
+                  match_words: int | None = None) -> DataFrame:
     """Redacted text of a stream of (stream_id, seq, delta, done), a row per stream and batch.
 
     The pieces whose turn it is are joined and looked at as one text; `seq` is the last of them.
     State per stream: the text held back, the next sequence number and early arrivals.  The
     row with `done` flushes and forgets the stream; with `idle_ms` so does silence, which also
-    lets out the pieces that waited for a missing one (`gap`).
+    lets out the pieces that waited for a missing one (`gap`).  Rules of one's own need `match_words`,
+    the most words that a match of theirs spans.
     """
-    redactor = Redactor(rules.rules)
+    redactor = for_streams(rules.rules, match_words)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
             ) -> Iterator[pd.DataFrame]:
@@ -75,14 +76,15 @@ def redact_stream(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
 
 
 def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
-               window: int = C.STREAM_WINDOW_CHARS, idle_ms: int | None = None) -> DataFrame:
+               window: int = C.STREAM_WINDOW_CHARS, idle_ms: int | None = None,
+               match_words: int | None = None) -> DataFrame:
     """SSE lines (stream_id, seq, line) with their delta contents redacted.
 
     Lines that carry no content pass through unchanged.  What is held back is sent as one
     more data line before the [DONE] line; with `idle_ms` also where a stream falls silent without
     one, after the lines that waited for a missing one.
     """
-    redactor = Redactor(rules.rules)
+    redactor = for_streams(rules.rules, match_words)
 
     def delta_of(line: str):
         if not line.startswith("data: "):
@@ -150,43 +152,34 @@ def stream_summary(pieces: DataFrame) -> DataFrame:
 
 def redact_finished(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
                     window: int = C.STREAM_WINDOW_CHARS,
-                    max_chars: int = MAX_WHOLE_CHARS) -> DataFrame:
+                    match_words: int | None = None) -> DataFrame:
     """(stream_id, part, redacted) of finished streams.
 
-    Sizes are summed first.  Streams up to `max_chars` are joined and redacted as one value;
-    longer ones pass in sequence order through the piecewise redactor, which holds only its
-    buffer.  The parts of a stream, joined in order, are its redacted text.
+    Streams of any length pass in sequence order through the redactor, which holds only its buffer;
+    the pieces of a stream that come in one batch are joined first.  The parts of a stream, joined
+    in order, are its redacted text.  Pieces without stream_id are one stream.
     """
-    sizes = chunks.groupBy("stream_id").agg(
-        (F.sum(F.length("delta")) > max_chars).alias("long"))
-    marked = chunks.select("stream_id", "seq", "delta").join(sizes, "stream_id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))),
-                          lambda x: x["delta"])
-    short = (marked.filter(~F.col("long")).groupBy("stream_id")
-             .agg(F.array_join(ordered, "").alias("text"))
-             .select("stream_id", F.lit(0).cast("long").alias("part"),
-                     R.redacted(F.col("text"), rules).alias("redacted")))
-    redactor = Redactor(rules.rules)
+    redactor = for_streams(rules.rules, match_words)
+    columns = ["stream_id", "part", "redacted"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, pieces, part = None, None, 0
-        cols = ["stream_id", "part", "redacted"]
         for batch in batches:
             out = []
-            for stream, delta in zip(batch["stream_id"], batch["delta"]):
-                if stream != current:
+            for stream, rows in groupby(zip(batch["stream_id"], batch["delta"]),
+                                        lambda row: row[0]):
+                if pieces is None or stream != current:
                     if pieces is not None:
                         out.append((current, part, pieces.flush()[0]))
                     current, pieces, part = stream, Pieces(redactor, window), 0
-                text, _ = pieces.push(delta or "")
+                text, _ = pieces.push("".join(delta or "" for _, delta in rows))
                 if text:
                     out.append((stream, part, text))
                     part += 1
-            yield pd.DataFrame(out, columns=cols)
+            yield pd.DataFrame(out, columns=columns)
         if pieces is not None:
-            yield pd.DataFrame([(current, part, pieces.flush()[0])], columns=cols)
+            yield pd.DataFrame([(current, part, pieces.flush()[0])], columns=columns)
 
-    long = (marked.filter("long").select("stream_id", "seq", "delta").repartition("stream_id")
-            .sortWithinPartitions("stream_id", "seq")
+    return (chunks.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", "delta")
+            .repartition("stream_id").sortWithinPartitions("stream_id", "seq")
             .mapInPandas(run, "stream_id string, part long, redacted string"))
-    return short.withColumn("stream_id", F.col("stream_id").cast("string")).unionByName(long)

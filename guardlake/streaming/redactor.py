@@ -3,7 +3,7 @@
 The buffer is only cut at the start of a word, far enough from its end that no rule can
 reach across: every rule matches at most four whitespace-separated words, and the words
 held back leave room for matches on what earlier rules put in.  So the released pieces,
-joined, equal the redaction of the whole text.
+joined, equal the redaction of the whole text.  Rules of one's own need a bound, too.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 
 from guardlake.catalog import RULES
 
-HELD_WORDS = 16
+RULE_WORDS, HELD_WORDS = 4, 16
 
 # What a text must contain for any of the catalog rules to match: one search instead of
 # thirteen on most text.
@@ -27,7 +27,8 @@ _WORD = re.compile(r"\S+")
 class Redactor:
     """The rules, compiled."""
 
-    def __init__(self, rules: tuple):
+    def __init__(self, rules: tuple, held_words: int = HELD_WORDS):
+        self.held_words = held_words
         self.rules = [(r, re.compile(r.regex, re.IGNORECASE if r.ignore_case else 0))
                       for r in rules]
         self.gated = set(rules) <= set(RULES)
@@ -53,7 +54,7 @@ class Redactor:
         """(text that can go out, text to hold back), both unredacted."""
         if len(buffer) <= window:
             return "", buffer
-        starts = [m.start() for m in _WORD.finditer(buffer)][:-HELD_WORDS]
+        starts = [m.start() for m in _WORD.finditer(buffer)][:-self.held_words]
         cuts = [at for at in reversed(starts) if 0 < at <= len(buffer) - window]
         if not cuts:
             return "", buffer
@@ -66,6 +67,17 @@ class Redactor:
         return "", buffer
 
 
+def for_streams(rules: tuple, match_words: int | None = None) -> Redactor:
+    """A redactor that holds back enough words for every match of the rules.
+
+    Rules that aren't in the catalog need `match_words`, the most words that a match of theirs spans.
+    """
+    own = [r.name for r in rules if r not in RULES]
+    if own and match_words is None:
+        raise ValueError(f"give match_words, the most words that a match of {own} spans")
+    return Redactor(rules, HELD_WORDS // RULE_WORDS * max(RULE_WORDS, match_words or 0))
+
+
 def redact(text: str, rules: tuple) -> str:
     return Redactor(rules).redact(text)
 
