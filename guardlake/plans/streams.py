@@ -53,12 +53,15 @@ def _finish(t: Tables, stream: DataFrame, name: str, mode: str = "append") -> Da
 
 def _pieces(docs: DataFrame) -> DataFrame:
     """Documents cut into pieces of 40 characters: (stream_id, seq, delta, done, ts)."""
-    last = F.greatest(F.ceil(F.length("text") / PIECE).cast("long"), F.lit(1)) - 1
-    cut = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(
-        i.alias("seq"), F.substring(F.col("text"), (i * PIECE + 1).cast("int"), F.lit(PIECE))
-        .alias("delta"), (i == last).alias("done")))
-    return docs.select(F.col("doc_id").cast("string").alias("stream_id"), F.inline(cut)).select(
-        "*", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    pieces = F.when(F.length("text") > 0, F.regexp_extract_all(
+        "text", F.lit(f"(?s).{{1,{PIECE}}}"), 0)).otherwise(F.array("text"))
+    cut = docs.select(F.col("doc_id").cast("string").alias("stream_id"), pieces.alias("pieces"))
+    return cut.select(
+        "stream_id", F.posexplode("pieces").alias("seq", "delta"),
+        F.size("pieces").alias("n")).select(
+        "stream_id", F.col("seq").cast("long").alias("seq"), "delta",
+        (F.col("seq") == F.col("n") - 1).alias("done"),
+        F.lit("2024-01-01").cast("timestamp").alias("ts"))
 
 
 @query("s3_response_stream", f"""

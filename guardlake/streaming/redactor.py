@@ -16,11 +16,30 @@ from guardlake.catalog import RULES
 
 RULE_WORDS, HELD_WORDS = 4, 16
 
-# What a text must contain for any of the catalog rules to match: one search instead of
-# thirteen on most text.
-_TRIGGER = re.compile(
-    r"@|[0-9]{4}|sk-|ghp_|AKIA|api|API|Bearer|-----BEGIN"
-    r"|(?i:passw|pwd|you\s+are|system\s+prompt|my\s+(?:initial|original|system))")
+_FOUR_DIGITS = re.compile("[0-9]{4}")
+# Characters beyond ASCII that the rules' letters match when case is ignored.
+_FOLDED = str.maketrans("ſİı", "sii")
+
+
+def _needs(*words: str):
+    return lambda text, low: any(w in text for w in words)
+
+
+def _digits(text: str, low: str) -> bool:
+    return _FOUR_DIGITS.search(text) is not None
+
+
+# rule name -> what neither the text nor anything an earlier rule leaves behind can match without
+_GATES = {
+    "email": _needs("@"), "phone_us": _digits, "ssn": _digits, "credit_card": _digits,
+    "openai_key": _needs("sk-"), "anthropic_key": _needs("sk-ant-"), "github_pat": _needs("ghp_"),
+    "aws_access_key": _needs("AKIA"), "generic_api_key": _needs("api", "API"),
+    "bearer_token": _needs("Bearer"), "private_key": _needs("-----BEGIN"),
+    "password": lambda text, low: "passw" in low or "pwd" in low,
+    "system_prompt_leak": lambda text, low: (
+        "you" in low and "are" in low or "instruction" in low
+        or "system" in low and "prompt:" in low),
+}
 _WORD = re.compile(r"\S+")
 
 
@@ -29,42 +48,41 @@ class Redactor:
 
     def __init__(self, rules: tuple, held_words: int = HELD_WORDS):
         self.held_words = held_words
-        self.rules = [(r, re.compile(r.regex, re.IGNORECASE if r.ignore_case else 0))
-                      for r in rules]
-        self.gated = set(rules) <= set(RULES)
+        self.rules = [(_GATES.get(r.name) if r in RULES else None, r,
+                       re.compile(r.regex, re.IGNORECASE if r.ignore_case else 0)) for r in rules]
 
-    def quiet(self, text: str) -> bool:
-        """True if none of the rules can match."""
-        return self.gated and not _TRIGGER.search(text)
+    def possible(self, text: str) -> list:
+        """The (rule, regex) that can match."""
+        low = (text if text.isascii() else text.translate(_FOLDED)).lower()
+        return [(rule, regex) for gate, rule, regex in self.rules
+                if gate is None or gate(text, low)]
 
     def redact(self, text: str) -> str:
-        if self.quiet(text):
-            return text
-        for rule, regex in self.rules:
+        for rule, regex in self.possible(text):
             text = regex.sub(lambda m, to=rule.replacement: to, text)
         return text
 
     def found(self, text: str) -> list[str]:
         """Category of every match, counted before anything is replaced."""
-        if self.quiet(text):
-            return []
-        return [rule.category for rule, regex in self.rules for _ in regex.finditer(text)]
+        return [rule.category for rule, regex in self.possible(text)
+                for _ in regex.finditer(text)]
 
-    def release(self, buffer: str, window: int) -> tuple[str, str]:
-        """(text that can go out, text to hold back), both unredacted."""
+    def release(self, buffer: str, window: int) -> tuple[str, str, str]:
+        """(text that can go out, the same redacted, text to hold back as it is)."""
         if len(buffer) <= window:
-            return "", buffer
+            return "", "", buffer
         starts = [m.start() for m in _WORD.finditer(buffer)][:-self.held_words]
         cuts = [at for at in reversed(starts) if 0 < at <= len(buffer) - window]
         if not cuts:
-            return "", buffer
-        if self.quiet(buffer):
-            return buffer[:cuts[0]], buffer[cuts[0]:]
+            return "", "", buffer
+        if not self.possible(buffer):
+            return buffer[:cuts[0]], buffer[:cuts[0]], buffer[cuts[0]:]
         whole = self.redact(buffer)
         for at in cuts:
-            if self.redact(buffer[:at]) + self.redact(buffer[at:]) == whole:
-                return buffer[:at], buffer[at:]
-        return "", buffer
+            head = self.redact(buffer[:at])
+            if head + self.redact(buffer[at:]) == whole:
+                return buffer[:at], head, buffer[at:]
+        return "", "", buffer
 
 
 def for_streams(rules: tuple, match_words: int | None = None) -> Redactor:
@@ -115,8 +133,8 @@ class Pieces:
 
     def push(self, text: str) -> tuple[str, list[str]]:
         """Add text; return (redacted text to emit, categories found in it)."""
-        safe, self.buffer = self.redactor.release(self.buffer + text, self.window)
-        return (self.redactor.redact(safe), self.redactor.found(safe)) if safe else ("", [])
+        raw, safe, self.buffer = self.redactor.release(self.buffer + text, self.window)
+        return safe, self.redactor.found(raw) if raw else []
 
     def flush(self) -> tuple[str, list[str]]:
         rest, self.buffer = self.buffer, ""
