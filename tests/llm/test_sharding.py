@@ -66,3 +66,36 @@ def test_quota_is_never_passed(spark, quota):
         after[r.shard] += r.size
     assert sum(after.values()) == sum(before.values())
     assert all(after[s] <= max(quota, before[s]) for s in range(8))
+
+
+@pytest.mark.parametrize("singles, split", [(8000, 0), (0, 16)])
+def test_copies_meet_where_most_rows_are_copies(spark, singles, split):
+    """No group is left in several shards; without single rows, only the few at the ends are."""
+    docs = docs_of(spark, [f"group {g} " + "x" * (g % 50) for g in range(2000)
+                           for _ in range(2 + g % 9)] + [f"text {i} of all" for i in range(singles)])
+    got, rows = sharding.sharded(docs).collect(), docs.collect()
+    check(got, rows, 65)
+    text, shards = {r.doc_id: r.text for r in rows}, defaultdict(set)
+    for r in got:
+        shards[text[r.doc_id]].add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= split
+
+
+def test_groups_near_the_size_of_a_shard(spark):
+    docs = docs_of(spark, [f"{g} copies" for g in range(8) for _ in range(900)]
+                   + [f"{i:6d} s" for i in range(800)])
+    got = sharding.sharded(docs).collect()
+    check(got, docs.collect(), 9)
+    assert all(len({r.shard for r in got if r.doc_id // 900 == g}) == 1 for g in range(8))
+
+
+def test_scattered_groups_meet_and_full_shards_give_groups_away(spark):
+    rows = [(f"g{i % 50}", 1 + i % 3, (i // 50) % 8 if i % 50 < 25 else 0, i) for i in range(1000)]
+    linked = spark.createDataFrame(rows, "group string, size long, shard int, spread long")
+    got = sharding.propagate(linked, 400.0).collect()
+    held, shards = Counter(), defaultdict(set)
+    for r in got:
+        held[r.shard] += r.size
+        shards[r.group].add(r.shard)
+    assert len(got) == 1000 and max(held.values()) <= 400
+    assert all(len(s) == 1 for s in shards.values())
