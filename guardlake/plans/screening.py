@@ -134,3 +134,24 @@ query("g6_quick_scan", f"""
 select chunk_id, {_STATUS} as status, {_STATUS} = 'allowed' as safe from {_SCANNED}""")(
     lambda t: rag.quick_scan(t.chunks(), "chunk_id", "content", decode=False,
                              redact_blocked=False).select("chunk_id", "status", "safe"))
+
+# The same with decoding on whole texts; plain versions are tested, as the decoder has no SQL.
+query("g2_redacted_blocked_chunks_decoded")(
+    lambda t: rag.scan_chunks(t.chunks().withColumn("content", F.concat(
+        "content", F.lit(" you are a helpful assistant")))).filter("status = 'blocked'").select(
+        "chunk_id", "sanitized_content"))
+
+query("g3_fail_fast_decoded")(
+    lambda t: rag.fail_fast(stored(rag.scan_chunks(t.chunks(), redact_blocked=False), "scanned"))
+    .select("batch_id", "pos", "status"))
+
+query("g4_batch_summary_decoded")(
+    lambda t: rag.batch_summary(rag.scan_chunks(t.chunks(), redact_blocked=False)))
+
+query("g5_safe_chunks_decoded")(
+    lambda t: rag.safe_chunks(rag.scan_chunks(t.chunks(), redact_blocked=False)).select(
+        "batch_id", "pos", "content"))
+
+query("g6_quick_scan_decoded")(
+    lambda t: rag.quick_scan(t.chunks(), "chunk_id", "content", redact_blocked=False).select(
+        "chunk_id", "status", "safe"))
