@@ -211,9 +211,10 @@ def predict(model: Classifier, texts: pa.Array, lettered: list[bool],
     def close() -> None:
         sums = np.zeros((len(group), len(model.net.languages)))
         for start in range(0, max(len(t) for _, t in group), most):
-            windows, of = as_windows([t[start:start + most] for _, t in group])
+            left = [i for i, (_, t) in enumerate(group) if start < max(1, len(t))]
+            windows, of = as_windows([group[i][1][start:start + most] for i in left])
             weight = _LETTERS[windows].sum(axis=1) + 1e-3
-            np.add.at(sums, of, model.probabilities(windows) * weight[:, None])
+            np.add.at(sums, np.array(left)[of], model.probabilities(windows) * weight[:, None])
         sums /= sums.sum(axis=1, keepdims=True)
         for (place, _), row in zip(group, sums):
             best[place] = model.net.languages[int(row.argmax())]

@@ -64,3 +64,15 @@ def test_filter_keeps_clean_documents(spark):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert not ids & {9001, 9002} and len(ids) > 0.99 * docs.count()
+
+
+def test_a_result_does_not_depend_on_longer_neighbours():
+    rng = np.random.default_rng(1)
+    windows = rng.integers(97, 123, (60, 64)).astype(np.uint8)
+    model = language.Classifier(language.train(windows, rng.integers(0, 3, 60), ["a", "b", "c"]))
+    short, long = "ab", "some words " * 500
+    alone = language.predict(model, language.pa.array([short]), [True])
+    beside = language.predict(model, language.pa.array([short, long]), [True, True], most=16)
+    assert len(long) > 16 and beside[0][0] == alone[0][0]
+    together = language.predict(model, language.pa.array([short, long * 40]), [True, True], most=3000)
+    assert together[0][0] == alone[0][0] and abs(together[1][0] - alone[1][0]) < 1e-6
