@@ -142,12 +142,14 @@ def training_rows(docs: DataFrame, held_out: Column, per_language: int = SAMPLE_
                   windows: int = SAMPLE_WINDOWS, window: int = WINDOW) -> DataFrame:
     """(lang, text): windows of texts that are not held out, about `per_language` a language.
 
-    Texts are drawn by a hash of their content at a rate taken from the language's count, so the
-    sample stays of one size and is the same in every run; copies of a text count once.
+    Texts are drawn by a hash of their content at a rate taken from the language's count of
+    different texts, so the sample stays of one size and is the same in every run; copies of a text
+    count once.  A language of no more texts than that gives all of them.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                        & ~F.coalesce(held_out, F.lit(False))).select("lang", "text")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").collect()}
+    texts = known.groupBy("lang", F.xxhash64("text").alias("hash")).count()
+    counts = {r[0]: r[1] for r in texts.groupBy("lang").count().orderBy("lang").collect()}
     chance = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     if not counts:
         return known.where(F.lit(False))
@@ -244,8 +246,13 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """The documents whose language is recognised: neither `und` nor below `min_score`."""
+    """The documents whose language is recognised: neither `und` nor below `min_score`.
+
+    Where no text has a label, no language can be told, and all documents with letters stay.
+    """
     net = fit(docs, held_out_rows())
+    if net.languages == [UNKNOWN]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = with_language(docs, net, docs.columns, "__lang", "__score")
     return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).select(
         docs.columns)

@@ -76,3 +76,18 @@ def test_a_result_does_not_depend_on_longer_neighbours():
     assert len(long) > 16 and beside[0][0] == alone[0][0]
     together = language.predict(model, language.pa.array([short, long * 40]), [True, True], most=3000)
     assert together[0][0] == alone[0][0] and abs(together[1][0] - alone[1][0]) < 1e-6
+
+
+def test_a_language_of_many_copies_keeps_its_texts(spark):
+    copies = spark.range(100_000).selectExpr(
+        "'xx' as lang", "concat('some text of number ', id % 20, ' in many copies') as text")
+    others = spark.range(2000).selectExpr("'yy' as lang", "concat('another text ', id) as text")
+    rows = language.training_rows(copies.unionByName(others), language.F.lit(False), windows=1).collect()
+    assert len({r.text for r in rows if r.lang == "xx"}) == 20
+    assert 450 < len({r.text for r in rows if r.lang == "yy"}) < 750
+
+
+def test_documents_stay_where_nothing_is_labelled(spark):
+    docs = spark.createDataFrame([(i, x, None, None, None) for i, x in enumerate(
+        ["some text", "12 34", None, "é"])], DOCS)
+    assert sorted(r.doc_id for r in language.in_known_language(docs).collect()) == [0, 3]
