@@ -142,11 +142,15 @@ class Graph:
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(shard, node, rep, embedding, edges, start) per vector of (rep, embedding), as a table.
 
-    Vectors are usable ones of one length, without repeats; every one is in the index.
+    Vectors are usable ones without repeats; every one is in the index.  A shard holds vectors of
+    one length.
     """
-    shards = max(1, -(-vectors.count() // shard_rows))
-    dealt = vectors.select("rep", "embedding", F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(shards))
-                           .cast("int").alias("shard"))
+    length = F.size("embedding")
+    shards, before, places = _parts(vectors, length, shard_rows), 0, {}
+    for n, many in shards.items():
+        places[n], before = before, before + many
+    dealt = vectors.select("rep", "embedding", (_of(places, length) + F.pmod(
+        F.xxhash64("rep", F.lit(9)), _of(shards, length))).cast("int").alias("shard"))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
@@ -167,24 +171,41 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
                "start boolean"), "ann-index")
 
 
+def _parts(rows: DataFrame, length: Column, most: int) -> dict[int, int]:
+    """{length: number of parts of about `most` rows}."""
+    counts = rows.groupBy(length.alias("length")).count().orderBy("length").collect()
+    return {r[0]: -(-r[1] // most) for r in counts}
+
+
+def _of(values: dict[int, int], length: Column) -> Column:
+    """The value of a length, or null."""
+    pairs = values or {-1: 1}
+    return F.element_at(F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair)), length)
+
+
 def search_index(index: DataFrame, queries: DataFrame, nearest: int, beam: int = QUERY_BEAM,
                  query_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
-    """(query_id, own, rep, score): the `nearest` vectors found for each of (query_id, own, vector).
+    """(query_id, own, length, rep, score): the `nearest` vectors found for each of (query_id, own,
+    vector).
 
-    Blocks of queries meet each shard of the index; scores are inner products in double precision.
+    Blocks of queries of a length meet each shard of that length; scores are inner products in double precision.
     """
-    blocks = max(1, -(-queries.count() // query_rows))
-    shards = index.select(F.col("shard").alias("to")).distinct()
-    block = F.pmod(F.xxhash64("query_id", "own"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    tasks = shards.select("to", every.alias("block"))
-    asked = queries.withColumn("block", block).join(tasks, "block")
-    graphs = index.withColumn("block", every)
+    blocks = _parts(queries, F.size("vector"), query_rows)
+    shards = index.select(F.col("shard").alias("to"), F.size("embedding").alias("length")).distinct()
+    queries = queries.withColumn("length", F.size("vector"))
+    block = F.pmod(F.xxhash64("query_id", "own"), _of(blocks, F.col("length"))).cast("int")
+
+    def every(length: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), _of(blocks, length) - 1))
+
+    tasks = shards.select("to", "length", every(F.col("length")).alias("block"))
+    asked = queries.withColumn("block", block).join(tasks, ["length", "block"])
+    graphs = index.withColumn("block", every(F.size("embedding")))
 
     def answer(key: tuple, points: pa.Table, ask: pa.Table) -> pa.Table:
         if not points.num_rows or not ask.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "own": pa.array([], pa.int64()),
-                             "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+                             "length": pa.array([], pa.int32()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         points = points.sort_by("node")
         edges = points.column("edges").combine_chunks().flatten().to_numpy().reshape(-1, DEGREE)
         start = int(points.column("start").to_numpy().argmax())
@@ -205,12 +226,13 @@ def search_index(index: DataFrame, queries: DataFrame, nearest: int, beam: int =
         take = pa.array(np.concatenate(at))
         return pa.table({"query_id": ask.column("query_id").take(take),
                          "own": ask.column("own").take(take),
+                         "length": ask.column("length").take(take),
                          "rep": rep[np.concatenate(to)], "score": np.concatenate(scores)})
 
     found = graphs.groupBy("shard", "block").cogroup(
         asked.groupBy("to", "block")).applyInArrow(
-        answer, "query_id long, own long, rep long, score double")
-    best = Window.partitionBy("query_id", "own").orderBy(F.col("score").desc(), "rep")
+        answer, "query_id long, own long, length int, rep long, score double")
+    best = Window.partitionBy("query_id", "own", "length").orderBy(F.col("score").desc(), "rep")
     return found.withColumn("place", F.row_number().over(best)).where(
         F.col("place") <= nearest).drop("place")
 
@@ -219,17 +241,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
     """(query_id, rank, vec_id, score): the nearest rows found for each query row of `vectors`.
 
     Rows have vec_id and embedding; those with null vec_id, or with a vector that is null, zero, or
-    holds null or non-finite components, take no part, nor do rows of another length than the
-    most frequent.  Equal vectors are one point of the index, with the smallest ids that a result
+    holds null or non-finite components, take no part.  Neighbours have the query's length.  Equal vectors are one point of the index, with the smallest ids that a result
     can need.  Rows that repeat a vec_id are candidates each for others; a row is no candidate for
     a query with its own id.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         "vec_id", "embedding")
-    length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(
-        F.desc("count"), "n").first()
-    if length is not None:
-        rows = rows.where(F.size("embedding") == length[0])
     wanted = nearest + 1
 
     def smallest(ids: Column) -> Column:
@@ -247,7 +264,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
                .select(F.col("vec_id").alias("query_id"), F.col("rep").alias("own"),
                        F.col("embedding").alias("vector")).distinct())
     found = stored(search_index(index, stored(queries, "ann-queries"), wanted), "ann-found")
-    rows = (found.join(members.select("rep", "ids"), "rep")
+    of_rep = members.select("rep", F.size("embedding").alias("length"), "ids")
+    rows = (found.join(of_rep, ["rep", "length"])
             .select("query_id", "score", F.explode("ids").alias("vec_id"))
             .where("vec_id <> query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(

@@ -69,3 +69,23 @@ def test_fewer_candidates_than_wanted(spark):
     assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [
         (1, 1, 0.5), (2, 2, -1.0)]
     assert not ann.nearest_neighbours(df.where("false"), ann.F.lit(True)).collect()
+
+
+def test_every_length_meets_its_own(spark):
+    rng = np.random.default_rng(7)
+    sizes = [4] * 120 + [6] * 60 + [9] * 3
+    vectors = [rng.normal(size=n).tolist() for n in sizes]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    df = df.unionByName(df.where("vec_id = 5").selectExpr("140L as vec_id", "embedding"))
+    got = {}
+    for r in ann.nearest_neighbours(df, ann.F.col("vec_id") % 20 == 0).orderBy(
+            "query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for n in (4, 6, 9):
+        ids = [i for i, m in enumerate(sizes) if m == n]
+        want = exact(ids, [vectors[i] for i in ids], 20)
+        for i in want:
+            if i != 140:  # a repeated id asks with both of its vectors
+                near = [j for j, _ in want[i] if j != 140]
+                assert [j for j in got[i] if j != 140][:15] == near[:15]
+    assert {sizes[j] for j in got[140] if j != 140} <= {4, 6} and 180 in got
