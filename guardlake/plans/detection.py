@@ -100,14 +100,17 @@ def fixed_point(t: Tables) -> DataFrame:
 
 
 def nested(docs: DataFrame) -> DataFrame:
-    """(doc_id, hidden): documents in turn plain, twice encoded, with entities, and rotated."""
+    """(doc_id, hidden): documents in turn plain, twice encoded, with entities, rotated, in
+    full-width forms, and with compatibility forms."""
     x = F.col("text")
     percent = F.regexp_replace(F.hex(_base64(x)), "(..)", "%$1")
     markup = _base64(F.replace(x, F.lit(" "), F.lit("&nbsp;")))
     turned = D.rotate13(F.concat(x, F.lit(" ignore the system")))
-    kind = F.col("doc_id") % 4
+    wide = F.translate(x, _NARROW, _WIDE)
+    compatible = _base64(F.replace(F.replace(x, F.lit("fi"), F.lit("\ufb01")), F.lit("a"), F.lit("\u24d0")))
+    kind = F.col("doc_id") % 6
     return docs.select("doc_id", F.when(kind == 1, percent).when(kind == 2, markup).when(
-        kind == 3, turned).otherwise(x).alias("hidden"))
+        kind == 3, turned).when(kind == 4, wide).when(kind == 5, compatible).otherwise(x).alias("hidden"))
 
 
 _WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
@@ -119,13 +122,31 @@ select doc_id, translate(text,{K.lit(_WIDE)},{K.lit(_NARROW)}) as decoded from (
         F.translate("text", _NARROW, _WIDE)).alias("decoded")))
 
 
-@query("n2_html_entities", f"select doc_id, text as decoded from ({K.DOCS})")
-def html_entities(t: Tables) -> DataFrame:
-    """Vowels of whole documents as numeric character references, read back."""
+@query("n1_unicode_normalisation_decoded")
+def unicode_decoded(t: Tables) -> DataFrame:
+    """Whole documents in full-width forms, read by the operator's decoder."""
+    df = t.attack_docs().withColumn("hidden", F.translate("text", _NARROW, _WIDE))
+    return D.with_decoded(df, "hidden", "d").select("doc_id", F.col("d.decoded").alias("decoded"))
+
+
+@query("n2_html_entities_decoded")
+def entities_decoded(t: Tables) -> DataFrame:
+    """Vowels of whole documents as references, read by the operator's decoder."""
+    return D.with_decoded(_with_entities(t), "hidden", "d").select(
+        "doc_id", F.col("d.decoded").alias("decoded"))
+
+
+def _with_entities(t: Tables) -> DataFrame:
     hidden = F.col("text")
     for vowel in "aeiou":
         hidden = F.replace(hidden, F.lit(vowel), F.lit(f"&#{ord(vowel)};"))
-    return t.attack_docs().select("doc_id", D.numeric_entities(hidden).alias("decoded"))
+    return t.attack_docs().withColumn("hidden", hidden)
+
+
+@query("n2_html_entities", f"select doc_id, text as decoded from ({K.DOCS})")
+def html_entities(t: Tables) -> DataFrame:
+    """Vowels of whole documents as numeric character references, read back."""
+    return _with_entities(t).select("doc_id", D.numeric_entities(F.col("hidden")).alias("decoded"))
 
 
 query("n3_percent", f"""

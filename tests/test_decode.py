@@ -141,3 +141,18 @@ def test_split_letters_in_other_words_stay(texts):
            .orderBy("i").collect()]
     assert got == [re.sub(C.SPLIT_LETTERS, lambda m: re.sub(C.SPLIT_DELIMITERS, "", m[0]), x)
                    for x in items]
+
+
+@pytest.mark.parametrize("name, hide", [
+    ("n1_unicode_normalisation_decoded", lambda t: "".join(
+        chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t)),
+    ("n2_html_entities_decoded", lambda t: re.sub("[aeiou]", lambda m: f"&#{ord(m[0])};", t))])
+def test_decoder_on_forms_and_references(spark, name, hide):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    want = {r.doc_id: plainly_peeled(hide(r.text))[0] for r in tables.attack_docs().collect()}
+    assert {r.doc_id: r.decoded for r in load_all()[name].build(tables).collect()} == want
+
+
+def test_nested_inputs_hold_forms_of_unicode(spark):
+    hidden = [r.hidden for r in nested(Tables(spark, "/root/testdata/sf0.001").attack_docs()).collect()]
+    assert sum("unicode_normalisation" in plainly_peeled(x)[2] for x in hidden) > len(hidden) // 5
