@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake.llm import (ann, divergence, embedding_dedup, language, licenses, mixing, packing,
-                           sharding, simhash, spelling, token_counts, warc)
+                           sharding, simhash, spelling, substrings, token_counts, warc)
 from guardlake.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.source_audit(table(spark, folder, "documents"))
 
 
+def op12_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeats_removed(table(spark, folder, "documents"))
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
@@ -79,9 +83,9 @@ def tokenizer_path(name: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_embedding_dedup, op2_language, op3_mixing, op4_simhash, op5_neighbours, op6_warc,
-        op7_token_counts, op8_sharding, op9_licenses, op10_packing, op11_divergence, op13_spelling,
-        pipeline)}
+        op7_token_counts, op8_sharding, op9_licenses, op10_packing, op11_divergence,
+        op12_substrings, op13_spelling, pipeline)}
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": embedding_dedup.ORACLE, "op3_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE, "op9_licenses": licenses.ORACLE,
-    "op11_divergence": divergence.ORACLE}
+    "op11_divergence": divergence.ORACLE, "op12_substrings": substrings.ORACLE}

@@ -26,7 +26,7 @@ from guardlake.operators.skew import lookup
 from guardlake.session import stored
 
 LEAST_LENGTH, LEAST_COUNT, FORM_TIMES, DAMAGE, QUARTERS = 7, 2, 10, 31, 4
-HELD_WORDS = 400_000
+HELD_WORDS = 150_000
 
 
 def _lowered_letters() -> bytes:
