@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
+import types
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,15 +32,32 @@ from guardlake.operators.skew import ranked
 from guardlake.session import stored
 
 SEQUENCE_TOKENS, END_ID, BUCKET_ROWS, BLOCK_CHARS = 4096, 1, 4096, 1 << 18
-KEPT_WORDS = 400_000
+KEPT_WORDS, WORKER = 200_000, "guardlake_packing_worker"
+
+
+class Kept:
+    """The values of the keys that were used last: two generations, of which the older one goes."""
+
+    def __init__(self, most: int = KEPT_WORDS):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Make room and give the keys without a value; the others are young from now on."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        new = keys.difference(self.young)
+        for key in new & self.old.keys():
+            self.young[key] = self.old[key]
+        return list(new.difference(self.young))
 
 
 class WordTokens:
     """The ids of a text by a word-level tokenizer, as little-endian bytes.
 
-    Texts of plain characters are cut into words here, and the ids of each word are asked for once;
-    any other text goes to the tokenizer whole.  `plain` are characters below U+0250, where
-    composing changes nothing, without those whose lower case is more than one character.
+    Texts of plain characters are cut at white space and these pieces into words here, and the ids of
+    each piece and word are asked for once; any other text goes to the tokenizer whole.  Plain are
+    characters below U+0250, where composing changes nothing, without those whose lower case is
+    more than one character and those that only Python takes for white space.
     """
 
     def __init__(self, path: str):
@@ -49,7 +68,7 @@ class WordTokens:
         kinds = {c: unicodedata.category(c)[0] for c in low}
         spaces = "\t\n\x0b\x0c\r \x85\xa0"
         odd = {c for c in low if len(c.lower()) != 1 or ord(c.lower()) >= 0x250
-               or unicodedata.normalize("NFC", c) != c}
+               or unicodedata.normalize("NFC", c) != c or (c.isspace() and c not in spaces)}
 
         def of(chars) -> str:
             return "".join(re.escape(c) for c in chars)
@@ -61,35 +80,47 @@ class WordTokens:
                                f"|[^{of(spaces)}{letters}{numbers}]+")
         self.other = re.compile(f"[^{of(c for c in low if c not in odd)}]|<\\|")
         self.space = re.compile(f"[{of(spaces)}]")
-        self.known: dict[str, bytes] = {}
+        self.words, self.pieces = Kept(), Kept()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
+    @classmethod
+    def of_worker(cls, path: str) -> WordTokens:
+        """The one of this process, which outlives a task; code is sent anew with every task."""
+        kept = sys.modules.setdefault(WORKER, types.ModuleType(WORKER)).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
     def __call__(self, text: str) -> bytes:
         if self.other.search(text):
             return self.ids(text)
-        words = self.word.findall(text.lower())
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
-        self._learn(list(set(words).difference(known)))
-        return b"".join(map(known.__getitem__, words))
+        pieces = text.lower().split()
+        new = self.pieces.missing(set(pieces))
+        if new:
+            cut = [self.word.findall(piece) for piece in new]
+            self._learn(self.words.missing(set(chain.from_iterable(cut))))
+            known = self.words.young
+            self.pieces.young.update((piece, b"".join(map(known.__getitem__, words)))
+                                     for piece, words in zip(new, cut))
+        return b"".join(map(self.pieces.young.__getitem__, pieces))
 
     def _learn(self, words: list[str]) -> None:
         """Ask for the ids of words in one text; each word's last id says that a word ends."""
         if not words:
             return
+        known = self.words.young
         found = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids,
                          "<u4")
         ends = np.flatnonzero(self.ends[found]) + 1
         if len(ends) == len(words):
             data, start = found.tobytes(), 0
             for word, end in zip(words, ends.tolist()):
-                self.known[word] = data[4 * start:4 * end]
+                known[word] = data[4 * start:4 * end]
                 start = end
         else:
-            self.known.update((word, self.ids(word)) for word in words)
+            known.update((word, self.ids(word)) for word in words)
 
     def ids(self, text: str) -> bytes:
         found = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -127,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE_TOKENS,
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_path)
+        tokens = WordTokens.of_worker(tokenizer_path)
         for batch in batches:
             at, found = [], []
             for number, text in enumerate(batch.column(2)):
