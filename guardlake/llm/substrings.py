@@ -2,12 +2,12 @@
 
 Seeds: of the word grams in every window, the one of smallest hash is its anchor (winnowing).  Equal
 windows have equal anchors at the same place, so documents that share a window meet when they are
-joined on anchors; one anchor serves the run of windows around it.  Within a task a run that an earlier
-document had as well is settled at once and does not travel as a seed.
+joined on anchors; one anchor serves the run of windows around it.  Within a task a run that an
+earlier document had as well is settled at once and does not travel as a seed.
 
 Extend: occurrences of an anchor, in order of documents, are extended to both sides as far as the
-windows of their run agree with those of an earlier document.  Grams, windows and runs are compared by
-hashes: 64 bits of the anchor and 64 of the window.  What is found on neighbouring anchors is put
+windows of their run agree with those of an earlier document.  Grams, windows and runs are compared
+by hashes: 64 bits of the anchor and 48 of the window.  What is found on neighbouring anchors is put
 together to maximal repeats, in one pass over the texts.
 
 An anchor with very many different windows is settled by its windows instead, as a grouped minimum.
@@ -31,7 +31,7 @@ from guardlake.session import stored
 WINDOW_WORDS = 13
 HELD_HASHES, HELD_RUNS, HELD_WINDOWS, SEGMENT_WORDS, ROWS = (
     200_000, 300_000, 2_000_000, 1 << 20, 1 << 16)
-HELD = -1
+HELD, WIDTH = -1, 6
 _LOW = (1 << 64) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SEED = "anchor long, doc long, print long, start int, runs int, windows binary"
@@ -127,8 +127,9 @@ def seeds(docs: DataFrame, window: int) -> DataFrame:
         counts = [len(a) for a in anchor]
         runs, known = np.concatenate(runs), np.concatenate(known)
         travels = np.where(known, 0, runs)
-        values = np.concatenate(windows)[np.repeat(~known, runs)]
-        offsets = np.concatenate([[0], np.cumsum(8 * travels)]).astype(np.int32)
+        values = np.concatenate(windows)[np.repeat(~known, runs)].astype("<u8")
+        values = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+        offsets = np.concatenate([[0], np.cumsum(WIDTH * travels)]).astype(np.int32)
         bits = np.packbits(~known, bitorder="little")
         column = pa.Array.from_buffers(pa.binary(), len(runs), [
             pa.py_buffer(bits), pa.py_buffer(offsets), pa.py_buffer(values)])
@@ -174,8 +175,9 @@ def extended(found: DataFrame, most: int = HELD_WINDOWS) -> DataFrame:
         if settled.any():
             out.append(rows(*(c[settled] for c in columns[1:])))
         anchor, doc, mark, start, runs = (c[~settled] for c in columns)
-        windows = np.frombuffer(b"".join(batch.column(5).filter(pa.array(~settled)).to_pylist()),
-                                np.uint64)
+        data = np.frombuffer(b"".join(batch.column(5).filter(pa.array(~settled)).to_pylist()),
+                             np.uint8).reshape(-1, WIDTH)
+        windows = np.pad(data, ((0, 0), (0, 8 - WIDTH))).view("<u8").ravel()
         if held and held[1] is None and len(anchor) and anchor[0] == held[0]:
             n = int(np.searchsorted(anchor != held[0], True))
             size = int(runs[:n].sum())

@@ -80,15 +80,15 @@ def test_segments_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENT_WORDS", 50)
     chance = random.Random(5)
     long = [f"n{chance.randrange(10 ** 6)}" for _ in range(300_000)]
-    texts = [" ".join(long), " ".join(long[1000:1400] + ["x"] + long[200_000:260_000]), "word " * 500,
-             "word " * 700 + "end", " ".join(long[-13:]), " ".join(long[-12:])]
+    texts = [" ".join(long), " ".join(long[1000:1400] + ["x"] + long[200_000:260_000]),
+             "word " * 500, "word " * 700 + "end", " ".join(long[-13:]), " ".join(long[-12:])]
     check(docs_of(spark, texts))
 
 
 def test_odd_rows(spark):
     words = " ".join(f"q{i}" for i in range(30))
-    check(docs_of(spark, [(1, words, "s"), (1, words, "s"), (1, words + " more", "s"), (2, None, "s"),
-                          (3, "", "s"), (4, words.replace(" ", "\t\n  "), "s"),
+    check(docs_of(spark, [(1, words, "s"), (1, words, "s"), (1, words + " more", "s"),
+                          (2, None, "s"), (3, "", "s"), (4, words.replace(" ", "\t\n  "), "s"),
                           (4, words.replace(" ", "\x0b"), "s"), (None, words, "s"),
                           (None, words, "s"), (5, "x " + words, "s"), (0, words[:80], "s")]))
 
