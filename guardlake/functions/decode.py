@@ -82,11 +82,12 @@ def base64_decode(text: Column) -> Column:
     return _each_part(text, C.BASE64_RUN, "[A-Za-z0-9+/]{1,15}|[^A-Za-z0-9+/]+", plain)
 
 
-_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+TURNED = codecs.encode(ALPHABET, "rot13")
 
 
 def rotate13(text: Column) -> Column:
-    return F.translate(text, _AZ, codecs.encode(_AZ, "rot13"))
+    return F.translate(text, ALPHABET, TURNED)
 
 
 def rot13_decode(text: Column) -> Column:

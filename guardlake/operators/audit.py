@@ -11,7 +11,7 @@ from guardlake import catalog as C
 from guardlake.functions import verdict as V
 from guardlake.operators.skew import lookup
 
-LOGGED_THREATS = "array<struct<category:string,name:string,type:string>>"
+LOGGED_THREAT = "struct<category:string,name:string,type:string>"
 
 
 def in_window(logs: DataFrame, hours: int, as_of: Column, at: str = "created_at") -> DataFrame:
@@ -39,7 +39,17 @@ def dashboard_summary(logs: DataFrame, hours: int, as_of: Column) -> DataFrame:
 
 
 def logged_threats(logs: DataFrame, json: str = "threats_json") -> Column:
-    return F.from_json(F.col(json), LOGGED_THREATS)
+    """The threats of a log row as structs; an entry that is a plain string is its type.
+
+    Entries are read one by one, so that one kind does not cost the others; nulls are left out.
+    """
+    def entry(x: Column) -> Column:
+        plain = F.struct(F.lit(None).cast("string").alias("category"),
+                         F.lit(None).cast("string").alias("name"), x.alias("type"))
+        return F.when(F.json_object_keys(x).isNotNull(), F.from_json(x, LOGGED_THREAT)
+                      ).otherwise(plain)
+
+    return F.transform(F.array_compact(F.from_json(F.col(json), "array<string>")), entry)
 
 
 def top_threat_categories(logs: DataFrame, hours: int, as_of: Column,
@@ -69,7 +79,8 @@ def blocked_by_level(logs: DataFrame) -> DataFrame:
 
 
 def violations(logs: DataFrame, limit: int = 50, threat_level: str | None = None) -> DataFrame:
-    """Newest blocked requests with a violation id by position.
+    """Newest blocked requests with a violation id by position; logs without a model or provider
+    column have null there.
 
     The top rows come from a distributed top-k; only those few are numbered.
     """
@@ -81,11 +92,13 @@ def violations(logs: DataFrame, limit: int = 50, threat_level: str | None = None
     at = F.row_number().over(Window.orderBy(*newest)) - 1
     day = F.date_format("created_at", "yyyyMMdd")
     names = F.transform(logged_threats(logs), lambda t: F.coalesce(t["type"], t["category"]))
+    used = [F.col(c) if c in logs.columns else F.lit(None).cast("string").alias(c)
+            for c in ("model", "provider")]
     return top.select(
         F.format_string("VIO-%s-%04d", day, at).alias("violation_id"),
         F.col("id").alias("request_log_id"),
         F.coalesce("threat_level", F.lit("unknown")).alias("threat_level"),
-        names.alias("threats"), "client_ip", "created_at")
+        names.alias("threats"), "client_ip", *used, "created_at")
 
 
 def audit_rows(verdicts: DataFrame) -> DataFrame:

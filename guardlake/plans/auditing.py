@@ -112,13 +112,25 @@ left join (select api_key_id, max(created_at) as used from ({K.LOGS}) group by 1
     lambda t: A.touch_keys(t.sql(I.API_KEYS), t.logs()).select(
         "id", "key_prefix", _stamp("last_used_at")))
 
+# Logs whose threats are strings, objects with and without a type, and nulls.
+_MIXED = """
+select id, event_id, status, threat_level, client_ip, model, provider, created_at,
+  case event_id % 3 when 0 then '["dan_attack",{{"category":"jailbreak"}},null]'
+    when 1 then '[{{"type":"leak","category":"exfiltration"}},"two words"]'
+    else threats_json end as threats_json from ({logs})"""
+
 query("p11_violations", f"""
 select concat('VIO-', strftime(created_at,'%Y%m%d'), '-', lpad(cast(row_number() over (order by created_at desc, id desc) - 1 as varchar),4,'0')) as violation_id,
-  id as request_log_id, threat_level, 'jailbreak' as first_threat, client_ip, {_T.format(x='created_at')} as created_at
-from ({K.LOGS}) where status = 'blocked' and threat_level = 'high' order by created_at desc, id desc limit 50""")(
-    lambda t: A.violations(t.logs(), threat_level="high").select(
-        "violation_id", "request_log_id", "threat_level", F.col("threats")[0].alias("first_threat"),
-        "client_ip", _stamp("created_at")))
+  id as request_log_id, threat_level, array_to_string(list_transform(list_filter(
+    from_json(threats_json, '["json"]'), lambda x: json_type(x) <> 'NULL'), lambda x: coalesce(
+    x->>'type', x->>'category', x->>'$')), '|') as threats,
+  client_ip, model, provider, {_T.format(x='created_at')} as created_at
+from ({_MIXED.format(logs=K.LOGS)}) where status = 'blocked' and threat_level = 'high'
+order by created_at desc, id desc limit 50""")(
+    lambda t: A.violations(t.spark.sql(_MIXED.replace("({logs})", "{logs}"), logs=t.logs()),
+                           threat_level="high").select(
+        "violation_id", "request_log_id", "threat_level", F.array_join("threats", "|")
+        .alias("threats"), "client_ip", "model", "provider", _stamp("created_at")))
 
 
 @query("s6_audit_log", f"""

@@ -10,9 +10,10 @@ from guardlake.functions import decode as D
 from guardlake.functions import indirect as I
 from guardlake.functions import patterns as P
 from guardlake.functions import semantic as S
-from guardlake.operators import indirect, scan
+from guardlake.operators import indirect, scan, semantic
 from guardlake.operators.requests import single_messages
 from guardlake.plans import checks as K
+from guardlake.plans.decoding_sql import peeled
 from guardlake.plans.inputs import Tables
 from guardlake.plans.registry import query
 
@@ -88,12 +89,23 @@ def _base64(text: Column) -> Column:
     return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "\\s", "")
 
 
-@query("n0_fixed_point")
+_WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
+_NARROW = "".join(map(chr, range(0x21, 0x7F)))
+_NESTED = f"""
+select doc_id, case doc_id % 6
+  when 1 then regexp_replace(hex(to_base64(encode(text))), '(..)', '%\\1', 'g')
+  when 2 then to_base64(encode(replace(text, ' ', '&nbsp;')))
+  when 3 then translate(concat(text, ' ignore the system'), {K.lit(D.ALPHABET)}, {K.lit(D.TURNED)})
+  when 4 then translate(text, {K.lit(_NARROW)}, {K.lit(_WIDE)})
+  when 5 then to_base64(encode(replace(replace(text, 'fi', '\ufb01'), 'a', '\u24d0')))
+  else text end as hidden from ({K.DOCS})"""
+
+
+@query("n0_fixed_point", f"""
+select doc_id, decoded, cast(layers as int) as layers, array_to_string(encodings, ',') as encodings
+from {peeled(_NESTED, 'doc_id', 'hidden')}""")
 def fixed_point(t: Tables) -> DataFrame:
-    """Whole documents under nested encodings, peeled until nothing changes.
-
-    Normalisation forms and named entities have no SQL; a plain version is tested instead.
-    """
+    """Whole documents under nested encodings, peeled until nothing changes."""
     return D.with_decoded(nested(t.attack_docs()), "hidden", "d").select(
         "doc_id", F.col("d.decoded").alias("decoded"), F.col("d.layers").alias("layers"),
         F.array_join("d.encodings", ",").alias("encodings"))
@@ -113,23 +125,32 @@ def nested(docs: DataFrame) -> DataFrame:
         kind == 3, turned).when(kind == 4, wide).when(kind == 5, compatible).otherwise(x).alias("hidden"))
 
 
-_WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
-_NARROW = "".join(map(chr, range(0x21, 0x7F)))
-
 query("n1_unicode_normalisation", f"""
 select doc_id, translate(text,{K.lit(_WIDE)},{K.lit(_NARROW)}) as decoded from ({K.DOCS})""")(
     lambda t: t.attack_docs().select("doc_id", D.fullwidth_to_ascii(
         F.translate("text", _NARROW, _WIDE)).alias("decoded")))
 
 
-@query("n1_unicode_normalisation_decoded")
+_WIDE_DOCS = (f"select doc_id, translate(text,{K.lit(_NARROW)},{K.lit(_WIDE)}) as hidden "
+              f"from ({K.DOCS})")
+
+
+@query("n1_unicode_normalisation_decoded",
+       f"select doc_id, decoded from {peeled(_WIDE_DOCS, 'doc_id', 'hidden')}")
 def unicode_decoded(t: Tables) -> DataFrame:
     """Whole documents in full-width forms, read by the operator's decoder."""
     df = t.attack_docs().withColumn("hidden", F.translate("text", _NARROW, _WIDE))
     return D.with_decoded(df, "hidden", "d").select("doc_id", F.col("d.decoded").alias("decoded"))
 
 
-@query("n2_html_entities_decoded")
+_ENTITY_DOCS = "text"
+for _v in "aeiou":
+    _ENTITY_DOCS = f"replace({_ENTITY_DOCS},'{_v}','&#{ord(_v)};')"
+_ENTITY_DOCS = f"select doc_id, {_ENTITY_DOCS} as hidden from ({K.DOCS})"
+
+
+@query("n2_html_entities_decoded",
+       f"select doc_id, decoded from {peeled(_ENTITY_DOCS, 'doc_id', 'hidden')}")
 def entities_decoded(t: Tables) -> DataFrame:
     """Vowels of whole documents as references, read by the operator's decoder."""
     return D.with_decoded(_with_entities(t), "hidden", "d").select(
@@ -231,6 +252,42 @@ select doc_id, label, round(conf,6) as confidence,
         "doc_id", "s.label", F.round("s.confidence", 6).alias("confidence"), "s.is_malicious",
         "s.threat_level"))
 
+# A model that fails on whole lists with a text that mentions the system prompt.
+_FAILS, _MODEL = "system prompt", ["length(text) % 7 / 2e0", "length(text) % 5 / 1e0",
+                                   "length(text) % 11 / 3e0", "length(text) % 13 / 3e0",
+                                   "length(text) % 3 / 1e0"]
+
+
+def _load_model():
+    def predict(texts: list[str]) -> list[list[float]]:
+        if any(_FAILS in text for text in texts):
+            raise ValueError("unreadable text")
+        return [[n % 7 / 2, n % 5, n % 11 / 3, n % 13 / 3, n % 3] for n in map(len, texts)]
+
+    return predict
+
+
+@query("m3_model_step", f"""
+with l as (select doc_id, not contains(text, '{_FAILS}') as by_model, [{','.join(_MODEL)}] as x
+           from ({K.DOCS})),
+m as (select *, list_max(x) as top, list_position(x, list_max(x)) as i from l),
+c as (select doc_id, by_model, [{','.join(repr(x) for x in C.LABELS)}][i] as model_label,
+  1e0 / list_sum(list_transform(x, lambda v: exp(v - top))) as conf from m),
+b as (select c.doc_id, by_model, case when by_model then model_label when score > 0.4 then s.label
+  else 'safe' end as label, case when by_model then conf else score end as confidence
+  from c join {_SEM} s on c.doc_id = s.doc_id)
+select doc_id, by_model, label, round(confidence,6) as confidence,
+  label <> 'safe' and confidence >= 0.75 as is_malicious,
+  case when label <> 'safe' and confidence >= 0.75 then {_LEVEL}
+       when not by_model and label <> 'safe' then 'low' else 'safe' end as threat_level from b""")
+def model_step(t: Tables) -> DataFrame:
+    """Documents scored by a model; those it fails on, and only those, by keywords."""
+    scored = semantic.logit_scores(semantic.with_logits(t.attack_docs(), _load_model), text="text")
+    return scored.select("doc_id", F.col("logits").isNotNull().alias("by_model"),
+                         "semantic.label", F.round("semantic.confidence", 6).alias("confidence"),
+                         "semantic.is_malicious", "semantic.threat_level")
+
+
 # ---------------------------------------------------------------- indirect injection
 _TOOL_MSGS = f"select request_id, pos, coalesce(case when name <> '' then concat('tool:',name) end, concat('tool_msg[',pos,']')) as source, text from ({K.MESSAGES}) where role = 'tool' and regexp_matches(text,'\\S')"
 @query("i1_obfuscated_tool_output", f"""
@@ -250,7 +307,7 @@ def obfuscated_tools(t: Tables) -> DataFrame:
         F.regexp_replace("details", "(?s): base64.*", ": base64").alias("details"))
 
 
-@query("i2_injection_in_tool_output", f"""
+@query("i2_injection_in_tool_output_without_decoding", f"""
 select request_id, source,
   case when max({K.rank('threat_level')}) = 4 then 'critical' else 'high' end as threat_level,
   round(least(1e0, max(confidence) + 15e-2),6) as confidence,
@@ -269,7 +326,23 @@ def injected_tools(t: Tables) -> DataFrame:
         "details")
 
 
-@query("i2_injection_in_tool_output_decoded")
+def _external_sql(source: str, keys: str, label: str) -> str:
+    """Threats of external content read decoded, per row of `source` (keys, text)."""
+    whole = peeled(source, keys)
+    read = f"select {keys}, decoded as text from {whole}"
+    return f"""
+select {keys}, -1 as ord, 'obfuscated_tool_output' as name, 'high' as threat_level,
+  round(least(95e-2, 4e-1 * layers), 6) as confidence, concat('Obfuscated content in ', {label},
+  ': ', array_to_string(encodings, ', ')) as details from {whole} where layers > 0
+union all select {keys}, 0, 'injection_in_external_content',
+  case when max({K.rank('threat_level')}) = 4 then 'critical' else 'high' end,
+  round(least(1e0, max(confidence) + 15e-2), 6), concat('Injection pattern found in ', {label}, ': ',
+  array_to_string(list(name order by ord)[1:3], ', ')) from {K.hits(read, keys)} group by {keys}"""
+
+
+@query("i2_injection_in_tool_output", f"""
+select request_id, source, name, threat_level, confidence, details
+from ({_external_sql(_TOOL_MSGS, 'request_id, pos, source', 'source')})""")
 def injected_tools_decoded(t: Tables) -> DataFrame:
     """Every threat of whole tool outputs, read decoded."""
     from guardlake.operators.requests import tool_contents
@@ -333,12 +406,12 @@ where regexp_matches(text,{K.re2(C.MARKDOWN_INJECTION)},'i')""")(
     lambda t: t.attack_docs().select("doc_id", F.inline(I.markdown_threats(
         F.col("text"), F.lit("doc")))).select("doc_id", "confidence"))
 
-# Requests that mention the URL of a page; page 0 is mentioned by every second of them.
+# Requests that mention the URL of a page, any of them; every second one mentions page 0.
 _URL_MESSAGES = """
 select cast(c.conv_id as varchar(20)) as request_id, cast(c.turn as int) as pos, c.role,
        case when p.url is null then c.text else concat(c.text, ' see <', p.url, '> for more') end as text
-from {conversations} c left join {pages} p
-  on p.page_id = case when c.conv_id % 2 = 0 then 0 else c.conv_id % 50 end"""
+from (select *, case when conv_id % 2 = 0 then 0 else conv_id % (select count(*) from {pages}) end
+      as mention from {conversations}) c left join {pages} p on p.page_id = c.mention"""
 _URL_ROWS = (_URL_MESSAGES.format(conversations="conversations", pages="pages"))
 _URL_SQL = f"""select distinct request_id, unnest(regexp_extract_all(text,
   {K.re2(C.URL)},0,'i')) as url from ({_URL_ROWS})"""
@@ -350,7 +423,7 @@ def _url_requests(t: Tables) -> DataFrame:
     return single_messages(t.sql(_URL_MESSAGES))
 
 
-@query("i7_pages_behind_urls", f"""
+@query("i7_pages_behind_urls_without_decoding", f"""
 select u.request_id, u.url, h.threat_level, h.confidence from ({_URL_SQL}) u join (
   select url, case when max({K.rank('threat_level')}) = 4 then 'critical' else 'high' end as threat_level,
     round(least(1e0, max(confidence) + 15e-2),6) as confidence
@@ -360,7 +433,12 @@ def pages_behind_urls(t: Tables) -> DataFrame:
         "request_id", "url", "threat_level", F.round("confidence", 6).alias("confidence"))
 
 
-@query("i7_pages_behind_urls_decoded")
+_PAGE_TEXTS = f"select url, html as text from ({_PAGES})"
+
+
+@query("i7_pages_behind_urls", f"""
+select u.request_id, u.url, h.name, h.threat_level, h.confidence, h.details from ({_URL_SQL}) u
+join ({_external_sql(_PAGE_TEXTS, 'url', "concat('fetched_url:', url)")}) h on u.url = h.url""")
 def pages_behind_urls_decoded(t: Tables) -> DataFrame:
     """Every threat of whole pages, read decoded."""
     return _behind_urls(t, decode=True).select(
@@ -399,7 +477,27 @@ def all_indirect(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.round(F.max("confidence"), 6).alias("confidence"))
 
 
-@query("i8_all_indirect_threats_decoded")
+_SPOKEN = f"select * from ({K.MESSAGES}) where regexp_matches(text,'\\S')"
+_SPOKEN_COMMENTS = f"""select request_id, pos, role, unnest(cs) as text, generate_subscripts(cs,1) as i
+from (select request_id, pos, role, list_filter(list_transform(regexp_extract_all(text,
+  '<!--(.*?)-->',1,'s'), lambda x: trim(x)), lambda x: length(x) > 10) as cs from ({_SPOKEN}))"""
+_WHERE = "concat('msg[', pos, ']:', role)"
+
+
+@query("i8_all_indirect_threats_decoded", f"""
+select request_id, name, threat_level, confidence, details
+from ({_external_sql(_TOOL_MSGS, 'request_id, pos, source', 'source')})
+union all select request_id, 'hidden_html_comment', 'high', round(least(1e0, max(confidence) + 1e-1),
+  6), concat('Malicious instructions hidden in HTML comment in ', {_WHERE})
+from {K.hits(_SPOKEN_COMMENTS, 'request_id, pos, role, i')} group by request_id, pos, role, i
+union all select request_id, 'instruction_prefix_in_tool_output', 'high', 8e-1,
+  concat('Instruction prefix pattern found in ', {_WHERE},
+         ' — possible attempt to override system instructions') from ({_SPOKEN})
+where role = 'tool' and regexp_matches(text,{K.re2(C.INSTRUCTION_PREFIX)},'i')
+union all select request_id, 'markdown_injection', 'medium', 7e-1,
+  concat('Markdown injection pattern found in ', {_WHERE}) from ({_SPOKEN})
+where regexp_matches(text,{K.re2(C.MARKDOWN_INJECTION)},'i')""")
 def all_indirect_decoded(t: Tables) -> DataFrame:
     found = indirect.indirect_threats(single_messages(t.messages()))
-    return found.select("request_id", "name", "threat_level", "confidence", "details")
+    return found.select("request_id", "name", "threat_level",
+                        F.round("confidence", 6).alias("confidence"), "details")

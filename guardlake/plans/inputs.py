@@ -87,6 +87,7 @@ select cast(event_id as varchar(20)) as id, event_id,
        concat('key-',cast(user_id % 20 as varchar(9))) as api_key_id,
        concat('10.0.0.',cast(user_id % 32 as varchar(9))) as client_ip,
        case when event_id % 3 = 0 then 'openai' else 'anthropic' end as provider,
+       case when event_id % 3 = 0 then 'gpt-4o' when event_id % 3 = 1 then 'claude-3-opus' end as model,
        case when event_type='error' then 'blocked' when event_type='purchase' then 'sanitized'
             else 'allowed' end as status,
        case when event_type not in ('error','purchase') then 'safe'

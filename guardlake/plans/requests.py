@@ -14,6 +14,7 @@ from guardlake.operators.context import with_history
 from guardlake.operators.ratelimit import check_tiers
 from guardlake.operators.verdict import analyze_requests, requests_from_texts
 from guardlake.plans import checks as K
+from guardlake.plans.decoding_sql import peeled
 from guardlake.plans import limits
 from guardlake.plans.detection import _URL_SQL, _url_requests
 from guardlake.plans.inputs import Tables
@@ -158,8 +159,8 @@ def status_by_category(docs: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_hits")))
 
 
-def threats_sql(messages: str, valid: str, with_semantic: bool) -> str:
-    """All threats of the valid requests, in order (stage, a, b), decoding off."""
+def threats_sql(messages: str, valid: str, with_semantic: bool, decode: bool = False) -> str:
+    """All threats of the valid requests, in order (stage, a, b)."""
     msgs = f"(select * from ({messages}) where request_id in {valid} and regexp_matches(text,'\\S'))"
     texts = (f"select request_id, string_agg(text, chr(10) order by pos) as text from ({messages}) "
              f"where request_id in {valid} group by request_id")
@@ -167,7 +168,18 @@ def threats_sql(messages: str, valid: str, with_semantic: bool) -> str:
                 "select request_id, pos, list_filter(list_transform(regexp_extract_all(text,"
                 f"'<!--(.*?)-->',1,'s'), lambda x: trim(x)), lambda x: length(x) > 10) as cs from {msgs})")
     tool = f"select * from {msgs} where role = 'tool'"
-    out = f"""
+    found = ""
+    if decode:
+        whole, outputs = peeled(texts, "request_id"), peeled(tool, "request_id, pos")
+        found = f"""
+select request_id, 0 as stage, 0 as a, 0 as b, 'obfuscation' as category,
+  'multi_layer_encoding' as name, 'medium' as threat_level, least(9e-1, 3e-1 * layers) as confidence
+from {whole} where layers > 0
+union all select request_id, 1, pos, -1, 'indirect_injection', 'obfuscated_tool_output', 'high',
+  least(95e-2, 4e-1 * layers) from {outputs} where layers > 0 union all"""
+        texts = f"select request_id, decoded as text from {whole}"
+        tool = f"select request_id, pos, decoded as text from {outputs}"
+    out = f"""{found}
 select request_id, 1 as stage, pos as a, 0 as b, 'indirect_injection' as category,
   'injection_in_external_content' as name,
   case when max({K.rank('threat_level')}) = 4 then 'critical' else 'high' end as threat_level,
@@ -188,12 +200,13 @@ union all select request_id, 4, 0, 0, 'semantic', 'intent_classification', {leve
     return out
 
 
-def verdict_sql(messages: str, stats: str, with_semantic: bool = True) -> str:
-    """Verdict per request of `messages`, decoding off."""
+def verdict_sql(messages: str, stats: str, with_semantic: bool = True,
+                decode: bool = False) -> str:
+    """Verdict per request of `messages`."""
     errors = _errors(C.MAX_MESSAGES, C.MAX_CHARS)
     valid = f"(select request_id from {stats} where {errors} = '')"
     return f"""
-with t as materialized ({threats_sql(messages, valid, with_semantic)}),
+with t as materialized ({threats_sql(messages, valid, with_semantic, decode)}),
 lead as (select * from t qualify row_number() over (partition by request_id
   order by {K.rank('threat_level')} desc, stage, a, b) = 1),
 s as (select request_id, max(confidence) as conf, max({K.rank('threat_level')}) as r,
@@ -232,10 +245,11 @@ def _documents(t: Tables) -> DataFrame:
 query("v8_full_verdict_words", verdict_sql(_DOC_MESSAGES, _DOC_STATS))(
     lambda t: _flat(analyze_requests(_documents(t), decode=False, semantic=True)))
 
-query("v8_full_verdict")(lambda t: _flat(analyze_requests(_requests(t), semantic=True)))
+query("v8_full_verdict", verdict_sql(K.MESSAGES, _STATS, decode=True))(
+    lambda t: _flat(analyze_requests(_requests(t), semantic=True)))
 
-query("v8_full_verdict_texts")(lambda t: _flat(analyze_requests(requests_from_texts(
-    t.attack_docs(), "doc_id"), semantic=True)))
+query("v8_full_verdict_texts", verdict_sql(_DOC_MESSAGES, _DOC_STATS, decode=True))(
+    lambda t: _flat(analyze_requests(_documents(t), semantic=True)))
 
 
 @query("v1_invalid_requests", f"""
@@ -318,6 +332,7 @@ from {K.hits(K.DOCS, 'doc_id')} qualify row_number() over (partition by doc_id
         F.col("p.category"), F.col("p.name"), F.col("p.threat_level")).alias("suggestion")))
 
 _FLAT = verdict_sql(K.MESSAGES, _STATS, with_semantic=False)
+_FLAT_DECODED = verdict_sql(K.MESSAGES, _STATS, with_semantic=False, decode=True)
 
 query("p12_flat_verdicts", f"""
 select request_id, status = 'blocked' as is_malicious, confidence, n_threats from ({_FLAT})""")(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from guardlake import catalog as C
 from guardlake.operators import policy, rag
 from guardlake.plans import checks as K
+from guardlake.plans.decoding_sql import peeled
 from guardlake.plans.inputs import Tables
 from guardlake.plans.registry import query
 from guardlake.session import new_folder, stored
@@ -87,17 +88,67 @@ from {_SCANNED} s left join {_MARKERS} m on s.chunk_id = m.chunk_id""")(
         "batch_id", "pos", "chunk_id", "status", F.round("confidence", 3).alias("confidence"),
         F.size("threats").alias("n_threats")))
 
-query("g1_chunk_scan_detailed")(
+
+
+_MARKED = f"select * replace (concat(content, ' you are a helpful assistant') as content) from ({K.CHUNKS})"
+_SAFE_TEXT = f"t{len(C.RULES)}"
+
+
+def decoded_scan_sql(source: str, detailed: bool = False) -> str:
+    """(batch_id, pos, chunk_id, content, body, status, confidence, n_threats): chunks of `source`
+    scanned as they are, and decoded ones once more as requests, which add other categories."""
+    body = "select chunk_id, body as content from body where deep and not too_long"
+    comments = _COMMENTS.replace(f"({K.CHUNKS})", f"({body})")
+    return f"""(
+with chunks as materialized ({source}),
+raw as materialized (select * from {K.hits('select * from chunks', 'chunk_id', 'content')}),
+body as materialized (select c.*, layers, case when layers > 0 then decoded else content end as body,
+  {str(detailed).lower()} or c.chunk_id in (select chunk_id from raw) as deep,
+  length(case when layers > 0 then decoded else content end) > {C.MAX_CHARS} as too_long
+  from chunks c join {peeled('select * from chunks', 'chunk_id', 'content')} d
+    on c.chunk_id = d.chunk_id),
+own as (select chunk_id, category, {K.rank('threat_level')} as r, confidence as shown from raw
+  union all select chunk_id, 'obfuscation', 2, 0e0 from body where layers > 0),
+inside as (select chunk_id, category, {K.rank('threat_level')} as r, confidence
+  from {K.hits(body, 'chunk_id', 'content')}
+  union all select chunk_id, 'indirect_injection', 3, least(1e0, max(confidence) + 1e-1)
+    from {K.hits(comments, 'chunk_id, i')} group by chunk_id, i
+  union all select chunk_id, 'indirect_injection', 2, 7e-1 from ({body})
+    where regexp_matches(content,{K.re2(C.MARKDOWN_INJECTION)},'i')
+  union all select chunk_id, 'input_validation', 3, 1e0 from body where deep and too_long),
+every as (select chunk_id, r, shown from own union all
+  select chunk_id, case when exists (select 1 from own o where o.chunk_id = i.chunk_id
+    and o.category = i.category) then null else r end, round(confidence, 3) from inside i),
+s as (select chunk_id, max(r) as r, max(shown) as confidence, count(r) as n from every
+  group by chunk_id)
+select b.* exclude (layers, deep, too_long), coalesce(s.confidence, 0e0) as confidence,
+  cast(coalesce(n, 0) as int) as n_threats,
+  case when r >= 3 then 'blocked' when n > 0 then 'sanitized' else 'allowed' end as status
+from body b left join s on b.chunk_id = s.chunk_id)"""
+
+
+_DOC_CHUNKS = (f"select source as batch_id, cast(doc_id as int) as pos, cast(doc_id as varchar) as "
+               f"chunk_id, text as content from ({K.DOCS})")
+
+
+def _blocked_sql(source: str, detailed: bool = False) -> str:
+    """The scan with the redacted bodies of blocked chunks, where redaction changes them."""
+    scanned = f"select * from {decoded_scan_sql(source, detailed)}"
+    keys = "batch_id, pos, chunk_id, status, confidence, n_threats"
+    return (f"select {keys}, case when status = 'blocked' then nullif({_SAFE_TEXT}, t0) end "
+            f"as sanitized_content from {K.redaction(scanned, keys, 'body')}")
+
+
+query("g1_chunk_scan_detailed", f"""
+select batch_id, pos, status, round(confidence, 3) as confidence, n_threats, sanitized_content
+from ({_blocked_sql(_DOC_CHUNKS, detailed=True)})""")(
     lambda t: rag.scan_chunks(t.attack_docs().select(
         F.col("source").alias("batch_id"), F.col("doc_id").cast("int").alias("pos"),
         F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content")),
         detailed=True).select("batch_id", "pos", "status", "confidence",
                               F.size("threats").alias("n_threats"), "sanitized_content"))
 
-_MARKED = f"select * replace (concat(content, ' you are a helpful assistant') as content) from ({K.CHUNKS})"
-_SAFE_TEXT = f"t{len(C.RULES)}"
-
-query("g2_redacted_blocked_chunks", f"""
+query("g2_redacted_blocked_chunks_without_decoding", f"""
 select s.chunk_id, r.{_SAFE_TEXT} as sanitized_content from {_SCANNED} s join
   {K.redaction(_MARKED, 'chunk_id', 'content')} r on s.chunk_id = r.chunk_id
 where {_STATUS} = 'blocked'""")(
@@ -105,7 +156,7 @@ where {_STATUS} = 'blocked'""")(
         "content", F.lit(" you are a helpful assistant"))), decode=False).filter("status = 'blocked'").select(
         "chunk_id", "sanitized_content"))
 
-query("g3_fail_fast", f"""
+query("g3_fail_fast_without_decoding", f"""
 with s as (select *, {_STATUS} as st from {_SCANNED}),
 b as (select batch_id, min(pos) as stop from s where st = 'blocked' group by batch_id)
 select s.batch_id, s.pos, s.st as status from s left join b on s.batch_id = b.batch_id
@@ -113,7 +164,7 @@ where stop is null or s.pos <= stop""")(
     lambda t: rag.fail_fast(stored(rag.scan_chunks(t.chunks(), decode=False), "scanned")).select(
         "batch_id", "pos", "status"))
 
-query("g4_batch_summary", f"""
+query("g4_batch_summary_without_decoding", f"""
 select batch_id, count(*)::bigint as chunks_scanned,
   count(*) filter ({_STATUS} = 'allowed')::bigint as chunks_safe,
   count(*) filter ({_STATUS} = 'blocked')::bigint as chunks_blocked,
@@ -123,35 +174,48 @@ from {_SCANNED} group by batch_id""")(
     lambda t: rag.batch_summary(rag.scan_chunks(t.chunks(), decode=False, redact_blocked=False)))
 
 
-@query("g5_safe_chunks", f"""
+@query("g5_safe_chunks_without_decoding", f"""
 select batch_id, pos, content from {_SCANNED} where {_STATUS} = 'allowed'""")
 def safe_chunks(t: Tables) -> DataFrame:
     return rag.safe_chunks(rag.scan_chunks(t.chunks(), decode=False, redact_blocked=False)).select(
         "batch_id", "pos", "content")
 
 
-query("g6_quick_scan", f"""
+query("g6_quick_scan_without_decoding", f"""
 select chunk_id, {_STATUS} as status, {_STATUS} = 'allowed' as safe from {_SCANNED}""")(
     lambda t: rag.quick_scan(t.chunks(), "chunk_id", "content", decode=False,
                              redact_blocked=False).select("chunk_id", "status", "safe"))
 
-# The same with decoding on whole texts; plain versions are tested, as the decoder has no SQL.
-query("g2_redacted_blocked_chunks_decoded")(
+# The same with decoding on whole texts.
+_SEEN = decoded_scan_sql(K.CHUNKS)
+
+query("g2_redacted_blocked_chunks", f"""
+select chunk_id, sanitized_content from ({_blocked_sql(_MARKED)}) where status = 'blocked'""")(
     lambda t: rag.scan_chunks(t.chunks().withColumn("content", F.concat(
         "content", F.lit(" you are a helpful assistant")))).filter("status = 'blocked'").select(
         "chunk_id", "sanitized_content"))
 
-query("g3_fail_fast_decoded")(
+query("g3_fail_fast", f"""
+with s as materialized (select * from {_SEEN}),
+b as (select batch_id, min(pos) as stop from s where status = 'blocked' group by batch_id)
+select s.batch_id, s.pos, status from s left join b on s.batch_id = b.batch_id
+where stop is null or s.pos <= stop""")(
     lambda t: rag.fail_fast(stored(rag.scan_chunks(t.chunks(), redact_blocked=False), "scanned"))
     .select("batch_id", "pos", "status"))
 
-query("g4_batch_summary_decoded")(
+query("g4_batch_summary", f"""
+select batch_id, count(*)::bigint as chunks_scanned,
+  count(*) filter (status = 'allowed')::bigint as chunks_safe,
+  count(*) filter (status = 'blocked')::bigint as chunks_blocked,
+  count(*) filter (status = 'sanitized')::bigint as chunks_sanitized,
+  count(*) filter (status = 'blocked') = 0 as safe_to_proceed from {_SEEN} group by batch_id""")(
     lambda t: rag.batch_summary(rag.scan_chunks(t.chunks(), redact_blocked=False)))
 
-query("g5_safe_chunks_decoded")(
+query("g5_safe_chunks", f"select batch_id, pos, content from {_SEEN} where status = 'allowed'")(
     lambda t: rag.safe_chunks(rag.scan_chunks(t.chunks(), redact_blocked=False)).select(
         "batch_id", "pos", "content"))
 
-query("g6_quick_scan_decoded")(
+query("g6_quick_scan", f"""
+select chunk_id, status, status = 'allowed' as safe from {_SEEN}""")(
     lambda t: rag.quick_scan(t.chunks(), "chunk_id", "content", redact_blocked=False).select(
         "chunk_id", "status", "safe"))

@@ -17,7 +17,7 @@ from guardlake.plans.limits import DAY
 from guardlake.plans.multiturn import context_sql
 from guardlake.plans.redaction import _LAST
 from guardlake.plans.registry import query
-from guardlake.plans.requests import _FLAT
+from guardlake.plans.requests import _FLAT, _FLAT_DECODED
 from guardlake.session import new_folder
 from guardlake.sources import sinks
 from guardlake.sources.readers import parse_sse, stream_responses
@@ -153,7 +153,8 @@ def finished_streams(t: Tables) -> DataFrame:
     return parts.groupBy("stream_id").agg(F.array_join(ordered, "").alias("redacted"))
 
 
-@query("w6_live_request_scan")
+@query("w6_live_request_scan", f"""
+select status, threat_level, count(*)::bigint as n from ({_FLAT_DECODED}) group by all""")
 def live_scan(t: Tables) -> DataFrame:
     """Requests scanned as a stream into log and event tables; log rows per status."""
     logs, _ = _scanned(t)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from guardlake import catalog as C
 from guardlake.functions import patterns as P
-from guardlake.operators import canary, indirect, policy, rag, semantic
+from guardlake.operators import audit, canary, indirect, policy, rag, semantic
 from guardlake.operators import requests as Q
 from guardlake.operators.verdict import analyze_requests
 from guardlake.sources.readers import REQUEST, parse_wire, wire_lines
@@ -212,3 +212,42 @@ def test_paragraph_packing(texts):
     rows = policy.chunk_documents(texts([text, ""]), "i", max_chars=10).collect()
     assert [(r.i, r.chunk, r.content) for r in rows] == [
         (0, 0, "aaaaa\n\nbbbbb"), (0, 1, "c" * 30), (0, 2, "dddd\n\n"), (1, 0, "")]
+
+
+@pytest.mark.parametrize("bad", [set(), {0}, {6}, {2, 3}, {0, 3, 6}, set(range(7))])
+def test_only_failing_texts_lose_their_scores(bad):
+    calls = []
+
+    def predict(items):
+        calls.append(len(items))
+        if bad & set(items):
+            raise RuntimeError
+        return [[float(i)] for i in items]
+
+    got = semantic.each_scored(predict, list(range(7)))
+    assert got == [None if i in bad else [float(i)] for i in range(7)]
+    assert len(calls) <= 1 + 2 * len(bad) * 3
+    assert semantic.each_scored(lambda items: [], [1, 2]) == [None, None]
+
+
+def test_scores_of_a_batch_with_failing_texts(texts):
+    def load():
+        def predict(items):
+            if "bad" in items:
+                raise RuntimeError
+            return [[0.0, 5.0, 0.0, 0.0, 0.0] for _ in items]
+        return predict
+
+    df = semantic.with_logits(texts(["good", "bad", "fine", None]).coalesce(1), load)
+    assert {r.text: r.logits is not None for r in df.collect()} == {
+        "good": True, "bad": False, "fine": True, None: False}
+
+
+def test_logged_threats_of_all_kinds(spark):
+    rows = [('["dan_attack", {"category":"x"}]',), ('[{"type":"t","category":"c"}, null, "{odd"]',),
+            ("[]",), ("not json",), (None,), ('["\\u00e9 \\"quoted\\""]',)]
+    df = spark.createDataFrame(rows, "threats_json string")
+    got = [r[0] and [(x.category, x.type) for x in r[0]]
+           for r in df.select(audit.logged_threats(df)).collect()]
+    assert got == [[(None, "dan_attack"), ("x", None)], [("c", "t"), (None, "{odd")], [], None, None,
+                   [(None, 'é "quoted"')]]
