@@ -91,7 +91,8 @@ def violations(logs: DataFrame, limit: int = 50, threat_level: str | None = None
     top = df.orderBy(*newest).limit(limit)
     at = F.row_number().over(Window.orderBy(*newest)) - 1
     day = F.date_format("created_at", "yyyyMMdd")
-    names = F.transform(logged_threats(logs), lambda t: F.coalesce(t["type"], t["category"]))
+    names = F.transform(logged_threats(logs), lambda t: F.coalesce(
+        t["type"], t["category"], t["name"]))
     used = [F.col(c) if c in logs.columns else F.lit(None).cast("string").alias(c)
             for c in ("model", "provider")]
     return top.select(

@@ -123,7 +123,8 @@ query("p11_violations", f"""
 select concat('VIO-', strftime(created_at,'%Y%m%d'), '-', lpad(cast(row_number() over (order by created_at desc, id desc) - 1 as varchar),4,'0')) as violation_id,
   id as request_log_id, threat_level, array_to_string(list_transform(list_filter(
     from_json(threats_json, '["json"]'), lambda x: json_type(x) <> 'NULL'), lambda x: coalesce(
-    x->>'type', x->>'category', x->>'$')), '|') as threats,
+    x->>'type', x->>'category', x->>'name',
+    case when json_type(x) = 'VARCHAR' then x->>'$' end)), '|') as threats,
   client_ip, model, provider, {_T.format(x='created_at')} as created_at
 from ({_MIXED.format(logs=K.LOGS)}) where status = 'blocked' and threat_level = 'high'
 order by created_at desc, id desc limit 50""")(
