@@ -11,12 +11,15 @@ from __future__ import annotations
 import dataclasses
 import functools
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
 from guardlake.functions.common import (ICASE_DOTALL, level_rank, max_or, rank_level,
                                         sql_text)
+from guardlake.functions.regex import ambiguous_repeat
 
 DETECTION = ("struct<category:string,name:string,threat_level:string,confidence:double,"
              "n_matches:int,matched_text:string>")
@@ -139,12 +142,14 @@ DEFAULT = Catalog()
 
 
 def check_regex(regex: str) -> None:
-    """Raise ValueError unless Spark's regex engine can compile `regex`."""
-    spark = SparkSession.active()
+    """Raise ValueError unless Spark's regex engine can compile `regex` and its repeats are
+    unambiguous.  Looks at the expression only, without running a job."""
     try:
-        spark.range(1).select(F.lit("").rlike(ICASE_DOTALL + regex)).collect()
-    except Exception as exc:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(ICASE_DOTALL + regex)
+    except (Py4JError, PySparkException) as exc:
         raise ValueError(f"Invalid regex: {regex}") from exc
+    if ambiguous_repeat(regex):
+        raise ValueError(f"Regex with an ambiguous endless repeat: {regex}")
 
 
 def confidence(n: str, length: str) -> str:

@@ -11,6 +11,7 @@ from guardlake.functions import indirect as I
 from guardlake.functions import patterns as P
 from guardlake.functions import semantic as S
 from guardlake.operators import indirect, scan, semantic
+from guardlake.operators.pattern_table import pattern_table_hits
 from guardlake.operators.requests import single_messages
 from guardlake.plans import checks as K
 from guardlake.plans.decoding_sql import peeled
@@ -53,6 +54,45 @@ def custom_patterns(t: Tables) -> DataFrame:
         "doc_id", "category", "name", "threat_level", "n_matches")
 
 
+# Patterns from all benchmark items: pairs of neighbouring words in three shapes, and two that need
+# no word at all.
+_ITEM_PATTERNS = """
+select concat('item-', cast(item_id % 7 as varchar(9))) as category,
+  concat(cast(item_id as varchar(9)), '-', cast(place as varchar(9))) as name,
+  case (item_id + place) % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high'
+       else 'critical' end as threat_level,
+  case place % 3 when 0 then concat('(?:^|[^a-z])', one, '[^a-z]+', two)
+    when 1 then concat('(?:', one, '|', two, 's?)\\s+(?:', two, '|', one, ')')
+    else concat(one, '\\s+[a-z]+\\s+', two) end as regex
+from ({pairs}) union all select 'shapes', 'years', 'low', '[0-9]{{{{4}}}}'
+union all select 'shapes', 'doubled', 'low', '[^a-z](?:aa|ee|oo|ll)[^a-z]'"""
+_PAIRS_SPARK = """
+select item_id, place, w[place] as one, w[place + 1] as two from (
+  select item_id, w, explode(sequence(0, greatest(size(w) - 2, 0))) as place from (
+    select item_id, regexp_extract_all(text, '[A-Za-z]{{4,}}', 0) as w from {benchmark}))
+where place + 1 < size(w)"""
+_PAIRS_SQL = """
+select item_id, place, w[place + 1] as one, w[place + 2] as two from (
+  select item_id, w, unnest(range(0, len(w) - 1)) as place from (
+    select item_id, regexp_extract_all(text, '[A-Za-z]{4,}') as w from benchmark))"""
+
+
+@query("d4_pattern_table", f"""
+with p as materialized (
+  select * from ({_ITEM_PATTERNS.replace('{{{{4}}}}', '{4}').replace('{pairs}', _PAIRS_SQL)})),
+d as materialized ({K.DOCS})
+select doc_id, category, name, threat_level, cast(n as int) as n_matches,
+  cast(750 + 50*least(3,n-1) + (least(length(text),5000)+25)//50 as double)/1000e0 as confidence
+from (select d.*, p.*, len(regexp_extract_all(text, regex, 0, 'is')) as n from d, p
+      where regexp_matches(text, regex, 'is'))""")
+def pattern_table(t: Tables) -> DataFrame:
+    """Documents against a table of a thousand patterns."""
+    patterns = t.sql(_ITEM_PATTERNS.replace("{pairs}", _PAIRS_SPARK).replace("{{{{4}}}}", "{{4}}")
+                     .replace("\\", "\\\\"))
+    return pattern_table_hits(t.attack_docs(), patterns, ["doc_id"]).select(
+        "doc_id", "category", "name", "threat_level", "n_matches", "confidence")
+
+
 @query("d5_catalog_usage", """
 select category, cast(sum(patterns) as bigint) as n_patterns, sum(docs)::bigint as n_hits from (
   select category, 0 as patterns, count(*) as docs from {hits} group by category

@@ -3,7 +3,7 @@
 The buffer is only cut at the start of a word, far enough from its end that no rule can
 reach across: every rule matches at most four whitespace-separated words, and the words
 held back leave room for matches on what earlier rules put in.  So the released pieces,
-joined, equal the redaction of the whole text.  Rules of one's own need a bound, too.
+joined, equal the redaction of the whole text.  For rules of one's own the bound is derived.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import re
 
 from guardlake.catalog import RULES
+from guardlake.functions.regex import words_spanned
 
 RULE_WORDS, HELD_WORDS = 4, 16
 
@@ -88,12 +89,17 @@ class Redactor:
 def for_streams(rules: tuple, match_words: int | None = None) -> Redactor:
     """A redactor that holds back enough words for every match of the rules.
 
-    Rules that aren't in the catalog need `match_words`, the most words that a match of theirs spans.
+    How many words a match of a rule that isn't in the catalog spans follows from its regex; where that
+    has no bound, `match_words` has to give one.
     """
-    own = [r.name for r in rules if r not in RULES]
-    if own and match_words is None:
-        raise ValueError(f"give match_words, the most words that a match of {own} spans")
-    return Redactor(rules, HELD_WORDS // RULE_WORDS * max(RULE_WORDS, match_words or 0))
+    most = [match_words or 0]
+    for rule in rules:
+        if rule not in RULES and match_words is None:
+            words = words_spanned(rule.regex)
+            if words is None:
+                raise ValueError(f"give match_words, the most words that a match of {rule.name} spans")
+            most.append(words)
+    return Redactor(rules, HELD_WORDS // RULE_WORDS * max(RULE_WORDS, *most))
 
 
 def redact(text: str, rules: tuple) -> str:
