@@ -21,6 +21,7 @@ from guardlake.llm.embedding_dedup import matrix, usable
 from guardlake.session import stored
 
 NEAREST, SHARD_ROWS, QUERY_BLOCK_ROWS, MEMBER_SALTS = 20, 4096, 16384, 32
+LARGEST, SPAN, EXACT_BATCH = 1e120, 1e3, 256
 DEGREE, BUILD_BEAM, QUERY_BEAM, SLACK, BUILD_BATCH, QUERY_BATCH = 40, 64, 96, 1.2, 256, 512
 
 
@@ -30,6 +31,8 @@ class Graph:
     def __init__(self, vectors: np.ndarray, edges: np.ndarray | None = None, start: int = 0,
                  degree: int = DEGREE):
         self.vectors = np.vstack([vectors, np.zeros(vectors.shape[1])])
+        # Single precision holds what is left once the largest component is 1.
+        vectors = vectors / np.abs(vectors).max()
         norms = (vectors * vectors).sum(axis=1)
         rest = np.sqrt(np.maximum(norms.max() - norms, 0))
         level = np.hstack([vectors, rest[:, None]]).astype(np.float32)
@@ -183,12 +186,29 @@ def _of(values: dict[int, int], length: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair)), length)
 
 
+def in_range(size: np.ndarray) -> np.ndarray:
+    """Whether products of vectors of this size neither overflow nor vanish in double precision."""
+    return (size > 1 / LARGEST) & (size < LARGEST)
+
+
+def ordered_in_single(vectors: np.ndarray) -> bool:
+    """Whether single precision can tell the vectors of a shard apart once they are scaled."""
+    size = np.abs(vectors).max(axis=1)
+    return bool(in_range(size).all() and size.max() < SPAN * size.min())
+
+
+def batched(rows: np.ndarray, size: int) -> list[np.ndarray]:
+    return [rows[i:i + size] for i in range(0, len(rows), size)]
+
+
 def search_index(index: DataFrame, queries: DataFrame, nearest: int, beam: int = QUERY_BEAM,
                  query_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """(query_id, own, length, rep, score): the `nearest` vectors found for each of (query_id, own,
     vector).
 
-    Blocks of queries of a length meet each shard of that length; scores are inner products in double precision.
+    Blocks of queries of a length meet each shard of that length; scores are inner products in double
+    precision.  Shards whose vectors differ in size by more than SPAN, and vectors outside 1 / LARGEST
+    to LARGEST, are searched without the graph, by all products in double precision.
     """
     blocks = _parts(queries, F.size("vector"), query_rows)
     shards = index.select(F.col("shard").alias("to"), F.size("embedding").alias("length")).distinct()
@@ -207,22 +227,35 @@ def search_index(index: DataFrame, queries: DataFrame, nearest: int, beam: int =
             return pa.table({"query_id": pa.array([], pa.int64()), "own": pa.array([], pa.int64()),
                              "length": pa.array([], pa.int32()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         points = points.sort_by("node")
-        edges = points.column("edges").combine_chunks().flatten().to_numpy().reshape(-1, DEGREE)
-        start = int(points.column("start").to_numpy().argmax())
-        graph = Graph(matrix(points.column("embedding")), edges, start)
         rep, vectors = points.column("rep").to_numpy(), matrix(ask.column("vector"))
-        wide = np.hstack([vectors, np.zeros((len(vectors), 1))]).astype(np.float32)
+        own = matrix(points.column("embedding"))
+        size = np.abs(vectors).max(axis=1)
+        by_graph = in_range(size) if ordered_in_single(own) else np.zeros(len(size), bool)
         at, to, scores = [], [], []
-        for first in range(0, len(wide), QUERY_BATCH):
-            found, _ = graph.search(wide[first:first + QUERY_BATCH], max(beam, nearest))
-            score = np.einsum("qd,qkd->qk", vectors[first:first + QUERY_BATCH],
-                              graph.vectors[found])
-            score[found == graph.size] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :nearest]
-            row, column = np.nonzero(np.take_along_axis(score, best, axis=1) > -np.inf)
-            at.append(row + first)
+
+        def keep(rows: np.ndarray, found: np.ndarray, score: np.ndarray) -> None:
+            """The best of the points found for some queries; ties go to the smaller rep."""
+            best = np.lexsort((np.append(rep, np.iinfo(np.int64).max)[found], -score))[:, :nearest]
+            row, column = np.nonzero(np.take_along_axis(found, best, axis=1) < len(rep))
+            at.append(rows[row])
             to.append(found[row, best[row, column]])
             scores.append(score[row, best[row, column]])
+
+        if by_graph.any():
+            edges = points.column("edges").combine_chunks().flatten().to_numpy()
+            start = int(points.column("start").to_numpy().argmax())
+            graph = Graph(own, edges.reshape(-1, DEGREE), start)
+        for rows in batched(np.flatnonzero(by_graph), QUERY_BATCH):
+            wide = np.hstack([vectors[rows] / size[rows, None], np.zeros((len(rows), 1))])
+            found, _ = graph.search(wide.astype(np.float32), max(beam, nearest))
+            score = np.einsum("qd,qkd->qk", vectors[rows], graph.vectors[found])
+            score[found == graph.size] = -np.inf
+            keep(rows, found, score)
+        for rows in batched(np.flatnonzero(~by_graph), EXACT_BATCH):
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = vectors[rows] @ own.T
+            score[np.isnan(score)] = -np.inf
+            keep(rows, np.broadcast_to(np.arange(len(rep)), score.shape), score)
         take = pa.array(np.concatenate(at))
         return pa.table({"query_id": ask.column("query_id").take(take),
                          "own": ask.column("own").take(take),
@@ -243,7 +276,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
     Rows have vec_id and embedding; those with null vec_id, or with a vector that is null, zero, or
     holds null or non-finite components, take no part.  Neighbours have the query's length.  Equal vectors are one point of the index, with the smallest ids that a result
     can need.  Rows that repeat a vec_id are candidates each for others; a row is no candidate for
-    a query with its own id.
+    a query with its own id.  Vectors may be of any finite size: products that overflow or vanish in
+    double precision count as that, infinite or 0.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         "vec_id", "embedding")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from guardlake.llm import ann
 from guardlake.llm.queries import op5_neighbours
@@ -89,3 +90,21 @@ def test_every_length_meets_its_own(spark):
                 near = [j for j, _ in want[i] if j != 140]
                 assert [j for j in got[i] if j != 140][:15] == near[:15]
     assert {sizes[j] for j in got[140] if j != 140} <= {4, 6} and 180 in got
+
+
+@pytest.mark.parametrize("scale, huge", [*((s, None) for s in (
+    1e-300, 1e-150, 1e-25, 1.0, 1e20, 1e150)), (1e-25, 1e25), (1.0, 1e25), (1e20, 1e25)])
+def test_vectors_of_any_size(spark, scale, huge):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(300, 12)) * scale
+    if huge:
+        vectors[7] *= huge
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                               "vec_id long, embedding array<double>")
+    want = exact(range(300), vectors, 20)
+    got = {}
+    for r in ann.nearest_neighbours(df, ann.F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    hits = [len(set(got[i]) & {j for j, _ in want[i]}) for i in want]
+    assert np.mean(hits) / 20 > 0.9
