@@ -19,8 +19,8 @@ import sys
 import types
 import unicodedata
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +32,30 @@ from guardlake.operators.skew import ranked
 from guardlake.session import stored
 
 SEQUENCE_TOKENS, END_ID, BUCKET_ROWS, BLOCK_CHARS = 4096, 1, 4096, 1 << 18
-KEPT_WORDS, WORKER = 200_000, "guardlake_packing_worker"
+KEPT_WORDS, WORKER = 250_000, "guardlake_packing_worker"
 
 
 class Kept:
-    """The values of the keys that were used last: two generations, of which the older one goes."""
-
-    def __init__(self, most: int = KEPT_WORDS):
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """Make room and give the keys without a value; the others are young from now on."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        new = keys.difference(self.young)
-        for key in new & self.old.keys():
-            self.young[key] = self.old[key]
-        return list(new.difference(self.young))
+    """The values of the keys that were asked for last: two generations, of which the older goes."""
+
+    def __init__(self, ask: Callable[[list[str]], Iterable[bytes]], most: int = KEPT_WORDS):
+        self.ask, self.most, self.young, self.old = ask, most, {}, {}
+
+    def __call__(self, keys: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, keys))
+        if None in found:
+            if len(self.young) > self.most:
+                self.young, self.old = {}, self.young
+                found = [None] * len(keys)
+            new = list({key for key, value in zip(keys, found) if value is None})
+            if self.old:
+                before = list(map(self.old.get, new))
+                self.young.update(x for x in zip(new, before) if x[1] is not None)
+                new = [key for key, value in zip(new, before) if value is None]
+            if new:
+                self.young.update(zip(new, self.ask(new)))
+            found = list(map(self.young.__getitem__, keys))
+        return found
 
 
 class WordTokens:
@@ -80,7 +87,7 @@ class WordTokens:
                                f"|[^{of(spaces)}{letters}{numbers}]+")
         self.other = re.compile(f"[^{of(c for c in low if c not in odd)}]|<\\|")
         self.space = re.compile(f"[{of(spaces)}]")
-        self.words, self.pieces = Kept(), Kept()
+        self.words, self.pieces = Kept(self._of_words), Kept(self._of_pieces)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -96,31 +103,26 @@ class WordTokens:
     def __call__(self, text: str) -> bytes:
         if self.other.search(text):
             return self.ids(text)
-        pieces = text.lower().split()
-        new = self.pieces.missing(set(pieces))
-        if new:
-            cut = [self.word.findall(piece) for piece in new]
-            self._learn(self.words.missing(set(chain.from_iterable(cut))))
-            known = self.words.young
-            self.pieces.young.update((piece, b"".join(map(known.__getitem__, words)))
-                                     for piece, words in zip(new, cut))
-        return b"".join(map(self.pieces.young.__getitem__, pieces))
-
-    def _learn(self, words: list[str]) -> None:
+        return b"".join(self.pieces(text.lower().split()))
+
+    def _of_pieces(self, pieces: list[str]) -> Iterator[bytes]:
+        cut = [self.word.findall(piece) for piece in pieces]
+        # A piece of one word is held as a piece, so only words of longer ones are held as words.
+        single = [words[0] for words in cut if len(words) == 1]
+        alone = iter(self._of_words(single) if single else ())
+        ids = iter(self.words([w for words in cut if len(words) > 1 for w in words]))
+        return (next(alone) if len(words) == 1 else b"".join(islice(ids, len(words)))
+                for words in cut)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
         """Ask for the ids of words in one text; each word's last id says that a word ends."""
-        if not words:
-            return
-        known = self.words.young
         found = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids,
                          "<u4")
         ends = np.flatnonzero(self.ends[found]) + 1
-        if len(ends) == len(words):
-            data, start = found.tobytes(), 0
-            for word, end in zip(words, ends.tolist()):
-                known[word] = data[4 * start:4 * end]
-                start = end
-        else:
-            known.update((word, self.ids(word)) for word in words)
+        if len(ends) != len(words):
+            return [self.ids(word) for word in words]
+        data, ends = found.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[start:end] for start, end in zip(ends, ends[1:])]
 
     def ids(self, text: str) -> bytes:
         found = self.tokenizer.encode(text, add_special_tokens=False).ids
