@@ -113,7 +113,7 @@ def seeds(docs: DataFrame, window: int) -> DataFrame:
                     if len(earlier) > HELD_RUNS:
                         earlier = {}
                     # Settled runs meet nothing, so they are dealt by their place.
-                    anchor = np.where(known, mixed(anchor + np.uint64(doc & _LOW) * _ODD), anchor)
+                    anchor = np.where(known, mixed(anchor + np.uint64(doc * int(_ODD) & _LOW)), anchor)
                     rows.append((anchor, doc, mark, start + first, runs, windows, known))
                     size += len(first)
                     if size > ROWS:
