@@ -99,36 +99,38 @@ def find_request(registry: DataFrame, requests: DataFrame) -> DataFrame:
     return registry.join(requests.select("request_id").distinct(), "request_id", "left_semi")
 
 
+def context(text: Column, marker: Column, chars: int = C.CANARY_CONTEXT_CHARS) -> Column:
+    """The marker with up to `chars` characters on either side."""
+    at = F.position(marker, text)
+    start = F.greatest(at - chars, F.lit(1))
+    stop = at + F.length(marker) + chars
+    return F.when(at > 0, F.substring(text, start, stop - start)).otherwise("")
+
+
 def mentions(responses: DataFrame, keys: list[str], text: str = "text",
              formats: tuple[str, ...] = SEARCHED, partial: bool = False) -> DataFrame:
-    """(keys, token, format, marker) of every marker-shaped string, one row per distinct one.
+    """(keys, token, format, marker, leaked_content) of every marker-shaped string, one row per
+    distinct one, with its surroundings cut out here: the text goes no further.
 
     With `partial`, bare 16-hex runs that are not part of a searched marker count too.
     """
     body = F.col(text)
 
+    def mention(token: Column, fmt: str, m: Column) -> Column:
+        return F.struct(token.alias("token"), F.lit(fmt).alias("format"), m.alias("marker"),
+                        context(body, m).alias("leaked_content"))
+
     def marked(fmt: str) -> Column:
         raw = F.regexp_extract_all(body, F.lit(_regex(fmt)), 0)
         digits = F.lit("(?<=[-: ])[0-9a-f]{8}(?:[0-9a-f]{8})?(?=[-\\] ])")
-        return F.transform(F.array_distinct(raw), lambda m: F.struct(
-            F.array_join(F.regexp_extract_all(m, digits, F.lit(0)), "").alias("token"),
-            F.lit(fmt).alias("format"), m.alias("marker")))
+        return F.transform(F.array_distinct(raw), lambda m: mention(
+            F.array_join(F.regexp_extract_all(m, digits, F.lit(0)), ""), fmt, m))
 
     found = [marked(fmt) for fmt in formats]
     if partial:
         bare = F.array_distinct(F.regexp_extract_all(body, F.lit(_HEX16), F.lit(0)))
-        found.append(F.transform(bare, lambda m: F.struct(
-            m.alias("token"), F.lit("partial").alias("format"), m.alias("marker"))))
-    return responses.select(*keys, text, F.inline(F.concat(*found))).select(
-        *keys, text, "token", "format", "marker")
-
-
-def context(text: Column, marker: Column, chars: int = C.CANARY_CONTEXT_CHARS) -> Column:
-    """The marker with up to `chars` characters on either side."""
-    at = F.position(marker, text)
-    start = F.greatest(at - chars, F.lit(1))
-    stop = at + F.length(marker) + chars
-    return F.when(at > 0, F.substring(text, start, stop - start)).otherwise("")
+        found.append(F.transform(bare, lambda m: mention(m, "partial", m)))
+    return responses.select(*keys, F.inline(F.concat(*found)))
 
 
 def detect_all(responses: DataFrame, registry: DataFrame, keys: list[str], at: str = "ts",
@@ -141,7 +143,6 @@ def detect_all(responses: DataFrame, registry: DataFrame, keys: list[str], at: s
     seen = mentions(responses.select(*keys, at, text), [*keys, at], text, formats, partial)
     joined = lookup(seen, registry, ["token"], keys)
     return (joined.filter(_alive(F.col(at)))
-            .withColumn("leaked_content", context(F.col(text), F.col("marker")))
             .withColumn("severity", F.when(F.col("format") == "partial", "warning")
                         .otherwise("critical"))
             .select(*keys, at, "token", "request_id", "injected_at", "format", "severity",

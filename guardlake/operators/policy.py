@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from guardlake import catalog as C
 from guardlake.functions.common import let, max_or
+from guardlake.operators.skew import lookup
 
 RULE = ("struct<rule_id:string,regulation:string,category:string,description:string,"
         "trigger_condition:string,severity:string>")
@@ -146,6 +148,82 @@ def _apply_rule_table(detections: DataFrame, rules: DataFrame) -> DataFrame:
             .drop("__c", "__k", "__rank", "__names"))
 
 
+CONFIDENCE_SLOTS = 1024
+
+
+def _slot(confidence: Column) -> Column:
+    """A number that does not decrease with the confidence; NaN is above all."""
+    within = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)) * CONFIDENCE_SLOTS
+    return F.when(F.isnan(confidence), CONFIDENCE_SLOTS + 1).otherwise(F.floor(within).cast("int"))
+
+
+def guardrail_steps(rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """(kind, confidence, rank, n): strongest action and number of the `rules` (kind, least,
+    rank, n) whose least confidence is at or below each asked (kind, confidence).
+
+    A kind's rules are a step function of confidence, looked up by one union and running
+    windows, so rules and confidences never meet in pairs.  Windows run within 1/1024 of the
+    confidences of a kind; what lies below comes as one row for each, so a kind that owns all
+    rules is worked on by many tasks.
+    """
+    steps = (rules.filter("least is not null").groupBy("kind", F.col("least").alias("confidence"))
+             .agg(F.max("rank").alias("rank"), F.sum("n").alias("n"))
+             .withColumn("slot", _slot(F.col("confidence"))))
+    below = Window.partitionBy("kind").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    heads = (asked.select("kind", _slot(F.col("confidence")).alias("slot")).distinct()
+             .withColumn("n", F.lit(0).cast("long")).withColumn("rank", F.lit(None).cast("int"))
+             .unionByName(steps.select("kind", "slot", "n", "rank"))
+             .groupBy("kind", "slot").agg(F.max("rank").alias("rank"), F.sum("n").alias("n"))
+             .select("kind", "slot", F.max("rank").over(below).alias("rank"),
+                     F.sum("n").over(below).alias("n")))
+    rows = (steps.withColumn("place", F.lit(1))
+            .unionByName(heads.withColumn("place", F.lit(0)), allowMissingColumns=True)
+            .unionByName(asked.withColumn("slot", _slot(F.col("confidence")))
+                         .withColumn("place", F.lit(2)), allowMissingColumns=True))
+    along = (Window.partitionBy("kind", "slot")
+             .orderBy(F.col("place") > 0, "confidence", "place")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (rows.select("kind", "confidence", "place", F.max("rank").over(along).alias("rank"),
+                        F.sum("n").over(along).alias("n"))
+            .filter("place = 2").drop("place"))
+
+
+def guardrail_actions(detections: DataFrame, rules: DataFrame,
+                      channel: str | None = None) -> DataFrame:
+    """Add `action` (strongest of the matching rules of a table) and `n_guardrails` (how many
+    match).
+
+    For large tables of rules: names, which would be as many as the pairs of detections and
+    rules, are not listed (`apply_guardrails` does).  Detections without a confidence match
+    nothing; those without a category match the rules for any.
+    """
+    def kind(category: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("="), category), F.lit("*"))
+
+    rank = F.array_position(F.array(*[F.lit(a) for a in C.ACTIONS]), F.col("action"))
+    named = F.transform(F.array_distinct("categories"), kind)
+    active = applicable(rules, channel).select(
+        F.explode(F.when(F.size("categories") == 0, F.array(F.lit("*"))).otherwise(named))
+        .alias("kind"), F.col("confidence").cast("double").alias("least"),
+        rank.cast("int").alias("rank"), F.lit(1).cast("long").alias("n"))
+    # -0.0 and 0.0 are one confidence.
+    of, at = "__of", "__at"
+    found = detections.withColumn(of, kind(F.col("category"))).withColumn(
+        at, F.col("confidence").cast("double") + F.lit(0.0))
+    pairs = found.filter(F.col(at).isNotNull()).select(of, at).distinct()
+    asked = pairs.select(of, F.explode(F.array_distinct(F.array(F.col(of), F.lit("*"))))
+                         .alias("kind"), F.col(at).alias("confidence"))
+    met = guardrail_steps(active, asked.select("kind", "confidence").distinct())
+    totals = (asked.join(met, ["kind", "confidence"]).groupBy(of, F.col("confidence").alias(at))
+              .agg(F.max("rank").alias("__rank"), F.sum("n").alias("__n")))
+    rows = [f.name for f in detections.schema.fields if isinstance(f.dataType, AtomicType)]
+    actions = F.array(*[F.lit(a) for a in C.ACTIONS])
+    return (lookup(found, totals, [of, at], rows, "left")
+            .withColumn("action", F.element_at(actions, F.coalesce("__rank", F.lit(1))))
+            .withColumn("n_guardrails", F.coalesce("__n", F.lit(0)).cast("long"))
+            .drop(of, at, "__rank", "__n"))
+
+
 def apply_guardrails(detections: DataFrame, rules=C.GUARDRAILS,
                      channel: str | None = None) -> DataFrame:
     """Add `action` (strongest of the matching rules) and `guardrails` (their names).

@@ -14,7 +14,9 @@ from guardlake.functions.common import fenced
 from guardlake.functions.decode import with_decoded
 from guardlake.operators.skew import lookup
 from guardlake.operators.verdict import conclude
+from guardlake.session import stored
 
+FIRST_ROUND = 8
 CHUNK_COLUMNS = ("batch_id", "pos", "chunk_id", "content", "metadata", "source", "score")
 
 
@@ -107,14 +109,47 @@ def quick_scan(texts: DataFrame, key: str, text: str = "text", **options) -> Dat
         "safe", F.col("status") == "allowed").drop("content")
 
 
+def _stops(scanned: DataFrame) -> DataFrame:
+    return (scanned.filter("status = 'blocked'").groupBy("batch_id")
+            .agg(F.min("pos").alias("__stop")))
+
+
+def scan_until_blocked(chunks: DataFrame, *, first: int = FIRST_ROUND,
+                       scanned: list[int] | None = None, **options) -> DataFrame:
+    """Scan each batch up to and including its first blocked chunk, and little beyond it.
+
+    Rounds take positions below `first`, then below twice as many, and so on; batches that are
+    blocked leave before a round, so no batch has more than about twice as many positions
+    scanned as it needed.  Chunks without a position are in the last round.  Rounds are stored, with the
+    number of chunks of each added to `scanned`; `chunks` is read once per round, and rounds
+    grow with the logarithm of the largest position.  `options` are those of `scan_chunks`.
+    """
+    pos, last, high = F.col("pos"), chunks.agg(F.max("pos")).head()[0], first
+    rounds = [pos < first]
+    while last is not None and high <= last:
+        rounds.append((pos >= high) & (pos < 2 * high))
+        high *= 2
+    rounds[-1] = rounds[-1] | pos.isNull()
+    done = None
+    for span in rounds:
+        open_chunks = chunks.filter(span)
+        if done is not None:
+            open_chunks = lookup(open_chunks, _stops(done), ["batch_id"], ["pos", "chunk_id"],
+                                 "left_anti")
+        part = stored(scan_chunks(open_chunks, **options), "scanned")
+        if scanned is not None:
+            scanned.append(part.count())
+        done = part if done is None else done.unionByName(part)
+    return fail_fast(done)
+
+
 def fail_fast(scanned: DataFrame) -> DataFrame:
     """Keep each batch up to and including its first blocked chunk.
 
     The position comes from a map-side combined minimum, so a large batch is not gathered.
     `scanned` is read twice: pass a stored table (`session.stored`), not a pending scan.
     """
-    stops = (scanned.filter("status = 'blocked'").groupBy("batch_id")
-             .agg(F.min("pos").alias("__stop")))
+    stops = _stops(scanned)
     joined = lookup(scanned, stops, ["batch_id"], ["pos"], "left")
     return joined.filter(F.col("__stop").isNull() | (F.col("pos") <= F.col("__stop"))
                          ).drop("__stop")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
-from guardlake.functions.common import compact
 from guardlake.operators.skew import ranked
 
 SLICES = 600
@@ -42,39 +43,99 @@ def rate_limit(events: DataFrame, key: str, *, limit=C.RATE_PER_KEY,
     return df.select("*", *decision(F.col("current"), epoch, limit, window, burst))
 
 
+def time_bounds(events: DataFrame, ts: str, slots: int) -> list[int]:
+    """Microseconds that cut the events into up to `slots` spans of about equal size."""
+    shares = [k / slots for k in range(1, slots)]
+    if not shares:
+        return []
+    cuts = events.select(F.percentile_approx(F.unix_micros(ts), shares, 100 * slots)).head()[0]
+    return sorted(set(cuts or []))
+
+
+def slot_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at or below a value, by two short searches."""
+    def at_most(numbers: Column) -> Column:
+        return F.size(F.filter(numbers, lambda b: b <= value))
+
+    def longs(numbers: list[int]) -> Column:
+        return F.array(*[F.lit(n).cast("long") for n in numbers])
+
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    blocks = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+    head = at_most(longs([b[0] for b in blocks]))
+    inside = F.get(F.array(*[longs(b) for b in blocks]), head - 1)
+    return F.when(head == 0, 0).otherwise((head - 1) * step + at_most(inside))
+
+
+def running_counts(events: DataFrame, tiers: dict[str, Column], ts: str, order: str,
+                   window: int, slots: int | None = None) -> DataFrame:
+    """Add `window_id` and, for each tier, a column with the running number of the event among
+    those of its key and window; a null key has none.
+
+    Events are exchanged once, by spans of time of about equal size (`slots` of them, by default
+    two per shuffle partition), and are numbered within a span for all tiers.
+    Only windows that a bound cuts need more: their events are counted per span, tier and key,
+    which combines map-side, and the sums of the spans before come along as one row per key, so
+    events are neither repeated per tier nor joined.  `events` is read three times, twice for
+    the times or the cut windows only.  Events without a time are left out.
+    """
+    slots = slots or 2 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = time_bounds(events, ts, slots)
+    width, at, slot, first = window * 1_000_000, "__at", "__slot", "__first"
+    keys, steps = {t: f"__key_{t}" for t in tiers}, {t: f"__step_{t}" for t in tiers}
+    rows = (events.filter(F.col(ts).isNotNull()).withColumn(at, F.unix_micros(ts))
+            .withColumn("window_id", F.floor(F.col(at) / width).cast("long"))
+            .withColumn(slot, slot_of(F.col(at), bounds)))
+    for tier, key in tiers.items():
+        rows = (rows.withColumn(keys[tier], key.cast("string"))
+                .withColumn(steps[tier], F.lit(1).cast("long")))
+    cut = sorted({b // width for b in bounds})
+    kinds = F.array(*[F.struct(F.lit(t).alias("tier"), F.col(k).alias("key"))
+                      for t, k in keys.items()])
+    sums = (rows.filter(F.col("window_id").isin(cut)).select(slot, "window_id", F.inline(kinds))
+            .filter(F.col("key").isNotNull()).groupBy(slot, "window_id", "tier", "key")
+            .agg(F.count(F.lit(1)).alias("n")))
+    before = Window.partitionBy("window_id", "tier", "key").orderBy(slot).rowsBetween(
+        Window.unboundedPreceding, -1)
+    heads = sums.withColumn("n", F.sum("n").over(before)).filter("n > 0").select(
+        F.lit(True).alias(first), slot, "window_id",
+        *[F.when(F.col("tier") == t, F.col("key")).alias(k) for t, k in keys.items()],
+        *[F.when(F.col("tier") == t, F.col("n")).alias(s) for t, s in steps.items()])
+    both = rows.withColumn(first, F.lit(False)).unionByName(
+        heads, allowMissingColumns=True).repartition(slot)
+    # Any grouping that holds the slot is already in place.
+    for tier in tiers:
+        along = (Window.partitionBy(slot, "window_id", keys[tier])
+                 .orderBy(F.desc(first), at, order)
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        both = both.withColumn(tier, F.when(F.col(keys[tier]).isNotNull(),
+                                            F.sum(steps[tier]).over(along)))
+    return both.filter(~F.col(first)).drop(at, slot, first, *keys.values(), *steps.values())
+
+
 def check_tiers(events: DataFrame, *, ip: str = "client_ip", api_key: str = "api_key_id",
                 global_limit: int = C.RATE_GLOBAL, ip_limit: int = C.RATE_PER_IP,
                 key_limit: int = C.RATE_PER_KEY, window: int = C.RATE_WINDOW_SECONDS,
-                burst: int = C.RATE_BURST, ts: str = "ts", order: str = "event_id") -> DataFrame:
+                burst: int = C.RATE_BURST, ts: str = "ts", order: str = "event_id",
+                slots: int | None = None) -> DataFrame:
     """(event, ts, allowed, exceeded, retry_after_seconds): all tiers count every event, and
-    all must allow it.  Events without an API key skip that tier; `global_limit` 0 turns the
-    global tier off."""
-    tiers = []
+    all must allow it.  Events without an address or an API key skip that tier; `global_limit`
+    0 turns the global tier off.  Events without a time are left out."""
+    given = F.when(F.col(api_key).cast("string") != "", F.col(api_key))
+    tiers = {"__ip": (F.col(ip), ip_limit), "__user": (given, key_limit)}
     if global_limit > 0:
-        tiers.append(F.struct(F.lit(0).alias("tier"), F.lit("global").alias("id"),
-                              F.lit(global_limit).alias("cap")))
-    tiers.append(F.struct(F.lit(1).alias("tier"), F.concat(F.lit("ip:"), F.col(ip)).alias("id"),
-                          F.lit(ip_limit).alias("cap")))
-    tiers.append(F.when(F.coalesce(F.col(api_key), F.lit("")) != "", F.struct(
-        F.lit(2).alias("tier"), F.concat(F.lit("user:"), F.col(api_key)).alias("id"),
-        F.lit(key_limit).alias("cap"))))
-    row = "__row"  # events may repeat their id and time
-    rows = events.select(F.monotonically_increasing_id().alias(row), order, ts,
-                         compact(tiers).alias("tiers"))
-    rows = rows.select(row, order, ts, F.inline("tiers"))
-    rows = counted(rows, ["tier", "id"], ts, order, window)
-    allowed, _, reset = decision(F.col("current"), F.unix_seconds(ts), F.col("cap"), window,
-                                 burst)
-    rows = rows.select(row, order, ts, "tier", allowed, reset)
-    over = F.array_sort(F.collect_list(F.when(~F.col("allowed"), F.col("tier"))))
-    names = F.array(F.lit("global"), F.lit("ip"), F.lit("user"))
-    return (rows.groupBy(row, order, ts).agg(
-                F.bool_and("allowed").alias("allowed"), over.alias("over"),
-                F.max(F.when(F.col("tier") == 1, F.col("reset_after_seconds")))
-                .alias("ip_reset"))
-            .select(order, ts, "allowed",
-                    F.transform("over", lambda t: F.element_at(names, t + 1)).alias("exceeded"),
-                    F.when(~F.col("allowed"), F.col("ip_reset")).alias("retry_after_seconds")))
+        tiers = {"__global": (F.lit("all"), global_limit), **tiers}
+    rows = running_counts(events.select(order, ts, ip, api_key), {
+        t: key for t, (key, _) in tiers.items()}, ts, order, window, slots)
+    over = F.array_compact(F.array(*[F.when(F.col(t) > limit + burst, t.strip("_"))
+                                     for t, (_, limit) in tiers.items()]))
+    reset_after = F.lit(window) - F.pmod(F.unix_seconds(ts), F.lit(window))
+    return (rows.withColumn("exceeded", over).withColumn("allowed", F.size("exceeded") == 0)
+            .select(order, ts, "allowed", "exceeded", F.when(
+                ~F.col("allowed") & F.col("__ip").isNotNull(), reset_after)
+                .alias("retry_after_seconds")))
 
 
 def violation_windows(events: DataFrame, key: str, *, limit: int = C.RATE_PER_KEY,

@@ -13,6 +13,7 @@ from guardlake.functions import semantic as S
 from guardlake.functions import verdict as V
 from guardlake.functions.common import fenced
 from guardlake.operators import requests as Q
+from guardlake.operators.content import once_per_content
 from guardlake.operators.indirect import decode_texts, request_threats
 
 _TEMP = ("__text", "__tools", "__contents", "__deobs", "__deob", "__hits", "__found", "__ctx",
@@ -131,6 +132,18 @@ def analyze_requests(requests: DataFrame, *, decode: bool = True, leet: str = "p
     return df.drop("validation", "stats")
 
 
+def analyze_distinct(requests: DataFrame, *, history: str | None = None, **options) -> DataFrame:
+    """What `analyze_requests` gives, with requests of equal content judged once.
+
+    Content is all that a verdict depends on: model, messages, sums for validation and history.
+    The messages and the history are left out of the result.  Worth its shuffle where requests
+    repeat; where they don't, `analyze_requests` moves no text.
+    """
+    content = [c for c in ("model", "messages", "stats", history) if c in requests.columns]
+    return once_per_content(requests, content, lambda df: analyze_requests(
+        df, history=history, **options), VERDICT, keep=("model",)).drop("stats")
+
+
 def requests_from_texts(texts: DataFrame, key: str, text: str = "text",
                         model: str = "analyze-only") -> DataFrame:
     """Single-message user requests, one per text."""

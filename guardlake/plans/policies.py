@@ -100,6 +100,32 @@ def loaded_guardrails(t: Tables) -> DataFrame:
         "doc_id", "name", "action", F.size("guardrails").alias("n_rules"))
 
 
+# A rule per document and a detection per event, nearly all with a confidence of their own.
+_MANY_RULES = """select cast(doc_id as varchar(20)) as name,
+  case doc_id % 3 when 0 then 'allow' when 1 then 'log' else 'block' end as action,
+  (doc_id * 7919 % 100003) / 100003e0 as confidence,
+  case when doc_id % 5 = 0 then 'error' when doc_id % 5 = 1 then 'purchase' end as category,
+  doc_id % 11 <> 0 as enabled from {documents}"""
+_MANY_FOUND = """select event_id, event_type as category,
+  (event_id * 104729 % 1000003) / 1000003e0 as confidence from {events}"""
+
+
+@query("k4_many_guardrails", f"""
+select event_id, case max(case r.action when 'block' then 3 when 'log' then 2 else 1 end) when 3 then 'block'
+  when 2 then 'log' else 'allow' end as action, count(r.action)::bigint as n_guardrails
+from ({for_check(_MANY_FOUND)}) d left join (select * from ({for_check(_MANY_RULES)}) where enabled) r
+  on coalesce(r.category, d.category) = d.category and d.confidence >= r.confidence
+group by event_id""")
+def many_guardrails(t: Tables) -> DataFrame:
+    """As many rules as documents, looked up as step functions of confidence."""
+    none = F.array().cast("array<string>")
+    rules = t.sql(_MANY_RULES).select(
+        "name", "action", "confidence", F.when(F.col("category").isNull(), none).otherwise(
+            F.array("category")).alias("categories"), none.alias("channels"), "enabled")
+    return P.guardrail_actions(t.sql(_MANY_FOUND), rules).select(
+        "event_id", "action", "n_guardrails")
+
+
 @query("p10_applicable_rules", f"""
 with r as (select rule_id as name, severity <> 'LOW' as enabled,
   case when chunk % 2 = 0 then '' when chunk % 3 = 0 then 'chat' else 'upload' end as channel from {_RULES})

@@ -12,7 +12,7 @@ from guardlake.operators import audit, scan
 from guardlake.operators import requests as Q
 from guardlake.operators.context import with_history
 from guardlake.operators.ratelimit import check_tiers
-from guardlake.operators.verdict import analyze_requests, requests_from_texts
+from guardlake.operators.verdict import analyze_distinct, analyze_requests, requests_from_texts
 from guardlake.plans import checks as K
 from guardlake.plans.decoding_sql import peeled
 from guardlake.plans import limits
@@ -252,6 +252,20 @@ query("v8_full_verdict_texts", verdict_sql(_DOC_MESSAGES, _DOC_STATS, decode=Tru
     lambda t: _flat(analyze_requests(_documents(t), semantic=True)))
 
 
+COPIES = 10
+
+
+@query("v8_full_verdict_copies", f"""
+select concat(v.request_id, '-', copy) as request_id, v.* exclude (request_id)
+from ({verdict_sql(_DOC_MESSAGES, _DOC_STATS, decode=True)}) v, range({COPIES}) r(copy)""")
+def full_verdict_copies(t: Tables) -> DataFrame:
+    """Every document ten times; each content is decoded and judged once."""
+    docs = t.attack_docs().select("doc_id", "text", F.explode(F.sequence(
+        F.lit(0), F.lit(COPIES - 1))).alias("copy")).withColumn(
+        "doc_id", F.concat_ws("-", "doc_id", "copy"))
+    return _flat(analyze_distinct(requests_from_texts(docs, "doc_id"), semantic=True))
+
+
 @query("v1_invalid_requests", f"""
 select request_id, 'blocked' as status, 1e0 as confidence, 'invalid_input' as name, e as details
 from (select request_id, {_errors(C.MAX_MESSAGES, C.MAX_CHARS)} as e from {_STATS}) where e <> ''""")

@@ -11,7 +11,7 @@ from guardlake.plans import checks as K
 from guardlake.plans.decoding_sql import peeled
 from guardlake.plans.inputs import Tables
 from guardlake.plans.registry import query
-from guardlake.session import new_folder, stored
+from guardlake.session import new_folder
 from guardlake.sources.readers import CHUNK, read_chunks
 
 
@@ -161,8 +161,7 @@ with s as (select *, {_STATUS} as st from {_SCANNED}),
 b as (select batch_id, min(pos) as stop from s where st = 'blocked' group by batch_id)
 select s.batch_id, s.pos, s.st as status from s left join b on s.batch_id = b.batch_id
 where stop is null or s.pos <= stop""")(
-    lambda t: rag.fail_fast(stored(rag.scan_chunks(t.chunks(), decode=False), "scanned")).select(
-        "batch_id", "pos", "status"))
+    lambda t: rag.scan_until_blocked(t.chunks(), decode=False).select("batch_id", "pos", "status"))
 
 query("g4_batch_summary_without_decoding", f"""
 select batch_id, count(*)::bigint as chunks_scanned,
@@ -200,8 +199,8 @@ with s as materialized (select * from {_SEEN}),
 b as (select batch_id, min(pos) as stop from s where status = 'blocked' group by batch_id)
 select s.batch_id, s.pos, status from s left join b on s.batch_id = b.batch_id
 where stop is null or s.pos <= stop""")(
-    lambda t: rag.fail_fast(stored(rag.scan_chunks(t.chunks(), redact_blocked=False), "scanned"))
-    .select("batch_id", "pos", "status"))
+    lambda t: rag.scan_until_blocked(t.chunks(), redact_blocked=False).select(
+        "batch_id", "pos", "status"))
 
 query("g4_batch_summary", f"""
 select batch_id, count(*)::bigint as chunks_scanned,
