@@ -7,13 +7,16 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardlake import catalog as C
 from guardlake.functions import redact as R
-from guardlake.streaming.redactor import Pieces, for_streams
+from guardlake.session import stored
+from guardlake.streaming.redactor import BODY, TAIL, Block, Pieces, for_streams
+
+BLOCK_PIECES = 4096
 
 OUT = ("stream_id string, seq long, safe string, categories array<string>, done boolean, "
        "gap boolean")
@@ -150,36 +153,92 @@ def stream_summary(pieces: DataFrame) -> DataFrame:
         .alias("categories_detected"))
 
 
+def _part(block: int, kind: int, number: int) -> int:
+    return (block << 24) + (kind << 22) + number
+
+
 def redact_finished(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
-                    window: int = C.STREAM_WINDOW_CHARS,
-                    match_words: int | None = None) -> DataFrame:
+                    window: int = C.STREAM_WINDOW_CHARS, match_words: int | None = None,
+                    block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """(stream_id, part, redacted) of finished streams.
 
-    Streams of any length pass in sequence order through the redactor, which holds only its buffer;
-    the pieces of a stream that come in one batch are joined first.  The parts of a stream, joined
-    in order, are its redacted text.  Pieces without stream_id are one stream.
+    The parts of a stream, joined in order, are its redacted text.  Pieces without stream_id are
+    one stream, pieces without seq come first.
+
+    A stream is cut by `seq` into blocks of `block_pieces`, which tasks work on side by side.  A
+    block finds a first place of its own that no match reaches across, redacts from there on and
+    leaves the text before it, and what it holds back at its end, raw (stored, with the rest).
+    Each held end is then redacted with the beginnings that follow it, up to the next such place.
+    Where matches stand so close that blocks have none, these blocks are one text, which passes
+    through one task in order.  Tasks hold one buffer, not a block.  Only one narrow row per block
+    meets the others of its stream in one task, to find the place before it.
     """
     redactor = for_streams(rules.rules, match_words)
-    columns = ["stream_id", "part", "redacted"]
+    stream, block = F.col("stream_id").cast("string"), F.floor(F.col("seq") / block_pieces)
+    rows = chunks.select(
+        F.coalesce(F.concat(F.lit("="), stream), F.lit("")).alias("key"),
+        F.greatest(F.coalesce(block, F.lit(0)), F.lit(0)).cast("long").alias("block"),
+        "seq", "delta")
+    shape = "key string, block long, kind int, number long, said string"
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, work, number = None, None, 0
+
+        def numbered(found: list) -> list:
+            nonlocal number
+            out = [(*current, kind, number + i, said) for i, (kind, said) in enumerate(found)]
+            number += len(out)
+            return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for at, group in groupby(zip(batch["key"], batch["block"], batch["delta"]),
+                                     lambda row: row[:2]):
+                if at != current:
+                    out += numbered(work.end()) if work else []
+                    # The block 0 of a stream begins where the stream begins.
+                    current, work, number = at, Block(redactor, window, at[1] == 0), 0
+                out += numbered(work.push("".join(delta or "" for *_, delta in group)))
+            yield pd.DataFrame(out, columns=["key", "block", "kind", "number", "said"])
+        if work:
+            yield pd.DataFrame(numbered(work.end()),
+                               columns=["key", "block", "kind", "number", "said"])
+
+    done = stored(rows.repartition("key", "block").sortWithinPartitions("key", "block", "seq")
+                  .mapInPandas(blocks, shape), "stream-blocks")
+    ends = done.filter(F.col("kind") != BODY)
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    cuts = (ends.groupBy("key", "block").agg(F.max("kind").alias("most"))
+            .select("key", "block", F.last(F.when(F.col("most") == TAIL, F.col("block")),
+                                           ignorenulls=True).over(before).alias("last")))
+    seams = ends.join(cuts, ["key", "block"]).withColumn("chain", F.when(
+        F.col("kind") == TAIL, F.col("block")).otherwise(F.coalesce("last", F.lit(-1))))
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, pieces, part = None, None, 0
         for batch in batches:
             out = []
-            for stream, rows in groupby(zip(batch["stream_id"], batch["delta"]),
-                                        lambda row: row[0]):
-                if pieces is None or stream != current:
+            for key, chain, at, kind, number, said in zip(*(batch[c] for c in (
+                    "key", "chain", "block", "kind", "number", "said"))):
+                if (key, chain) != current:
                     if pieces is not None:
-                        out.append((current, part, pieces.flush()[0]))
-                    current, pieces, part = stream, Pieces(redactor, window), 0
-                text, _ = pieces.push("".join(delta or "" for _, delta in rows))
-                if text:
-                    out.append((stream, part, text))
-                    part += 1
-            yield pd.DataFrame(out, columns=columns)
+                        out.append((current[0], part + 1, pieces.flush()[0]))
+                    current, pieces = (key, chain), Pieces(redactor, window)
+                part = _part(at, kind, number)
+                out.append((key, part, pieces.push(said)[0]))
+            yield pd.DataFrame(out, columns=["key", "part", "redacted"])
         if pieces is not None:
-            yield pd.DataFrame([(current, part, pieces.flush()[0])], columns=columns)
-
-    return (chunks.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", "delta")
-            .repartition("stream_id").sortWithinPartitions("stream_id", "seq")
-            .mapInPandas(run, "stream_id string, part long, redacted string"))
+            yield pd.DataFrame([(current[0], part + 1, pieces.flush()[0])],
+                               columns=["key", "part", "redacted"])
+
+    order = ["key", "chain", "block", "number"]
+    rest = (seams.select(*order, "kind", "said").repartition("key", "chain")
+            .sortWithinPartitions(*order)
+            .mapInPandas(joined, "key string, part long, redacted string"))
+    part = F.shiftleft("block", 24) + F.lit(BODY << 22) + F.col("number")
+    bodies = done.filter(F.col("kind") == BODY).select("key", part.alias("part"),
+                                                       F.col("said").alias("redacted"))
+    return bodies.unionByName(rest).select(
+        F.when(F.col("key") != "", F.expr("substring(key, 2)")).alias("stream_id"), "part",
+        "redacted")

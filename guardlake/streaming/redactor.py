@@ -68,6 +68,27 @@ class Redactor:
         return [rule.category for rule, regex in self.possible(text)
                 for _ in regex.finditer(text)]
 
+    def clean(self, text: str) -> bool:
+        """No rule matches anywhere in the text."""
+        return not any(regex.search(text) for _, regex in self.possible(text))
+
+    def clean_cut(self, text: str) -> tuple[int | None, int]:
+        """(start of a word that no match can reach across, None if there is none; up to where
+        the text has been tried).
+
+        As many words as are held back have to be free of matches on either side; then what
+        stands further away decides nothing, wherever the scan of the rules began.  The first
+        and the last word may be parts of words and are left out.
+        """
+        words, held = list(_WORD.finditer(text))[1:-1], self.held_words
+        at = held
+        while at + held <= len(words):
+            low, cut, high = words[at - held].start(), words[at].start(), words[at + held - 1].end()
+            if all(self.clean(text[a:b]) for a, b in ((low, high), (low, cut), (cut, high))):
+                return cut, cut
+            at += held
+        return None, words[at - held].start() if at > held else 0
+
     def release(self, buffer: str, window: int) -> tuple[str, str, str]:
         """(text that can go out, the same redacted, text to hold back as it is)."""
         if len(buffer) <= window:
@@ -145,3 +166,38 @@ class Pieces:
     def flush(self) -> tuple[str, list[str]]:
         rest, self.buffer = self.buffer, ""
         return self.redactor.redact(rest), self.redactor.found(rest)
+
+
+HEAD, BODY, TAIL = 0, 1, 2
+
+
+class Block:
+    """A stretch of a stream, redacted without what stands before and after it.
+
+    Gives (kind, text): HEAD is raw text up to the first clean cut, BODY redacted text from there
+    on, TAIL the raw rest that was held back.  A block without a clean cut is all HEAD.  Tails and
+    the heads that follow them, up to the next cut, are redacted as one text of their own.
+    """
+
+    def __init__(self, redactor: Redactor, window: int, starts: bool):
+        self.redactor, self.window, self.head = redactor, window, ""
+        self.body = Pieces(redactor, window) if starts else None
+
+    def push(self, text: str) -> list[tuple[int, str]]:
+        out = []
+        if self.body is None:
+            text = self.head + text
+            cut, tried = self.redactor.clean_cut(text)
+            if cut is not None:
+                self.body = Pieces(self.redactor, self.window)
+            at = tried if cut is None else cut
+            out.append((HEAD, text[:at]))
+            text = text[at:]
+            if cut is None:
+                self.head, text = text, ""
+        if self.body is not None:
+            out.append((BODY, self.body.push(text)[0]))
+        return [(kind, said) for kind, said in out if said]
+
+    def end(self) -> list[tuple[int, str]]:
+        return [(HEAD, self.head)] if self.body is None else [(TAIL, self.body.buffer)]

@@ -100,6 +100,43 @@ def test_finished_streams_long_and_short(spark):
         assert "".join(mine.redacted) == redact(text, C.RULES)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_a_block_knows_where_matches_cannot_reach(seed):
+    rng = random.Random(seed)
+    share = rng.choice([0.0, 0.01, 0.05, 0.3])
+    text = " ".join(rng.choice(SECRETS) if rng.random() < share else rng.choice(WORDS)
+                    for _ in range(rng.randint(0, 900)))
+    text += " 555 555 5555" * rng.choice([0, 40])
+    redactor = Redactor(C.RULES)
+    cut, tried = redactor.clean_cut(text)
+    if cut is None:
+        assert 0 <= tried <= len(text)
+    else:
+        assert redactor.redact(text[:cut]) + redactor.redact(text[cut:]) == redactor.redact(text)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.4])
+def test_blocks_of_long_streams_join_to_the_redaction_of_the_whole(spark, share):
+    rng = random.Random(int(share * 100))
+    texts = {f"s{i}": " ".join(rng.choice(SECRETS) if rng.random() < share else rng.choice(WORDS)
+                               for _ in range(n)) for i, n in enumerate((0, 30, 700, 3000))}
+    texts["dense"] = "call " + "555 555 5555 " * 400 + "end " + "word " * 300
+    texts[None] = "no name " * 200 + "jane@example.com" + " then" * 200
+    rows = [(k, at // 11 + (1000 if k == "s3" else 0), v[at:at + 11]) for k, v in texts.items()
+            for at in range(0, max(1, len(v)), 11)]
+    rows += [("s1", None, "first "), ("s1", -3, None)]
+    texts["s1"] = "first " + texts["s1"]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "stream_id string, seq long, delta string")
+    for pieces in (16, 64, 100_000):
+        got = redaction.redact_finished(df, block_pieces=pieces).collect()
+        assert len({(r.stream_id, r.part) for r in got}) == len(got)
+        for key, text in texts.items():
+            mine = sorted((r.part, r.redacted) for r in got if r.stream_id == key)
+            assert "".join(said for _, said in mine) == redact(text, C.RULES), (key, pieces)
+    assert redaction.redact_finished(df.limit(0)).count() == 0
+
+
 def test_pieces_behind_a_gap_are_drained_in_order():
     pieces = Pieces(Redactor(C.RULES), 200)
     assert [at for at, _ in pieces.add(0, ("a", False))] == [0]
