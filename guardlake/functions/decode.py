@@ -14,6 +14,7 @@ import html
 import re
 import unicodedata
 import urllib.parse
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -195,20 +196,42 @@ _DECODED_ARROW = pa.struct([("decoded", pa.string()), ("layers", pa.int32()),
                             ("encodings", pa.list_(pa.string()))])
 
 
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
+
+
+def in_slices(batches: Iterator[pa.Array], work, shape: pa.DataType) -> Iterator[pa.Array]:
+    """`work` on few rows at a time: an Arrow batch has thousands, and every text of it as a Python
+    string, as an object and as a result would be in memory at once.
+
+    A slice ends at SLICE_ROWS rows or where an average row would take it past SLICE_BYTES, and is
+    halved while it holds more than that.
+    """
+    for batch in batches:
+        rows = max(1, min(SLICE_ROWS, SLICE_BYTES * len(batch) // max(1, batch.nbytes)))
+        todo = [batch.slice(at, rows) for at in range(0, len(batch), rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if len(part) > 1 and part.nbytes > SLICE_BYTES:
+                half = len(part) // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield pa.array(work(part.to_pylist()), shape)
+
+
 @functools.cache
 def _peel_udf(max_depth: int, many: bool):
-    if many:
-        def run(rows: pa.Array) -> pa.Array:
-            out = [None if row is None else [peel(t or "", max_depth) for t in row]
-                   for row in rows.to_pylist()]
-            return pa.array(out, pa.list_(_DECODED_ARROW))
+    def one(texts: list) -> list:
+        return [peel(t or "", max_depth) for t in texts]
+
+    def each(rows: list) -> list:
+        return [None if row is None else one(row) for row in rows]
 
-        return F.arrow_udf(run, f"array<{DECODED}>")
+    work, shape = (each, pa.list_(_DECODED_ARROW)) if many else (one, _DECODED_ARROW)
 
-    def run_one(texts: pa.Array) -> pa.Array:
-        return pa.array([peel(t or "", max_depth) for t in texts.to_pylist()], _DECODED_ARROW)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return in_slices(batches, work, shape)
 
-    return F.arrow_udf(run_one, DECODED)
+    return F.arrow_udf(run, f"array<{DECODED}>" if many else DECODED)
 
 
 def _whole(peeled: Column, text: Column, leet: str) -> Column:

@@ -7,6 +7,7 @@ import re
 import unicodedata
 from urllib.parse import unquote
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,3 +157,12 @@ def test_decoder_on_forms_and_references(spark, name, hide):
 def test_nested_inputs_hold_forms_of_unicode(spark):
     hidden = [r.hidden for r in nested(Tables(spark, "/root/testdata/sf0.001").attack_docs()).collect()]
     assert sum("unicode_normalisation" in plainly_peeled(x)[2] for x in hidden) > len(hidden) // 5
+
+
+@pytest.mark.parametrize("text, rows", [("ab", 5000), ("ａｂ" * 20_000, 30), ("", 3), ("", 0)])
+def test_a_batch_is_decoded_a_few_rows_at_a_time(text, rows):
+    texts = [text] * rows + ["ａ" * 2_000_000, None]
+    parts = list(D._peel_udf(C.MAX_DECODE_DEPTH, False).func(iter([pa.array(texts, pa.string())])))
+    assert pa.concat_arrays(parts).to_pylist() == [D.peel(t or "") for t in texts]
+    assert max(map(len, parts)) <= D.SLICE_ROWS
+    assert all(len(x) == 1 or x.nbytes <= 2 * D.SLICE_BYTES for x in parts)
