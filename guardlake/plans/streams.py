@@ -34,6 +34,18 @@ def _source(t: Tables, rows: DataFrame, name: str, files: int | None = None, *ke
     return path
 
 
+def _arriving(t: Tables, rows: DataFrame, name: str) -> str:
+    """Rows as files, as many as there are cores, each with the `seq` that follow those of the one before.
+
+    Streams run side by side, and of each the pieces come about in order, as from a provider.
+    Dealt at random, half of all pieces would wait in the state for those of a later micro-batch.
+    """
+    path = new_folder(t.spark, name)
+    files = t.spark.sparkContext.defaultParallelism
+    rows.repartitionByRange(files, "seq", F.xxhash64("stream_id")).write.parquet(path)
+    return path
+
+
 def _read_stream(t: Tables, path: str, per_trigger: int | None = None) -> DataFrame:
     """The files as a stream; a micro-batch takes half as many as there are cores."""
     per_trigger = per_trigger or max(1, t.spark.sparkContext.defaultParallelism // 2)
@@ -75,7 +87,7 @@ def response_stream(t: Tables) -> DataFrame:
 
 
 def _redacted(t: Tables) -> DataFrame:
-    path = _source(t, _pieces(t.attack_docs()), "pieces")
+    path = _arriving(t, _pieces(t.attack_docs()), "pieces")
     return _finish(t, R.redact_stream(stream_responses(t.spark, path)), "redacted")
 
 
@@ -133,7 +145,7 @@ from ({K.DOCS})""")(
 @query("w4_streaming_sse", _WHOLE)
 def streaming_sse(t: Tables) -> DataFrame:
     """Contents of the filtered lines, joined."""
-    path = _source(t, _sse(t.attack_docs()), "sse")
+    path = _arriving(t, _sse(t.attack_docs()), "sse")
     lines = _finish(t, R.redact_sse(_read_stream(t, path)), "sse-out")
     # A flushed remainder shares its row with the [DONE] line.
     each = lines.select("stream_id", "seq", F.posexplode(F.split("line", "\n\n(?=data: )"))

@@ -5,8 +5,10 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from guardlake import catalog as C
+from guardlake.plans import streams as S
 from guardlake.plans.streams import _finish, _read_stream, _source
 from guardlake.plans.inputs import Tables
 from guardlake.streaming import redaction
@@ -160,3 +162,13 @@ def test_rules_of_ones_own_need_a_bound():
         for at in range(0, len(text), step):
             out += pieces.push(text[at:at + step])[0]
         assert out + pieces.flush()[0] == redact(text, rules) != text
+
+
+def test_streams_arrive_in_the_order_of_their_pieces(spark):
+    rows = spark.range(4000).selectExpr("cast(id % 40 as string) as stream_id", "id div 40 as seq",
+                                        "'x' as delta")
+    path = S._arriving(Tables(spark, "/nowhere"), rows, "arriving")
+    spans = spark.read.parquet(path).groupBy(F.input_file_name()).agg(
+        F.min("seq").alias("a"), F.max("seq").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
+    assert sum(r.n for r in spans) == 4000 and len(spans) > 1
+    assert all(one.b <= two.a for one, two in zip(spans, spans[1:]))
