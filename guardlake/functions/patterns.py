@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
-from guardlake.functions.common import (ICASE_DOTALL, level_rank, max_or, rank_level,
-                                        sql_text)
+from guardlake.functions.common import (ICASE_DOTALL, UNICODE, level_rank, max_or,
+                                        rank_level, sql_text)
 from guardlake.functions.regex import ambiguous_repeat
 
 DETECTION = ("struct<category:string,name:string,threat_level:string,confidence:double,"
@@ -29,10 +29,15 @@ MATCHED_TEXT_CHARS = 200
 _FOLD_FROM, _FOLD_TO = "\u0130\u0131\u017f\u212a", "iisk"
 
 
+# `translate` looks every character up; four searches tell that it has nothing to do.
+_TO_FOLD = " OR ".join(f"contains(t, '{c}')" for c in _FOLD_FROM)
+_LOW = (f"lower(CASE WHEN octet_length(t) > length(t) AND ({_TO_FOLD}) "
+        f"THEN translate(t, '{_FOLD_FROM}', '{_FOLD_TO}') ELSE t END)")
+
+
 def folded(text: Column) -> Column:
     """Lower-case text in which ASCII words can be searched as plain substrings."""
-    is_ascii = F.octet_length(text) == F.length(text)
-    return F.lower(F.when(is_ascii, text).otherwise(F.translate(text, _FOLD_FROM, _FOLD_TO)))
+    return F.call_function("transform", F.array(text), F.expr(f"t -> {_LOW}"))[0]
 
 
 def _has(*words: str) -> str:
@@ -48,12 +53,14 @@ def _either(*parts: str) -> str:
 
 
 _NON_ASCII = "octet_length(low) > length(low)"
+# The n-th letters of 'ignore', 'system' and 'prompt' as sets: one attempt per place, not three.
+_SPLIT_WORDS = UNICODE + r"[isp]\s*[gyr]\s*[nso]\s*[otm]\s*[rep]\s*[emt]"
 
 # pattern name -> words without which the pattern cannot match, as a condition on `low`
 GATES: dict[str, str] = {
     "ignore_instructions": _both(
-        _has("instruction", "command", "prompt", "rule", "guideline", "directive"),
-        _has("ignore", "disregard", "forget", "override")),
+        _has("ignore", "disregard", "forget", "override"),
+        _has("instruction", "command", "prompt", "rule", "guideline", "directive")),
     "new_instructions": _has("instruction", "system", "directive"),
     "act_as": _either(_both(_has("you"), _has("are"), _has("now")), _both(_has("act"), _has("as")),
                       _has("pretend", "roleplay", "behave"), _both(_has("assume"), _has("role"))),
@@ -85,9 +92,10 @@ GATES: dict[str, str] = {
     "base64_payload": _has("base64", "b64", "decode", "encode"),
     "unicode_tricks": _NON_ASCII,
     "leetspeak_bypass": _has("1gn0r3", "pr0mpt", "1nstruct", "syst3m", "byp4ss", "h4ck", "3xpl01t"),
+    "char_split_evasion": f"low RLIKE {sql_text(_SPLIT_WORDS)}",
     "safety_disable": _both(
-        _has("safety", "security", "moderation", "filter", "guard", "restriction", "check"),
-        _has("disable", "turn", "remove", "bypass", "skip", "ignore")),
+        _has("disable", "turn", "remove", "bypass", "skip", "ignore"),
+        _has("safety", "security", "moderation", "filter", "guard", "restriction", "check")),
     "boundary_test": _either(
         _both(_has("what"), _has("limits", "boundaries", "restrictions", "rules")),
         _both(_has("can"), _has("you"), _has("anything", "evil", "malicious"))),
@@ -176,10 +184,8 @@ def _scan_sql(catalog: Catalog) -> str:
             f"'name', {sql_text(p.name)}, 'threat_level', {sql_text(p.level)}, "
             f"'confidence', {confidence(f'n[{i}]', 'length(t)')}, 'n_matches', n[{i}], "
             f"'matched_text', substring({first}, 1, {MATCHED_TEXT_CHARS})) END")
-    low = (f"lower(CASE WHEN octet_length(t) = length(t) THEN t "
-           f"ELSE translate(t, '{_FOLD_FROM}', '{_FOLD_TO}') END)")
     none = f"cast(array() as array<{DETECTION}>)"
-    return (f"t -> transform(array({low}), low -> transform(array(array({', '.join(counts)})), "
+    return (f"t -> transform(array({_LOW}), low -> transform(array(array({', '.join(counts)})), "
             f"n -> CASE WHEN exists(n, c -> c > 0) THEN array_compact(array({', '.join(hits)})) "
             f"ELSE {none} END)[0])[0]")
 

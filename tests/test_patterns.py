@@ -103,3 +103,16 @@ def test_many_verbs_stay_linear(texts):
     text = "select " * 20000
     row = scan.with_detections(texts([text])).select(F.size("detections").alias("n")).first()
     assert row.n == 0
+
+
+def test_every_pattern_has_a_gate_that_lets_its_matches_through(texts):
+    assert {p.name for p in C.PATTERNS} == set(P.GATES)
+    spaced = [gap.join(word) for word in ("ignore", "SYSTEM", "pRoMpT", "İGNORE", "ſyſtem")
+              for gap in ("", " ", "\n", " ", "  \t")]
+    got = hits_of(texts(spaced))
+    assert {i for i, name in got if name == "char_split_evasion"} == set(range(len(spaced)))
+
+
+def test_folding_is_for_four_letters(texts):
+    rows = texts(["İıſK", "Éa ſ", "ÉA", "Ab", "", None]).select(P.folded(F.col("text"))).collect()
+    assert [r[0] for r in rows] == ["iisk", "éa s", "éa", "ab", "", None]
