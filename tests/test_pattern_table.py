@@ -1,14 +1,17 @@
 """Patterns as tables, and what the syntax trees of regexes say."""
 
+import random
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from guardlake import catalog as C
 from guardlake.functions import patterns as P
 from guardlake.functions import regex as R
+from guardlake.operators import pattern_table as T
 from guardlake.operators import scan
 from guardlake.operators.pattern_table import pattern_table_hits
 from guardlake.plans.inputs import Tables
@@ -92,3 +95,61 @@ def test_no_nested_loops_in_the_plan(spark):
     plan = load_all()["d4_pattern_table"].build(Tables(spark, "/root/testdata/sf0.001"))
     plan = plan._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("regex, joints", [
+    (r"(?:^|[^a-z])That[^a-z]+tion", [("that", 0, "tion")]), (r"that\s+[a-z]+\s+tion", [("that", 1, "tion")]),
+    (r"(?:that|tion)s?,\s*thes", [(a, 0, "thes") for a in ("that", "thats", "tion", "tions")]),
+    (r"that\s*tion", []), (r"that[^a]tion", []), (r"that[\W]tion", []), (r"that (?:tion)?", []), (r"a bc", []),
+    (r"that[^a-z]tion|\d", []), (r"that .* then they", [("then", 0, "they")]), (r"that tion\p{L}", []),
+    (r"tha[a-z]* tion them", [("tion", 0, "them")]), (r"that[^a-z&&[b]]tion", []), (r"that[ſ]tion", [])])
+def test_joints(regex, joints):
+    assert R.joints(regex, 4, 5) == joints
+
+
+WORDS = ["abc", "xyz", " ", r"\s+", "[^a-z]+", "[^a-z]", "[a-z]+", "[a-z]*", "(?:abc|xyz)", "(?:abc |xyz)?", r"\d*",
+         r"(?:\s+x)+", "[ax]{2}", r"\b", "^", "s?", "[^x]", r"\W", r"\w+", "[ ,a]", r"[\s\d]{1,5}", "(?:^| )"]
+
+
+def joint_met(joints, text):
+    words = re.split("[^a-z]+", text.lower().translate(str.maketrans("ıſ", "is")))
+    return any(a.endswith(x) and b.startswith(y) for x, skipped, y in joints
+               for a, b in zip(words, words[1 + skipped:]))
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), min_size=1, max_size=7), st.text("abcxyz ,1\nASſé_", max_size=16))
+def test_matches_hold_a_joint(pieces, text):
+    regex = "".join(pieces)
+    joints = R.joints(regex, 4, 2)
+    if joints and re.search(regex, text, re.I | re.S):
+        assert joint_met(joints, text)
+
+
+def test_joints_equal_all_pairs(spark, texts):
+    rng = random.Random(5)
+    docs = texts(["".join(rng.choice(["abcd", "wxyz", "abc", " ", "  ", ", ", "ſ", "K", "é", "İ", "1", "X"])
+                          for _ in range(rng.randrange(30))) for _ in range(150)] + [None, "", "abcd wxyz"])
+    shapes = ["(?:^|[^a-z])abcd[^a-z]+wxyz", r"(?:abcd|wxyzs?)\s+(?:wxyz|abcd)", r"abcd\s+[a-z]+\s+wxyz",
+              r"abc\W+k\W", r"x\s+abcd", r"abcd[^a-z]+(?:abc|s)", r"ks [a-z]+ abc", r"i\s+wxyz", "1", "abcdx",
+              "wxyz,? abc", r"abcd (?=abc) abcd", r"(abcd)[^a-z]\1", r"\p{L} abcd wxyz"]
+    table = spark.createDataFrame([("c", str(i), x, "low") for i, x in enumerate(shapes)],
+                                  "category string, name string, regex string, threat_level string")
+    got = pattern_table_hits(docs, table, ["i"], "text").select("i", "name", "n_matches")
+    want = docs.crossJoin(table).select("i", "name", F.regexp_count(
+        "text", F.concat(F.lit("(?isuU)"), "regex")).alias("n")).where("n > 0")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 100
+
+
+def test_few_candidates_do_not_match(spark):
+    """Documents met over a hundred times as many patterns of this table as match them."""
+    t = Tables(spark, "/root/testdata/sf0.01")
+    words = t.read("benchmark").selectExpr("explode(regexp_extract_all(text, '[A-Za-z]{4,}', 0)) as w")
+    words = [r.w for r in words.distinct().orderBy("w").limit(400).collect()]
+    table = spark.createDataFrame([("c", f"{a} {b}", rf"{a}\s+{b}", "low") for a, b in zip(words, words[7:])],
+                                  "category string, name string, regex string, threat_level string")
+    known = T.with_literals(table).withColumn("__id", F.xxhash64(*T.PATTERN))
+    rows = t.read("documents").limit(200).select("doc_id", F.lower("text").alias("__low"))
+    met = T.candidates(rows, known, ["doc_id"]).count()
+    hits = pattern_table_hits(rows.withColumnRenamed("__low", "text"), table, ["doc_id"]).count()
+    assert hits <= met <= 2 * hits + 200
