@@ -43,11 +43,12 @@ class Kept:
 
     def __call__(self, keys: list[str]) -> list[bytes]:
         found = list(map(self.young.get, keys))
-        if None in found:
+        missing = {key for key, value in zip(keys, found) if value is None}
+        if missing:
             if len(self.young) > self.most:
                 self.young, self.old = {}, self.young
-                found = [None] * len(keys)
-            new = list({key for key, value in zip(keys, found) if value is None})
+                missing = set(keys)
+            new = list(missing)
             if self.old:
                 before = list(map(self.old.get, new))
                 self.young.update(x for x in zip(new, before) if x[1] is not None)
@@ -85,7 +86,8 @@ class WordTokens:
         # How the tokenizer cuts words.
         self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]"
                                f"|[^{of(spaces)}{letters}{numbers}]+")
-        self.other = re.compile(f"[^{of(c for c in low if c not in odd)}]|<\\|")
+        self.other = re.compile(f"[^{of(c for c in low if c not in odd)}]")
+        self.odd = sorted(c for c in odd if c.isascii())
         self.space = re.compile(f"[{of(spaces)}]")
         self.words, self.pieces = Kept(self._of_words), Kept(self._of_pieces)
         vocabulary = self.tokenizer.get_vocab()
@@ -100,8 +102,15 @@ class WordTokens:
             kept[path] = cls(path)
         return kept[path]
 
+    def plain(self, text: str) -> bool:
+        if "<|" in text:
+            return False
+        if text.isascii():
+            return not any(c in text for c in self.odd)
+        return not self.other.search(text)
+
     def __call__(self, text: str) -> bytes:
-        if self.other.search(text):
+        if not self.plain(text):
             return self.ids(text)
         return b"".join(self.pieces(text.lower().split()))
 

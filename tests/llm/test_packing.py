@@ -27,6 +27,25 @@ def test_ids_equal_the_tokenizer(text):
     assert got == b"".join(i.to_bytes(4, "little") for i in want)
 
 
+@pytest.mark.parametrize("text, plain", [
+    ("", True), ("aB 's\t42!", True), ("é ñ's ß", True), ("a < | b", True), ("a<|b", False), ("é<|", False),
+    ("a\x1cb", False), ("a\x1fb", False), ("a b\x1d", False), ("İ", False), ("a € b", False), ("e\u0301", False)])
+def test_plain_texts(text, plain, monkeypatch):
+    assert WORDS.plain(text) is plain
+    if text.isascii():  # these are not looked through one character after the other
+        monkeypatch.setattr(WORDS, "other", None)
+        assert WORDS.plain(text) is plain
+    assert b"".join(WORDS.blocks(text)) == b"".join(i.to_bytes(4, "little") for i in ids_of(text)[:-1])
+
+
+def test_kept_values_are_asked_once():
+    asked = []
+    kept = packing.Kept(lambda keys: (asked.extend(keys), [k.encode() for k in keys])[1], 3)
+    for keys in (["a", "b", "a"], ["b", "c", "d", "d"], ["d", "e", "a"], ["f", "e"], ["f"]):
+        assert kept(keys) == [k.encode() for k in keys]
+    assert sorted(asked) == ["a", "b", "c", "d", "e", "f"]
+
+
 def check(docs, rows, limit=4096):
     got = packing.packed(docs, PATH, limit).collect()
     want = Counter()
