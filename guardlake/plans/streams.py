@@ -5,7 +5,9 @@ Sources and sinks lie below the shared folder, so a restarted query finds its ch
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardlake import catalog as C
@@ -34,15 +36,28 @@ def _source(t: Tables, rows: DataFrame, name: str, files: int | None = None, *ke
     return path
 
 
-def _arriving(t: Tables, rows: DataFrame, name: str) -> str:
+def _arriving(t: Tables, rows: DataFrame, name: str, of: str | None = None) -> str:
     """Rows as files, as many as there are cores, each with the `seq` that follow those of the one before.
 
     Streams run side by side, and of each the pieces come about in order, as from a provider.
     Dealt at random, half of all pieces would wait in the state for those of a later micro-batch.
+    The file source takes files by their time, so that follows, too.  Where `of` has the number of
+    rows of a stream, each file gets its part of all streams, without a look at the rows before.
     """
     path = new_folder(t.spark, name)
     files = t.spark.sparkContext.defaultParallelism
-    rows.repartitionByRange(files, "seq", F.xxhash64("stream_id")).write.parquet(path)
+    if of:
+        part = F.floor(F.col("seq") * files / F.col(of)).cast("int")
+        dealt = rows.repartitionById(files, part).drop(of)
+    else:
+        dealt = rows.repartitionByRange(files, "seq", F.xxhash64("stream_id"))
+    dealt.write.parquet(path)
+    folder = t.spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    written = sorted((f.getPath() for f in fs.listStatus(folder)), key=lambda f: f.getName())
+    now = int(time.time()) - len(written)
+    for i, file in enumerate(written):
+        fs.setTimes(file, 1000 * (now + i), -1)
     return path
 
 
@@ -63,11 +78,15 @@ def _finish(t: Tables, stream: DataFrame, name: str, mode: str = "append") -> Da
     return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def _cut(text: str) -> Column:
+    """The pieces of a text, one if it is empty or null."""
+    return F.when(F.length(text) > 0, F.regexp_extract_all(
+        text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)).otherwise(F.array(text))
+
+
 def _pieces(docs: DataFrame) -> DataFrame:
     """Documents cut into pieces of 40 characters: (stream_id, seq, delta, done, ts)."""
-    pieces = F.when(F.length("text") > 0, F.regexp_extract_all(
-        "text", F.lit(f"(?s).{{1,{PIECE}}}"), 0)).otherwise(F.array("text"))
-    cut = docs.select(F.col("doc_id").cast("string").alias("stream_id"), pieces.alias("pieces"))
+    cut = docs.select(F.col("doc_id").cast("string").alias("stream_id"), _cut("text").alias("pieces"))
     return cut.select(
         "stream_id", F.posexplode("pieces").alias("seq", "delta"),
         F.size("pieces").alias("n")).select(
@@ -119,17 +138,18 @@ from ({K.DOCS})""")(
 
 
 def _sse(docs: DataFrame) -> DataFrame:
-    """SSE lines of the pieces: a comment, the data lines, [DONE]."""
-    rows = _pieces(docs)
+    """SSE lines of the pieces: a comment, the data lines, [DONE]; `of` is the number of lines."""
+    marks = F.array(F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("string").alias("stream_id"),
+                       F.concat(marks, _cut("text"), marks).alias("pieces"))
+    rows = rows.select("stream_id", F.posexplode("pieces").alias("seq", "delta"),
+                       F.size("pieces").cast("long").alias("of"))
     body = F.to_json(F.struct(F.lit("c1").alias("id"), F.array(F.struct(
         F.lit(0).alias("index"), F.struct(F.col("delta").alias("content")).alias("delta")))
         .alias("choices")))
-    lines = rows.select("stream_id", (F.col("seq") + 1).alias("seq"),
-                        F.concat(F.lit("data: "), body).alias("line"))
-    ends = rows.filter("done").select("stream_id", (F.col("seq") + 2).alias("seq"),
-                                      F.lit("data: [DONE]").alias("line"))
-    starts = rows.filter("seq = 0").select("stream_id", "seq", F.lit(": open").alias("line"))
-    return lines.unionByName(ends).unionByName(starts)
+    line = (F.when(F.col("seq") == 0, ": open").when(F.col("seq") == F.col("of") - 1, "data: [DONE]")
+            .otherwise(F.concat(F.lit("data: "), body)))
+    return rows.select("stream_id", F.col("seq").cast("long").alias("seq"), line.alias("line"), "of")
 
 
 query("s4_sse_transcript", f"""
@@ -145,15 +165,17 @@ from ({K.DOCS})""")(
 @query("w4_streaming_sse", _WHOLE)
 def streaming_sse(t: Tables) -> DataFrame:
     """Contents of the filtered lines, joined."""
-    path = _arriving(t, _sse(t.attack_docs()), "sse")
+    path = _arriving(t, _sse(t.attack_docs()), "sse", "of")
     lines = _finish(t, R.redact_sse(_read_stream(t, path)), "sse-out")
     # A flushed remainder shares its row with the [DONE] line.
-    each = lines.select("stream_id", "seq", F.posexplode(F.split("line", "\n\n(?=data: )"))
-                        .alias("part", "line"))
-    parsed = parse_sse(each).filter("kind = 'data'")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "content"))),
-                          lambda x: x["content"])
-    return parsed.groupBy("stream_id").agg(F.array_join(ordered, "").alias("redacted"))
+    events = F.when(F.col("line").contains("\n\ndata: "), F.split("line", "\n\n(?=data: )")).otherwise(
+        F.array("line"))
+    parsed = parse_sse(lines.select("stream_id", "seq", F.posexplode(events).alias("part", "line")))
+    # Only data lines have content.  A filter before the lists would parse every line once more.
+    said = F.collect_list(F.when(F.col("content").isNotNull(), F.struct("seq", "part", "content")))
+    texts = F.transform(F.array_sort("said"), lambda x: x["content"])
+    return (parsed.groupBy("stream_id").agg(said.alias("said")).filter(F.size("said") > 0)
+            .select("stream_id", F.array_join(texts, "").alias("redacted")))
 
 
 @query("w5_finished_streams", _WHOLE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,14 +85,29 @@ def parse_sse(lines: DataFrame) -> DataFrame:
 
     Lines without the data prefix, and payloads that are not JSON, pass through.
     """
-    body = F.trim(F.regexp_replace("line", r"^data: |\s+$", ""))
-    df = lines.withColumn("payload", F.when(F.col("line").startswith("data: "), body))
-    content = F.get_json_object("payload", "$.choices[0].delta.content")
-    return (df.withColumn("kind", F.when(F.col("payload").isNull(), "pass")
-                          .when(F.col("payload") == "[DONE]", "done")
-                          .when(F.try_parse_json("payload").isNull(), "pass").otherwise("data"))
-            .withColumn("content", F.when(F.col("kind") == "data",
-                                          F.coalesce(content, F.lit("")))))
+    line = F.col("line")
+    # Before some line ends `$` matches, too; elsewhere the ends can be cut without a regex.
+    ends = reduce(lambda a, b: a | b, (line.endswith(c) for c in "\u0085\u2028\u2029"))
+    rest = F.when(ends, F.regexp_replace("line", r"^data: |\s+$", "")).otherwise(
+        F.rtrim(F.expr("substring(line, 7)"), F.lit(" \t\n\x0b\f\r")))
+    # Each step is a column, so that a payload is cut and parsed once for all that asks for it.
+    names = list(lines.columns)
+    df = lines.withColumn("payload", F.when(line.startswith("data: "), F.trim(rest)))
+    df = df.withColumn("__json", F.try_parse_json("payload"))
+    path = "$.choices[0].delta.content"
+    df = df.withColumn("__value", F.try_variant_get("__json", path, "variant"))
+    # Strings are taken from what is parsed already, unless halves of characters may stand alone.
+    half = F.col("payload").contains("\\ud") | F.col("payload").contains("\\uD")
+    plain = (F.schema_of_variant("__value") == "STRING") & ~half
+    content = F.when(plain, F.try_variant_get("__value", "$", "string")).otherwise(
+        F.get_json_object("payload", path))
+    df = (df.withColumn("kind", F.when(F.col("payload").isNull(), "pass")
+                        .when(F.col("payload") == "[DONE]", "done")
+                        .when(F.col("__json").isNull(), "pass").otherwise("data"))
+          .withColumn("content", F.when(F.col("kind") == "data",
+                                        F.coalesce(content, F.lit("")))))
+    return df.select(*[c for c in names if c not in ("payload", "kind", "content")],
+                     "payload", "kind", "content")
 
 
 def parse_responses(raw: DataFrame, body: str = "body") -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import groupby
+from json.decoder import scanstring
+from json.encoder import encode_basestring_ascii as encode_string
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,7 +24,15 @@ BLOCK_PIECES = 4096
 OUT = ("stream_id string, seq long, safe string, categories array<string>, done boolean, "
        "gap boolean")
 STATE = "buffer string, next_seq long, waiting string"
-SSE_OUT = "stream_id string, seq long, line string"
+# Some lines of a stream in a row: rows of Python are dear.
+SSE_OUT = "stream_id string, seqs array<long>, lines array<string>"
+SSE_STATE = "streams string"
+SSE_GROUPS = 1024
+# Lines, and characters of them, that are looked at together.
+SSE_LINES, SSE_CHARS = 1 << 15, 1 << 24
+# Rows are gathered by their number, so one with long lines has few of them.
+ROW_LINES, ROW_CHARS = 64, 1 << 14
+_CONTENT = re.compile(r'"content"\s*:\s*"')
 
 
 def redact_stream(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
@@ -78,18 +89,29 @@ def redact_stream(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
             .applyInPandasWithState(run, OUT, STATE, "append", timeout))
 
 
-def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
-               window: int = C.STREAM_WINDOW_CHARS, idle_ms: int | None = None,
-               match_words: int | None = None) -> DataFrame:
-    """SSE lines (stream_id, seq, line) with their delta contents redacted.
+class Deltas:
+    """Reads the delta contents of SSE lines and puts others in their place.
 
-    Lines that carry no content pass through unchanged.  What is held back is sent as one
-    more data line before the [DONE] line; with `idle_ms` also where a stream falls silent without
-    one, after the lines that waited for a missing one.
+    Lines that are alike but for the content are parsed as JSON once: then what stands around
+    the content is known, and the content is one JSON string up to where that goes on.
     """
-    redactor = for_streams(rules.rules, match_words)
 
-    def delta_of(line: str):
+    MARK = "\ue000content\ue000"
+
+    def __init__(self):
+        self.known = None
+
+    def read(self, line: str) -> tuple | None:
+        """(content, body to `write`), None for a line without content."""
+        if self.known:
+            head, tail, body = self.known
+            if line.startswith(head):
+                try:
+                    text, end = scanstring(line, len(head))
+                except ValueError:
+                    return None
+                if line[end:] == tail:
+                    return (text, body) if text else None
         if not line.startswith("data: "):
             return None
         try:
@@ -97,51 +119,158 @@ def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
             text = body["choices"][0]["delta"].get("content")
         except (ValueError, LookupError, TypeError, AttributeError):
             return None
-        return (body, text) if text else None
+        if not text:
+            return None
+        body["choices"][0]["delta"]["content"] = self.MARK
+        around = tuple(json.dumps(body).split(encode_string(self.MARK)))
+        if len(around) != 2:
+            body["choices"][0]["delta"]["content"] = text
+            return text, body
+        self.known = self._around(line, text, body, around)
+        return text, around
+
+    def _around(self, line: str, text: str, body, around: tuple) -> tuple | None:
+        """What stands in the line before and after the content, None if that can't be told."""
+        for quote in _CONTENT.finditer(line):
+            head = line[:quote.end()]
+            try:
+                said, end = scanstring(line, len(head))
+                same = said == text and body == json.loads(
+                    head[6:] + encode_string(self.MARK)[1:] + line[end:])
+            except ValueError:
+                continue
+            if same:
+                return head, line[end:], around
+        return None
+
+    @staticmethod
+    def write(body, text: str) -> str:
+        if isinstance(body, tuple):
+            return f"data: {body[0]}{encode_string(text)}{body[1]}\n\n"
+        body["choices"][0]["delta"]["content"] = text
+        return f"data: {json.dumps(body)}\n\n"
+
+
+def _sent(pieces: Pieces, deltas: Deltas, ready: list) -> tuple[list, bool]:
+    """((seq, line) that go out for the lines whose turn it is, whether [DONE] was among them)."""
+    out, found, texts, ended = [], [], [], False
+
+    def send() -> None:
+        safe = iter(pieces.push_each(texts))
+        out.extend([(at, Deltas.write(body, next(safe)) if body else line)
+                    for at, line, body in found])
+        found.clear()
+        texts.clear()
+
+    for at, line in ready:
+        if delta := deltas.read(line):
+            texts.append(delta[0])
+            found.append((at, line, delta[1]))
+        elif line.startswith("data: ") and line[6:].strip() == "[DONE]":
+            send()
+            out.append((at, _held(pieces) + line))
+            ended = True
+        else:
+            found.append((at, line, None))
+    send()
+    return out, ended
+
+
+def _held(pieces: Pieces) -> str:
+    """A data line with what is held back, if there is any."""
+    rest, _ = pieces.flush()
+    tail = {"choices": [{"index": 0, "delta": {"content": rest}}]}
+    return f"data: {json.dumps(tail)}\n\n" if rest else ""
+
+
+def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
+               window: int = C.STREAM_WINDOW_CHARS, idle_ms: int | None = None,
+               match_words: int | None = None, groups: int = SSE_GROUPS) -> DataFrame:
+    """SSE lines (stream_id, seq, line) with their delta contents redacted.
+
+    Lines that carry no content pass through unchanged.  What is held back is sent as one
+    more data line before the [DONE] line; with `idle_ms` also where a stream falls silent without
+    one, after the lines that waited for a missing one.
+
+    A call of Python and a row of state serve a group of streams, not a stream each: a batch costs
+    per line then, not per stream.  It reads and writes the open streams of all groups that it has lines of,
+    so a group holds about the number of open streams, divided by `groups`.  A checkpoint goes on only with the
+    `groups` that it began with.
+    """
+    redactor = for_streams(rules.rules, match_words)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
             ) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(redactor, window, state.get if state.exists else None)
-        out, ended = [], False
+        # stream -> buffer, next seq, waiting lines, time of its last lines
+        kept = {name: rest for name, *rest in json.loads(state.get[0])} if state.exists else {}
+        now = state.getCurrentProcessingTimeMs() if idle_ms else 0
+        opened, ended, deltas = {}, set(), Deltas()
 
-        def held() -> str:
-            rest, _ = pieces.flush()
-            tail = {"choices": [{"index": 0, "delta": {"content": rest}}]}
-            return f"data: {json.dumps(tail)}\n\n" if rest else ""
-
-        def send(at: int, line: str) -> bool:
-            done = line[6:].strip() == "[DONE]" and line.startswith("data: ")
-            if done:
-                line = held() + line
-            elif delta := delta_of(line):
-                body, text = delta
-                body["choices"][0]["delta"]["content"], _ = pieces.push(text)
-                line = f"data: {json.dumps(body)}\n\n"
-            out.append((key[0], at, line))
-            return done
+        def pieces_of(name: str | None) -> Pieces:
+            if name not in opened:
+                opened[name] = Pieces(redactor, window, kept[name][:3] if name in kept else None)
+            return opened[name]
 
-        if state.hasTimedOut:
-            for at, line in pieces.drain():
-                send(at, line)
-            if rest := held():
-                out.append((key[0], pieces.next_seq, rest))
-            ended = True
+        def frame(sent: dict) -> pd.DataFrame:
+            out = []
+            for name, some in sent.items():
+                step = max(1, min(ROW_LINES, ROW_CHARS // max((len(x) for _, x in some), default=1)))
+                for i in range(0, len(some), step):
+                    seqs, lines = zip(*some[i:i + step])
+                    out.append((name, seqs, lines))
+            return pd.DataFrame(out, columns=["stream_id", "seqs", "lines"])
+
+        def taken(rows: dict) -> pd.DataFrame:
+            sent = {}
+            for name, some in rows.items():
+                pieces = pieces_of(name)
+                some.sort()
+                sent[name], last = _sent(pieces, deltas, pieces.add_each(some))
+                if last:
+                    ended.add(name)
+            return frame(sent)
+
+        rows, size, n = {}, 0, 0
         for batch in batches:
-            for seq, raw in zip(batch["seq"], batch["line"]):
-                for at, line in pieces.add(int(seq), raw):
-                    ended = send(at, line) or ended
-        if ended:
-            state.remove()
-        else:
-            state.update(pieces.state())
+            for name, seq, line in zip(*(batch[c].tolist() for c in ("stream_id", "seq", "line"))):
+                rows.setdefault(name, []).append((int(seq), line))
+                size += len(line)
+                n += 1
+            if n >= SSE_LINES or size >= SSE_CHARS:
+                yield taken(rows)
+                rows, size, n = {}, 0, 0
+        if rows:
+            yield taken(rows)
+        for name, pieces in opened.items():
+            kept[name] = [*pieces.state(), now]
+        for name in ended:
+            del kept[name]
+        silent = [name for name, (*_, seen) in kept.items() if idle_ms and seen + idle_ms <= now]
+        sent = {}
+        for name in silent:
+            pieces = pieces_of(name)
+            sent[name], _ = _sent(pieces, deltas, pieces.drain())
+            if rest := _held(pieces):
+                sent[name].append((pieces.next_seq, rest))
+            del kept[name]
+        if sent:
+            yield frame(sent)
+        if kept:
+            state.update((json.dumps([[name, *rest] for name, rest in kept.items()]),))
             if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "line"])
+                first = min(seen for *_, seen in kept.values())
+                state.setTimeoutDuration(max(1, first + idle_ms - now))
+        elif state.exists:
+            state.remove()
 
     timeout = (GroupStateTimeout.ProcessingTimeTimeout if idle_ms
                else GroupStateTimeout.NoTimeout)
-    return (lines.select("stream_id", "seq", "line").groupBy("stream_id")
-            .applyInPandasWithState(run, SSE_OUT, STATE, "append", timeout))
+    stream = F.col("stream_id").cast("string").alias("stream_id")
+    group = F.pmod(F.xxhash64("stream_id"), F.lit(groups)).alias("group")
+    return (lines.select(stream, "seq", "line").select(group, "stream_id", "seq", "line")
+            .groupBy("group").applyInPandasWithState(run, SSE_OUT, SSE_STATE, "append", timeout)
+            .select("stream_id", F.inline(F.arrays_zip(
+                F.col("seqs").alias("seq"), F.col("lines").alias("line")))))
 
 
 def stream_summary(pieces: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from bisect import bisect_left, bisect_right
 
 from guardlake.catalog import RULES
 from guardlake.functions.regex import words_spanned
@@ -19,7 +20,7 @@ RULE_WORDS, HELD_WORDS = 4, 16
 
 _FOUR_DIGITS = re.compile("[0-9]{4}")
 # Characters beyond ASCII that the rules' letters match when case is ignored.
-_FOLDED = str.maketrans("ſİı", "sii")
+_FOLDED = (("ſ", "s"), ("İ", "i"), ("ı", "i"))
 
 
 def _needs(*words: str):
@@ -42,6 +43,20 @@ _GATES = {
         or "system" in low and "prompt:" in low),
 }
 _WORD = re.compile(r"\S+")
+# rule name -> regex of a part that each of its matches has
+_SIGNS = {
+    "email": "@", "phone_us": "[0-9]{4,}", "ssn": "[0-9]{4,}", "credit_card": "[0-9]{4,}",
+    "openai_key": r"\bsk-", "anthropic_key": r"\bsk-", "github_pat": r"\bghp_",
+    "aws_access_key": r"\bAKIA", "generic_api_key": r"\b(?:api[_\-]?key|API[_\-]?KEY)",
+    "bearer_token": r"\bBearer\s", "private_key": "-----BEGIN",
+    "password": r"(?:password|passwd|pwd)\s*[:=]",
+    "system_prompt_leak": r"You\s+are\s|System\s+prompt:|My\s+(?:initial|original|system)",
+}
+
+
+def _low(regex: str) -> str:
+    """The regex in lower case, but for its escapes."""
+    return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), regex)
 
 
 class Redactor:
@@ -51,12 +66,24 @@ class Redactor:
         self.held_words = held_words
         self.rules = [(_GATES.get(r.name) if r in RULES else None, r,
                        re.compile(r.regex, re.IGNORECASE if r.ignore_case else 0)) for r in rules]
+        known = all(r in RULES for r in rules)
+        self.signs = {r.name: re.compile(_SIGNS[r.name], re.IGNORECASE if r.ignore_case else 0)
+                      for r in rules} if known else None
+        # In lower case, where that has the same places, regexes need not ignore case.
+        self.low_signs = {r.name: re.compile(_low(_SIGNS[r.name]))
+                          for r in rules if r.ignore_case} if known else None
 
     def possible(self, text: str) -> list:
         """The (rule, regex) that can match."""
-        low = (text if text.isascii() else text.translate(_FOLDED)).lower()
-        return [(rule, regex) for gate, rule, regex in self.rules
-                if gate is None or gate(text, low)]
+        low = text
+        if not text.isascii():
+            for letter, plain in _FOLDED:
+                low = low.replace(letter, plain)
+        low, opened = low.lower(), {None: True}
+        for gate, *_ in self.rules:
+            if gate not in opened:
+                opened[gate] = gate(text, low)
+        return [(rule, regex) for gate, rule, regex in self.rules if opened[gate]]
 
     def redact(self, text: str) -> str:
         for rule, regex in self.possible(text):
@@ -106,6 +133,71 @@ class Redactor:
                 return buffer[:at], head, buffer[at:]
         return "", "", buffer
 
+    def suspects(self, text: str, starts: list[int]) -> tuple[list[int], list[int]]:
+        """First and last words of the stretches, in order and apart, that have parts of matches.
+
+        `starts` are those of the words; no match stands in any other word alone, whatever piece
+        of the text is looked at.
+        """
+        plain, asked = text.lower() if text.isascii() else None, set()
+        for rule, _ in self.possible(text):
+            low = plain is not None and rule.ignore_case
+            asked.add(((self.low_signs if low else self.signs)[rule.name], low))
+        spans = sorted({(bisect_right(starts, m.start()) - 1, bisect_left(starts, m.end()) - 1)
+                        for regex, low in asked for m in regex.finditer(plain if low else text)})
+        low, high = [], []
+        for a, b in spans:
+            if high and a <= high[-1] + 1:
+                high[-1] = max(high[-1], b)
+            else:
+                low.append(a)
+                high.append(b)
+        return low, high
+
+    def release_each(self, buffer: str, pieces: list[str], window: int) -> tuple[list[str], str]:
+        """(what `release` gives out, redacted, after each piece in turn; text to hold back).
+
+        The words are found once, not once per piece.  Where none of the words around a cut has a
+        part of a match, the cut holds: no match, nor one on what rules put in, comes near it.
+        Elsewhere, and with rules of one's own, `release` decides.
+        """
+        out = []
+        if self.signs is None:
+            for piece in pieces:
+                _, safe, buffer = self.release(buffer + piece, window)
+                out.append(safe)
+            return out, buffer
+        text = buffer + "".join(pieces)
+        starts = [m.start() for m in _WORD.finditer(text)]
+        low, high = self.suspects(text, starts)
+        near = self.held_words + RULE_WORDS
+        # `text[base:end]` is the buffer, words from `first` to before `seen` begin in it, and those
+        # before `allowed` may be cut at; all of them only grow.
+        base, first, end, seen, allowed, words = 0, 0, len(buffer), 0, 0, len(starts)
+        for piece in pieces:
+            end += len(piece)
+            while seen < words and starts[seen] < end:
+                seen += 1
+            most, furthest = seen - self.held_words, end - window
+            while allowed < most and starts[allowed] <= furthest:
+                allowed += 1
+            cut = allowed - 1
+            if cut < first or (at := starts[cut]) <= base:
+                out.append("")
+                continue
+            if high and (i := bisect_left(high, cut - near)) < len(low) and low[i] <= cut + near:
+                raw, safe, _ = self.release(text[base:end], window)
+                base += len(raw)
+                first = bisect_left(starts, base)
+                out.append(safe)
+                continue
+            raw, base = text[base:at], at
+            if high and (i := bisect_left(high, first)) < len(low) and low[i] <= cut:
+                raw = self.redact(raw)
+            first = cut
+            out.append(raw)
+        return out, text[base:]
+
 
 def for_streams(rules: tuple, match_words: int | None = None) -> Redactor:
     """A redactor that holds back enough words for every match of the rules.
@@ -151,6 +243,14 @@ class Pieces:
                 self.next_seq += 1
         return ready
 
+    def add_each(self, items: list) -> list:
+        """Queue (seq, item) in order; return those whose turn it now is, as `add` does."""
+        upto = self.next_seq + len(items)
+        if not self.waiting and [seq for seq, _ in items] == list(range(self.next_seq, upto)):
+            self.next_seq = upto
+            return items
+        return [ready for seq, item in items for ready in self.add(seq, item)]
+
     def drain(self) -> list:
         """The items that still wait for a missing one, in order, as (seq, item)."""
         rest, self.waiting = sorted(self.waiting), []
@@ -163,6 +263,11 @@ class Pieces:
         raw, safe, self.buffer = self.redactor.release(self.buffer + text, self.window)
         return safe, self.redactor.found(raw) if raw else []
 
+    def push_each(self, texts: list[str]) -> list[str]:
+        """Add texts; return what `push` would emit after each."""
+        safe, self.buffer = self.redactor.release_each(self.buffer, texts, self.window)
+        return safe
+
     def flush(self) -> tuple[str, list[str]]:
         rest, self.buffer = self.buffer, ""
         return self.redactor.redact(rest), self.redactor.found(rest)

@@ -1,7 +1,9 @@
 """Redaction of text in pieces: any cut gives what the whole text gives."""
 
 import json
+import os
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -11,6 +13,7 @@ from guardlake import catalog as C
 from guardlake.plans import streams as S
 from guardlake.plans.streams import _finish, _read_stream, _source
 from guardlake.plans.inputs import Tables
+from guardlake.sources.readers import parse_sse
 from guardlake.streaming import redaction
 from guardlake.functions.redact import DEFAULT
 from guardlake.streaming.redactor import Pieces, Redactor, for_streams, redact
@@ -172,3 +175,115 @@ def test_streams_arrive_in_the_order_of_their_pieces(spark):
         F.min("seq").alias("a"), F.max("seq").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
     assert sum(r.n for r in spans) == 4000 and len(spans) > 1
     assert all(one.b <= two.a for one, two in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_many_pieces_at_once_release_what_each_does(seed):
+    rng = random.Random(seed)
+    share = rng.choice([0.0, 0.02, 0.2, 0.9])
+    more = SECRETS + ["You are", "System", "prompt:", "555", "1234", "Bearer", "password", ":", "api_key",
+                      "=", "MY ſystem", "task-force", "x y", "\x1c"]
+    text = " ".join(rng.choice(more) if rng.random() < share else rng.choice(WORDS)
+                    for _ in range(rng.randint(0, 300)))
+    cuts = sorted(rng.choices(range(len(text) + 1), k=len(text) // 30))
+    texts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+    one, all_ = Pieces(Redactor(C.RULES), 128), Pieces(Redactor(C.RULES), 128)
+    half = rng.randint(0, len(texts))
+    got = all_.push_each(texts[:half]) + all_.push_each(texts[half:])
+    assert got == [one.push(t)[0] for t in texts] and all_.buffer == one.buffer
+
+
+def test_many_pieces_at_once_with_rules_of_ones_own():
+    rules = DEFAULT.with_rule("start", "^foo").with_rule("pair", "a b").rules
+    texts = ["foo a b " * 20, "foo bar a", " b c" * 40, "foo"]
+    one, all_ = (Pieces(for_streams(rules), 20) for _ in range(2))
+    assert all_.push_each(texts) == [one.push(t)[0] for t in texts] and all_.buffer == one.buffer
+
+
+def _data(text, **more):
+    return "data: " + json.dumps({"id": "x", "choices": [{"delta": {"content": text}}], **more})
+
+
+def test_streams_of_a_group_give_the_lines_that_each_gives_alone(spark, tmp_path):
+    rng = random.Random(5)
+    streams = {}
+    for name in [None, *(f"s{i}" for i in range(20))]:
+        text = make_text(rng) + ' "é\\' + rng.choice(["", "\n\ttab", "content"])
+        lines = [": open", "data: {broken", *(_data(text[i:i + 17], n=i // 100) for i in range(0, len(text), 17)),
+                 'data: {"choices": []}', _data("")]
+        streams[name] = lines + ["data: [DONE]"] * (name != "s3")
+    want = set()
+    for name, lines in streams.items():
+        pieces = Pieces(Redactor(C.RULES), 128)
+        for at, line in enumerate(lines):
+            if line == "data: [DONE]" and (rest := pieces.flush()[0]):
+                line = "data: " + json.dumps({"choices": [{"index": 0, "delta": {"content": rest}}]}) + "\n\n" + line
+            elif '"content": "' in line and not line.endswith('"content": ""}}]}'):
+                body = json.loads(line[6:])
+                delta = body["choices"][0]["delta"]
+                delta["content"] = pieces.push(delta["content"])[0]
+                line = f"data: {json.dumps(body)}\n\n"
+            want.add((name, at, line))
+    rows = [(name, at, line) for name, lines in streams.items() for at, line in enumerate(lines)]
+    rng.shuffle(rows)
+    t = Tables(spark, str(tmp_path))
+    path = _source(t, spark.createDataFrame(rows, "stream_id string, seq long, line string"), "sse", 3)
+    query = redaction.redact_sse(_read_stream(t, path, 1), groups=2)
+    got = [tuple(r) for r in _finish(t, query, "sse-o").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_a_silent_stream_of_a_group_is_let_go_and_the_others_stay(spark, tmp_path):
+    def put(rows, name):
+        spark.createDataFrame(rows, "stream_id string, seq long, line string").coalesce(1).write.parquet(
+            str(tmp_path / name))
+        for file in (tmp_path / name).glob("part-*"):
+            file.rename(tmp_path / "in" / f"{name}.parquet")
+
+    (tmp_path / "in").mkdir()
+    put([("quiet", 0, _data("mail jane.d")), ("quiet", 2, _data("oe@example.com ")), ("busy", 0, _data("one "))], "a")
+    lines = spark.readStream.schema("stream_id string, seq long, line string").parquet(str(tmp_path / "in"))
+    query = (redaction.redact_sse(lines, idle_ms=4000, groups=1).writeStream.format("memory")
+             .queryName("idle_sse").trigger(processingTime="500 milliseconds").start())
+    try:
+        found, at, until = {}, 1, time.time() + 60
+        while len(found.get("quiet", [])) < 3 and time.time() < until:
+            put([("busy", at, _data("more "))], f"b{at}")
+            at += 1
+            time.sleep(1)
+            found = {}
+            for row in spark.table("idle_sse").orderBy("seq").collect():
+                found.setdefault(row.stream_id, []).append(row)
+    finally:
+        query.stop()
+    quiet = "".join(json.loads(part[6:])["choices"][0]["delta"]["content"]
+                    for row in found["quiet"] for part in row.line.strip().split("\n\n"))
+    assert quiet == "mail [EMAIL_REDACTED] "
+    # The other kept its place in the stream.
+    assert [r.seq for r in found["busy"]] == list(range(len(found["busy"]))) and len(found["busy"]) > 2
+
+
+def test_files_follow_each_other_in_the_order_of_the_parts_of_streams(spark):
+    rows = spark.range(4000).selectExpr("cast(id % 40 as string) as stream_id", "id div 40 as seq",
+                                        "'x' as line", "100L as of")
+    path = S._arriving(Tables(spark, "/nowhere"), rows, "arriving", "of")
+    spans = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(
+        F.min("seq").alias("a"), F.max("seq").alias("b"), F.count("*").alias("n")).collect()
+    spans.sort(key=lambda r: os.stat(r.file.removeprefix("file://")).st_mtime_ns)
+    assert len(spans) == spark.sparkContext.defaultParallelism and sum(r.n for r in spans) == 4000
+    assert all(one.b < two.a for one, two in zip(spans, spans[1:]))
+
+
+def test_odd_lines_are_parsed_as_before(spark):
+    lines = {
+        'data: {"choices":[{"delta":{"content":"a \\u00e9 \\ud83d\\ude00"}}]} \n\n': ("data", "a é 😀"),
+        'data: {"choices":[{"delta":{"content":1.50}}]}': ("data", "1.50"),
+        'data: {"choices":[{"delta":{"content":{"b":[1, 2]}}}]}': ("data", '{"b":[1,2]}'),
+        'data: {"choices":[{"delta":{"content":null}}]}': ("data", ""),
+        'data: {"choices":[]}': ("data", ""), "data: 5": ("data", ""), "data: ": ("pass", None),
+        "data:  [DONE]  \n\n": ("done", None), "data: [DONE] x": ("pass", None), ": ping": ("pass", None),
+        'data: {"choices":[{"delta":{"content":"a"}}]} more': ("pass", None),
+        'data: {"a":1} \u0085': ("pass", None), None: ("pass", None)}
+    got = parse_sse(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert {r.line: (r.kind, r.content) for r in got} == lines
+    assert [r.payload for r in got if r.line and "\u0085" in r.line] == ['{"a":1}\u0085']
