@@ -41,8 +41,8 @@ def _arriving(t: Tables, rows: DataFrame, name: str, of: str | None = None) -> s
 
     Streams run side by side, and of each the pieces come about in order, as from a provider.
     Dealt at random, half of all pieces would wait in the state for those of a later micro-batch.
-    The file source takes files by their time, so that follows, too.  Where `of` has the number of
-    rows of a stream, each file gets its part of all streams, without a look at the rows before.
+    The file source takes files by their times, which are set in this order.  Where `of` has the
+    number of rows of a stream, each file gets its part of every stream; no ranges are sampled.
     """
     path = new_folder(t.spark, name)
     files = t.spark.sparkContext.defaultParallelism
@@ -173,7 +173,7 @@ def streaming_sse(t: Tables) -> DataFrame:
     parsed = parse_sse(lines.select("stream_id", "seq", F.posexplode(events).alias("part", "line")))
     # Only data lines have content.  A filter before the lists would parse every line once more.
     said = F.collect_list(F.when(F.col("content").isNotNull(), F.struct("seq", "part", "content")))
-    texts = F.transform(F.array_sort("said"), lambda x: x["content"])
+    texts = F.transform(F.sort_array("said"), lambda x: x["content"])
     return (parsed.groupBy("stream_id").agg(said.alias("said")).filter(F.size("said") > 0)
             .select("stream_id", F.array_join(texts, "").alias("redacted")))
 

@@ -27,9 +27,9 @@ STATE = "buffer string, next_seq long, waiting string"
 # Some lines of a stream in a row: rows of Python are dear.
 SSE_OUT = "stream_id string, seqs array<long>, lines array<string>"
 SSE_STATE = "streams string"
-SSE_GROUPS = 1024
+SSE_GROUPS = 2048
 # Lines, and characters of them, that are looked at together.
-SSE_LINES, SSE_CHARS = 1 << 15, 1 << 24
+SSE_LINES, SSE_CHARS = 1 << 16, 1 << 24
 # Rows are gathered by their number, so one with long lines has few of them.
 ROW_LINES, ROW_CHARS = 64, 1 << 14
 _CONTENT = re.compile(r'"content"\s*:\s*"')
@@ -92,8 +92,9 @@ def redact_stream(chunks: DataFrame, rules: R.Rules = R.DEFAULT,
 class Deltas:
     """Reads the delta contents of SSE lines and puts others in their place.
 
-    Lines that are alike but for the content are parsed as JSON once: then what stands around
-    the content is known, and the content is one JSON string up to where that goes on.
+    A body to `write` is parsed JSON, or the texts before and after its content.  Of lines that
+    are alike but for the content one is parsed: then `known` is what stands around the content,
+    and the body.
     """
 
     MARK = "\ue000content\ue000"
@@ -103,15 +104,6 @@ class Deltas:
 
     def read(self, line: str) -> tuple | None:
         """(content, body to `write`), None for a line without content."""
-        if self.known:
-            head, tail, body = self.known
-            if line.startswith(head):
-                try:
-                    text, end = scanstring(line, len(head))
-                except ValueError:
-                    return None
-                if line[end:] == tail:
-                    return (text, body) if text else None
         if not line.startswith("data: "):
             return None
         try:
@@ -144,36 +136,47 @@ class Deltas:
         return None
 
     @staticmethod
-    def write(body, text: str) -> str:
-        if isinstance(body, tuple):
+    def write(body: tuple | dict, text: str) -> str:
+        if type(body) is tuple:
             return f"data: {body[0]}{encode_string(text)}{body[1]}\n\n"
         body["choices"][0]["delta"]["content"] = text
         return f"data: {json.dumps(body)}\n\n"
 
 
-def _sent(pieces: Pieces, deltas: Deltas, ready: list) -> tuple[list, bool]:
-    """((seq, line) that go out for the lines whose turn it is, whether [DONE] was among them)."""
+def _sent(pieces: Pieces, deltas: Deltas, ready: list) -> tuple[list, list, bool]:
+    """(seqs and lines that go out for those whose turn it is, whether [DONE] was among them)."""
     out, found, texts, ended = [], [], [], False
 
     def send() -> None:
         safe = iter(pieces.push_each(texts))
-        out.extend([(at, Deltas.write(body, next(safe)) if body else line)
-                    for at, line, body in found])
+        out.extend([body if type(body) is str else Deltas.write(body, next(safe))
+                    for body in found])
         found.clear()
         texts.clear()
 
-    for at, line in ready:
+    for _, line in ready:
+        # As `Deltas.read` for a line like the one before, without a call.
+        if deltas.known and line.startswith(deltas.known[0]):
+            try:
+                text, end = scanstring(line, len(deltas.known[0]))
+            except ValueError:
+                found.append(line)
+                continue
+            if text and line[end:] == deltas.known[1]:
+                texts.append(text)
+                found.append(deltas.known[2])
+                continue
         if delta := deltas.read(line):
             texts.append(delta[0])
-            found.append((at, line, delta[1]))
+            found.append(delta[1])
         elif line.startswith("data: ") and line[6:].strip() == "[DONE]":
             send()
-            out.append((at, _held(pieces) + line))
+            out.append(_held(pieces) + line)
             ended = True
         else:
-            found.append((at, line, None))
+            found.append(line)
     send()
-    return out, ended
+    return [at for at, _ in ready], out, ended
 
 
 def _held(pieces: Pieces) -> str:
@@ -193,9 +196,9 @@ def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
     one, after the lines that waited for a missing one.
 
     A call of Python and a row of state serve a group of streams, not a stream each: a batch costs
-    per line then, not per stream.  It reads and writes the open streams of all groups that it has lines of,
-    so a group holds about the number of open streams, divided by `groups`.  A checkpoint goes on only with the
-    `groups` that it began with.
+    per line then, not per stream.  The row has the open streams of the group, about as many as
+    there are in all, divided by `groups`; a batch reads and writes those of the groups that it has
+    lines of.  A checkpoint goes on only with the `groups` that it began with.
     """
     redactor = for_streams(rules.rules, match_words)
 
@@ -213,11 +216,10 @@ def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
 
         def frame(sent: dict) -> pd.DataFrame:
             out = []
-            for name, some in sent.items():
-                step = max(1, min(ROW_LINES, ROW_CHARS // max((len(x) for _, x in some), default=1)))
-                for i in range(0, len(some), step):
-                    seqs, lines = zip(*some[i:i + step])
-                    out.append((name, seqs, lines))
+            for name, (seqs, lines) in sent.items():
+                step = max(1, min(ROW_LINES, ROW_CHARS // max(map(len, lines), default=1)))
+                out += [(name, seqs[i:i + step], lines[i:i + step])
+                        for i in range(0, len(lines), step)]
             return pd.DataFrame(out, columns=["stream_id", "seqs", "lines"])
 
         def taken(rows: dict) -> pd.DataFrame:
@@ -225,17 +227,21 @@ def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
             for name, some in rows.items():
                 pieces = pieces_of(name)
                 some.sort()
-                sent[name], last = _sent(pieces, deltas, pieces.add_each(some))
+                *sent[name], last = _sent(pieces, deltas, pieces.add_each(some))
                 if last:
                     ended.add(name)
             return frame(sent)
 
         rows, size, n = {}, 0, 0
         for batch in batches:
-            for name, seq, line in zip(*(batch[c].tolist() for c in ("stream_id", "seq", "line"))):
-                rows.setdefault(name, []).append((int(seq), line))
-                size += len(line)
-                n += 1
+            seqs, lines = batch["seq"].astype("int64").tolist(), batch["line"].tolist()
+            for name, row in zip(batch["stream_id"].tolist(), zip(seqs, lines)):
+                if name in rows:
+                    rows[name].append(row)
+                else:
+                    rows[name] = [row]
+            size += sum(map(len, lines))
+            n += len(lines)
             if n >= SSE_LINES or size >= SSE_CHARS:
                 yield taken(rows)
                 rows, size, n = {}, 0, 0
@@ -249,9 +255,10 @@ def redact_sse(lines: DataFrame, rules: R.Rules = R.DEFAULT,
         sent = {}
         for name in silent:
             pieces = pieces_of(name)
-            sent[name], _ = _sent(pieces, deltas, pieces.drain())
+            *sent[name], _ = _sent(pieces, deltas, pieces.drain())
             if rest := _held(pieces):
-                sent[name].append((pieces.next_seq, rest))
+                sent[name][0].append(pieces.next_seq)
+                sent[name][1].append(rest)
             del kept[name]
         if sent:
             yield frame(sent)

@@ -11,7 +11,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
+import numpy as np
 
 from guardlake.catalog import RULES
 from guardlake.functions.regex import words_spanned
@@ -28,7 +30,8 @@ def _needs(*words: str):
 
 
 def _digits(text: str, low: str) -> bool:
-    return _FOUR_DIGITS.search(text) is not None
+    # Looking for single characters is far cheaper than the regex.
+    return any(d in text for d in "0123456789") and _FOUR_DIGITS.search(text) is not None
 
 
 # rule name -> what neither the text nor anything an earlier rule leaves behind can match without
@@ -59,6 +62,21 @@ def _low(regex: str) -> str:
     return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), regex)
 
 
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+_ASCII_SPACE = _SPACE[:256].tobytes()
+
+
+def word_starts(text: str) -> np.ndarray:
+    """Where the words begin, as `_WORD` finds them."""
+    text = " " + text
+    if text.isascii():
+        space = np.frombuffer(text.encode().translate(_ASCII_SPACE), dtype=bool)
+    else:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        space = _SPACE[np.minimum(codes, len(_SPACE) - 1)]
+    return np.flatnonzero(space[:-1] > space[1:])
+
+
 class Redactor:
     """The rules, compiled."""
 
@@ -133,7 +151,7 @@ class Redactor:
                 return buffer[:at], head, buffer[at:]
         return "", "", buffer
 
-    def suspects(self, text: str, starts: list[int]) -> tuple[list[int], list[int]]:
+    def suspects(self, text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last words of the stretches, in order and apart, that have parts of matches.
 
         `starts` are those of the words; no match stands in any other word alone, whatever piece
@@ -143,16 +161,14 @@ class Redactor:
         for rule, _ in self.possible(text):
             low = plain is not None and rule.ignore_case
             asked.add(((self.low_signs if low else self.signs)[rule.name], low))
-        spans = sorted({(bisect_right(starts, m.start()) - 1, bisect_left(starts, m.end()) - 1)
-                        for regex, low in asked for m in regex.finditer(plain if low else text)})
-        low, high = [], []
-        for a, b in spans:
-            if high and a <= high[-1] + 1:
-                high[-1] = max(high[-1], b)
-            else:
-                low.append(a)
-                high.append(b)
-        return low, high
+        found = {m.span() for regex, low in asked for m in regex.finditer(plain if low else text)}
+        if not found:
+            return starts[:0], starts[:0]
+        spans = np.array(sorted(found))
+        first = starts.searchsorted(spans[:, 0], "right") - 1
+        last = np.maximum.accumulate(starts.searchsorted(spans[:, 1], "left") - 1)
+        apart = np.flatnonzero(first[1:] > last[:-1] + 1)
+        return first[np.r_[0, apart + 1]], last[np.r_[apart, len(last) - 1]]
 
     def release_each(self, buffer: str, pieces: list[str], window: int) -> tuple[list[str], str]:
         """(what `release` gives out, redacted, after each piece in turn; text to hold back).
@@ -162,40 +178,44 @@ class Redactor:
         Elsewhere, and with rules of one's own, `release` decides.
         """
         out = []
-        if self.signs is None:
+        if self.signs is None or not pieces:
             for piece in pieces:
                 _, safe, buffer = self.release(buffer + piece, window)
                 out.append(safe)
             return out, buffer
         text = buffer + "".join(pieces)
-        starts = [m.start() for m in _WORD.finditer(text)]
+        starts = word_starts(text)
+        if not len(starts):
+            return [""] * len(pieces), text
+        # Up to each end, all words but the last ones, and those in the window, may be cut at.
+        ends = np.array(list(accumulate(map(len, pieces), initial=len(buffer)))[1:])
+        cuts = np.minimum(starts.searchsorted(ends, "left") - self.held_words,
+                          starts.searchsorted(ends - window, "right")) - 1
+        places = np.append(starts, 0)[np.maximum(cuts, -1)]
         low, high = self.suspects(text, starts)
+        if not len(low):
+            places = places.tolist()
+            return [text[a:b] for a, b in zip([0, *places], places)], text[places[-1]:]
         near = self.held_words + RULE_WORDS
-        # `text[base:end]` is the buffer, words from `first` to before `seen` begin in it, and those
-        # before `allowed` may be cut at; all of them only grow.
-        base, first, end, seen, allowed, words = 0, 0, len(buffer), 0, 0, len(starts)
-        for piece in pieces:
-            end += len(piece)
-            while seen < words and starts[seen] < end:
-                seen += 1
-            most, furthest = seen - self.held_words, end - window
-            while allowed < most and starts[allowed] <= furthest:
-                allowed += 1
-            cut = allowed - 1
-            if cut < first or (at := starts[cut]) <= base:
+        i = high.searchsorted(cuts - near).clip(0, len(high) - 1)
+        close = (high[i] >= cuts - near) & (low[i] <= cuts + near)
+        froms, tos = starts[low].tolist(), starts[high].tolist()
+        # `text[base:end]` is the buffer; stretches before the one numbered `at` end before it.
+        base, at = 0, 0
+        for end, place, doubtful in zip(ends.tolist(), places.tolist(), close.tolist()):
+            if place <= base:
                 out.append("")
                 continue
-            if high and (i := bisect_left(high, cut - near)) < len(low) and low[i] <= cut + near:
+            if doubtful:
                 raw, safe, _ = self.release(text[base:end], window)
                 base += len(raw)
-                first = bisect_left(starts, base)
                 out.append(safe)
                 continue
-            raw, base = text[base:at], at
-            if high and (i := bisect_left(high, first)) < len(low) and low[i] <= cut:
-                raw = self.redact(raw)
-            first = cut
-            out.append(raw)
+            while at < len(tos) and tos[at] < base:
+                at += 1
+            raw = text[base:place]
+            out.append(self.redact(raw) if at < len(tos) and froms[at] <= place else raw)
+            base = place
         return out, text[base:]
 
 
