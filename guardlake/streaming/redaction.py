@@ -181,7 +181,7 @@ def _sent(pieces: Pieces, deltas: Deltas, ready: list) -> tuple[list, list, bool
 
 def _held(pieces: Pieces) -> str:
     """A data line with what is held back, if there is any."""
-    rest, _ = pieces.flush()
+    rest = pieces.rest()
     tail = {"choices": [{"index": 0, "delta": {"content": rest}}]}
     return f"data: {json.dumps(tail)}\n\n" if rest else ""
 

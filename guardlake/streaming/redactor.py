@@ -288,9 +288,14 @@ class Pieces:
         safe, self.buffer = self.redactor.release_each(self.buffer, texts, self.window)
         return safe
 
-    def flush(self) -> tuple[str, list[str]]:
+    def rest(self) -> str:
+        """What is held back, redacted; it is held no longer."""
         rest, self.buffer = self.buffer, ""
-        return self.redactor.redact(rest), self.redactor.found(rest)
+        return self.redactor.redact(rest)
+
+    def flush(self) -> tuple[str, list[str]]:
+        found = self.redactor.found(self.buffer)
+        return self.rest(), found
 
 
 HEAD, BODY, TAIL = 0, 1, 2
